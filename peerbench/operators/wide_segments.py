@@ -1,0 +1,138 @@
+"""K-Means over one-hot columns of any number, with the centres kept as tables.
+
+A centre has one coordinate per level, so with many levels ``k`` centres fit neither the driver
+nor a task. But a row touches one level per categorical column, and a centre's coordinate there
+is the level's weight times the share of the cluster's rows that have it. So each round joins
+the rows with the counts of their levels, labels them, and counts again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from peerbench.operators.features import FeatureSpace
+
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def _array(values) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+class TableCentres:
+    """Centres of one round: sizes and numeric means on the driver, level counts as a table."""
+
+    def __init__(self, space: FeatureSpace, k: int, counted: DataFrame):
+        """``counted``: (column, value, label, n, x0..), where a NULL column has the label totals."""
+        self.space, self.k = space, k
+        m = len(space.numeric)
+        self.sizes = np.zeros(k)
+        self.means = np.zeros((k, m))
+        self.cost = 0.0
+        for r in counted.where(F.col("column").isNull()).collect():
+            self.sizes[r["label"]] = r["n"]
+            self.means[r["label"]] = [r[f"x{i}"] / r["n"] for i in range(m)]
+            self.cost += r["cost"]
+        by_label = F.map_from_entries(F.collect_list(F.struct("label", "n")))
+        share = lambda j: F.coalesce(F.try_element_at(F.col("_m"), j), F.lit(0)) / F.greatest(
+            F.element_at(_array(self.sizes), j + 1), F.lit(1.0)
+        )
+        # Coordinate of every centre at this level, in scaled units.
+        self.levels = (
+            counted.where(F.col("column").isNotNull())
+            .groupBy("column", "value")
+            .agg(by_label.alias("_m"))
+            .join(space.levels.select("column", "value", "weight"), ["column", "value"])
+            .select(
+                "column", "value", "weight",
+                F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.col("weight") * share(j)).alias("at"),
+            )
+        )
+        squares = [F.sum(F.element_at("at", j + 1) * F.element_at("at", j + 1)).alias(f"s{j}") for j in range(k)]
+        hot = self.levels.agg(*squares).first()
+        self.norms = (self.means**2).sum(axis=1) + np.array([hot[f"s{j}"] or 0.0 for j in range(k)])
+        self.norms[self.sizes == 0] = np.inf
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """Rows with the nearest centre ``_cluster`` and its squared distance ``_d``."""
+        numbers = [F.col(c).cast("double") / F.lit(s) for c, s in zip(self.space.numeric, self.space.scales)]
+        own = sum((x * x for x in numbers), F.lit(0.0))
+        joined, dots = rows, []
+        for i, c in enumerate(self.space.categorical):
+            part = self.levels.where(F.col("column") == c).select(
+                F.col("value").alias(f"_v{i}"), F.col("weight").alias(f"_w{i}"), F.col("at").alias(f"_at{i}")
+            )
+            joined = joined.join(part, F.col(c) == F.col(f"_v{i}"), "left")
+            own = own + F.coalesce(F.col(f"_w{i}") * F.col(f"_w{i}"), F.lit(0.0))
+            dots.append((F.col(f"_w{i}"), F.col(f"_at{i}")))
+
+        def score(j: Column) -> Column:
+            inner = F.lit(0.0)
+            for i, x in enumerate(numbers):
+                inner = inner + x * F.element_at(_array(self.means[:, i]), j + 1)
+            for w, at in dots:
+                inner = inner + F.coalesce(w * F.element_at(at, j + 1), F.lit(0.0))
+            return F.element_at(_array(self.norms), j + 1) - 2 * inner
+
+        scores = F.transform(F.sequence(F.lit(0), F.lit(self.k - 1)), score)
+        best = F.array_min("_scores")
+        return (
+            joined.withColumn("_scores", scores)
+            .withColumn("_cluster", (F.array_position("_scores", best) - 1).cast("int"))
+            .withColumn("_d", F.greatest(own + best, F.lit(0.0)))
+            .select(*rows.columns, "_cluster", "_d")
+        )
+
+    def squared_distances(self) -> np.ndarray:
+        """Between all pairs of centres; tasks add up k x k products of their share of the levels."""
+        k = self.k
+
+        def products(batches):
+            total = np.zeros((k, k))
+            for batch in batches:
+                at = np.array(batch["at"].tolist()).reshape(-1, k)
+                total += at.T @ at
+            i, j = np.indices((k, k))
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+
+        inner = self.means @ self.means.T
+        for r in self.levels.select("at").mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+            inner[r["i"], r["j"]] += r["v"]
+        own = np.diag(inner)
+        return np.maximum(own[:, None] + own[None, :] - 2 * inner, 0.0)
+
+
+def count_labels(space: FeatureSpace, labelled: DataFrame) -> DataFrame:
+    """Level counts and totals per label, from one pass with a map-side combine."""
+    pairs = F.array(
+        F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("value")),
+        *[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in space.categorical],
+    )
+    numbers = {f"x{i}": F.col(c).cast("double") / F.lit(s) for i, (c, s) in enumerate(zip(space.numeric, space.scales))}
+    sums = [F.sum(n).alias(n) for n in [*numbers, "cost"]]
+    return (
+        labelled.select(F.col("_cluster").alias("label"), F.col("_d").alias("cost"), *[x.alias(n) for n, x in numbers.items()], F.explode(pairs).alias("p"))
+        .select("p.*", "label", "cost", *numbers)
+        .groupBy("column", "value", "label")
+        .agg(F.count(F.lit(1)).alias("n"), *sums)
+    )
+
+
+def table_kmeans(
+    space: FeatureSpace, rows: DataFrame, start: DataFrame, k: int, max_iter: int, tol: float, stage: Stage
+) -> TableCentres:
+    """Rounds of label and count from a labelled start, until the cost falls by less than ``tol``."""
+    centres = TableCentres(space, k, stage(count_labels(space, start), "centres"))
+    cost = float("inf")
+    for _ in range(max_iter):
+        counted = stage(count_labels(space, centres.label(rows)), "centres")
+        moved = TableCentres(space, k, counted)
+        if cost - moved.cost <= tol * moved.cost:
+            return moved
+        centres, cost = moved, moved.cost
+    return centres
