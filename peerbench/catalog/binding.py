@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerbench.config import Settings
+from peerbench.sources import spread
 
 SETTINGS = Settings(as_of_year=2005, role_pattern="ring|gear", job="small ring", experience=5)
 
@@ -14,7 +15,7 @@ def people_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item; every 41st part's rows twice. All values are text."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     rows = (
-        read("lineitem")
+        spread(read("lineitem"))
         .join(read("orders"), F.expr("l_orderkey = o_orderkey"))
         .join(read("part"), F.expr("l_partkey = p_partkey"))
         .join(read("supplier"), F.expr("l_suppkey = s_suppkey"))

@@ -16,7 +16,7 @@ from peerbench.operators.features import feature_stats, fit_features
 from peerbench.operators.impute import impute_median, impute_nearest
 from peerbench.operators.quantiles import exact_quantiles
 from peerbench.plans import people
-from peerbench.sources import drop_index, infer_types, null_tokens, read_people, round_floats, write_people
+from peerbench.sources import drop_index, infer_types, null_tokens, read_people, round_floats, spread, write_people
 from peerbench.staging import shared_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,7 +82,7 @@ def people_clean(spark, sf_dir):
 
 @query
 def clean_documents(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return docs.select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 

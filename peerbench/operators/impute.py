@@ -33,12 +33,11 @@ def nearest_means(
     Ties go to the lower value, then the lower key. Returns ``by``, ``_mean``. The plan is one
     ordered walk, not a join of pairs:
 
-    1. per distinct value keep its first k donors, and note whether a row needs it;
+    1. per distinct value keep its first k donors, and list the values that need an answer;
     2. cut the values into stretches with at least k donor values each, and lend each stretch the
        k outermost donor values of its neighbours, so that no answer lies outside it;
-    3. in value order within a stretch, every donor value knows the k donors at or below it and
-       the k above; a needed value takes both lists from the last donor before it;
-    4. the k nearest of those at most 2k donors are averaged.
+    3. in value order within a stretch, a needed value looks back and ahead over k donor values;
+    4. the k nearest of the donors found there are averaged.
     """
     have, need = F.col(target).isNotNull(), F.col(target).isNull()
     first = Window.partitionBy(by).orderBy(key)
@@ -56,50 +55,40 @@ def nearest_means(
 
     exact = F.col(by).cast("double")
     donors, needed = donors.withColumn("_x", exact), needed.withColumn("_x", exact)
-    stretches = min(MAX_STRETCHES, -(-donors.count() // stretch))
+    stretches = _stretches(donors.count(), stretch, df.sparkSession.sparkContext.defaultParallelism)
     cuts = _roomy_cuts(donors, cut_points(donors, "_x", stretches), k)
     donors, needed = with_bucket(donors, "_x", cuts, "_s"), with_bucket(needed, "_x", cuts, "_s")
     if cuts:
         donors = donors.unionByName(_lent(donors, by, k))
 
-    order = Window.partitionBy("_s").orderBy(by)
-    below = F.collect_list("_entry").over(order.rowsBetween(1 - k, 0))
-    above = F.collect_list("_entry").over(order.rowsBetween(1, k))
-    entry = F.transform("_own", lambda d: F.struct(F.col(by).alias("v"), d["_place"].alias("p"), d["t"].alias("t")))
-    walked = donors.select(
-        "_s", by, entry.alias("_entry")
-    ).select(
-        "_s", by,
-        # Nearest first: values descending below, ascending above; inside a value by key.
-        F.slice(F.flatten(F.reverse(below)), 1, k).alias("_below"),
-        F.slice(F.flatten(above), 1, k).alias("_above"),
-        F.col("_entry").alias("_self"),
-    )
-    # A needed value before the first donor of its stretch takes the donors from that one on.
-    lists = F.struct("_below", "_above")
-    upward = F.slice(F.concat("_self", "_above"), 1, k)
-    both = walked.select("_s", by, F.lit(0).alias("_ask"), lists.alias("_lists"), upward.alias("_up")).unionByName(
+    # A donor value comes before an equal needed one. Needed values hold no entry and are stepped over.
+    entry = F.struct(F.col(by).alias("v"), F.col("_own").alias("own"))
+    walked = donors.select("_s", by, F.lit(0).alias("_ask"), entry.alias("_entry")).unionByName(
         needed.select("_s", by, F.lit(1).alias("_ask")), allowMissingColumns=True
     )
-    walk = Window.partitionBy("_s").orderBy(by, "_ask")
-    before = F.last("_lists", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
-    # Only read where no donor comes before, so the first donor of the stretch is the next one.
-    after = F.first("_up", ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    asked = both.select(by, "_ask", before.alias("_before"), F.when(before.isNull(), after).alias("_after")).where(
-        F.col("_ask") == 1
-    )
-    candidates = F.coalesce(F.concat("_before._below", "_before._above"), F.col("_after"))
-    ranked = F.array_sort(
+    window = f"OVER (PARTITION BY _s ORDER BY `{by}`, _ask)"
+    looks = [F.expr(f"{way}(_entry, {i}) IGNORE NULLS {window}") for way in ("lag", "lead") for i in range(1, k + 1)]
+    asked = walked.select(by, "_ask", F.array(*looks).alias("_near")).where(F.col("_ask") == 1)
+    distance = lambda e: F.abs(e["v"] - F.col(by))
+    candidates = F.flatten(
         F.transform(
-            candidates,
-            lambda c: F.struct(F.abs(c["v"] - F.col(by)).alias("d"), c["v"].alias("v"), c["p"].alias("p"), c["t"].alias("t")),
+            F.array_compact("_near"),
+            lambda e: F.transform(
+                e["own"], lambda d: F.struct(distance(e).alias("d"), e["v"].alias("v"), d["_place"].alias("p"), d["t"].alias("t"))
+            ),
         )
     )
+    ranked = F.array_sort(candidates)
     nearest = F.slice(ranked, 1, k)
     total = F.aggregate(nearest, F.lit(0.0), lambda acc, c: acc + c["t"].cast("double"))
     return asked.select(by, F.when(F.size(nearest) > 0, total / F.size(nearest)).alias("_mean"))
 
 
+def _stretches(values: int, most: int, cores: int) -> int:
+    """Enough stretches to keep each below ``most`` values, and the cores busy on smaller inputs."""
+    return max(1, min(MAX_STRETCHES, max(-(-values // most), min(cores, values // 10_000))))
+
+
 def _roomy_cuts(donors: DataFrame, cuts: list[float], k: int) -> list[float]:
     """Drop cut points until every stretch between them has at least k donor values."""
     if not cuts:

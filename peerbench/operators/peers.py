@@ -108,31 +108,30 @@ def peer_table(
 ) -> DataFrame:
     """One row per finest group with the facts of all levels, to be joined to rows once.
 
-    Sums, extremes and counts of the coarser levels are rolled up from the finest one, so rows
-    are aggregated once (map-side first, hence safe under a hot group). Columns are prefixed by
-    level; a level's facts are NULL where one of its own keys is.
+    Rows are aggregated map-side first, hence safely under a hot group. Without medians only the
+    finest level reads the rows: sums, extremes and counts of the coarser ones are rolled up from
+    it. Columns are prefixed by level; a level's facts are NULL where one of its own keys is.
     """
     (finest_name, finest), *coarser = [(s, list(k)) for s, k in levels.items()]
-    fits = medians and fits_one_task(df, one_task_rows)
-    grouped = df.groupBy(*finest).agg(*_facts(value), *([_median(value).alias("_median")] if fits else []))
+    names = ["_sum", "_max", "_min", "_count"] + (["_median"] if medians else [])
+    one_task = medians and fits_one_task(df, one_task_rows)
     roll = [F.sum("_sum").alias("_sum"), F.max("_max").alias("_max"), F.min("_min").alias("_min"), F.sum("_count").alias("_count")]
 
+    def facts(keys: list[str], rolled: DataFrame | None) -> DataFrame:
+        if one_task:
+            return df.groupBy(*keys).agg(*_facts(value), _median(value).alias("_median"))
+        return df.groupBy(*keys).agg(*_facts(value)) if rolled is None else rolled.groupBy(*keys).agg(*roll)
+
     def labelled(part: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-        names = ["_sum", "_max", "_min", "_count"] + (["_median"] if medians else [])
-        if medians and "_median" not in part.columns:
-            part = _null_safe_left(part, group_medians(keys), keys)
+        if medians and not one_task:
+            middle = exact_quantiles(df, keys, value, [0.5], one_task_rows=one_task_rows)
+            part = _null_safe_left(part, middle.select(*keys, F.col("quantiles")[0].alias("_median")), keys)
         return part.select(*keys, *[F.when(_complete(keys), F.col(n)).alias(f"{suffix}{n}") for n in names])
 
-    def group_medians(keys: list[str]) -> DataFrame:
-        if fits:
-            return df.groupBy(*keys).agg(_median(value).alias("_median"))
-        medians_of = exact_quantiles(df, keys, value, [0.5], one_task_rows=one_task_rows)
-        return medians_of.select(*keys, F.col("quantiles")[0].alias("_median"))
-
-    wide = labelled(grouped, finest, finest_name)
-    rolled = grouped
+    rolled = facts(finest, None)
+    wide = labelled(rolled, finest, finest_name)
     for suffix, keys in coarser:
-        rolled = rolled.groupBy(*keys).agg(*roll)
+        rolled = facts(keys, rolled)
         wide = _null_safe_left(wide, labelled(rolled, keys, suffix), keys)
     return wide
 

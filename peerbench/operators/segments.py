@@ -153,7 +153,7 @@ def kmeans_segments(
 
 def elbow(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int], *, key: str,
-    sample_size: int = 5_000, restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 8,
+    sample_size: int = 5_000, restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 16,
 ) -> DataFrame:
     """(k, cost) of the best fit per k on a sample; a k beyond the number of rows is left out."""
     complete = drop_incomplete(df, [*numeric, *categorical])

@@ -37,14 +37,21 @@ def clean(raw: DataFrame, settings: Settings) -> DataFrame:
     if "row_id" not in rows.columns:
         rows = add_row_id(rows)
     rows = fill_missing(rows, {"company_hash": MISSING_COMPANY, "job_position": MISSING_JOB})
-    year = null_outside(to_number(F.col("orgyear")), settings.min_year, settings.as_of_year)
-    return rows.withColumns(
+    parsed = rows.withColumns(
         {
-            COMPANY: empty_to(clean_text(F.col("company_hash")), EMPTY_COMPANY),
-            JOB: empty_to(clean_text(F.col("job_position")), EMPTY_JOB),
+            COMPANY: clean_text(F.col("company_hash")),
+            JOB: clean_text(F.col("job_position")),
             "ctc": to_pay(F.col("ctc")),
             "ctc_updated_year": to_number(F.col("ctc_updated_year")),
-            "orgyear": year,
+            "orgyear": to_number(F.col("orgyear")),
+        }
+    )
+    # A second projection, so that what is tested and then returned is computed once.
+    return parsed.withColumns(
+        {
+            COMPANY: empty_to(F.col(COMPANY), EMPTY_COMPANY),
+            JOB: empty_to(F.col(JOB), EMPTY_JOB),
+            "orgyear": null_outside(F.col("orgyear"), settings.min_year, settings.as_of_year),
         }
     )
 

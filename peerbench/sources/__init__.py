@@ -1,7 +1,7 @@
 from peerbench.sources.people import (
-    add_row_id, drop_index, infer_types, null_tokens, read_people, round_floats, write_people,
+    add_row_id, drop_index, infer_types, null_tokens, read_people, round_floats, spread, write_people,
 )
 
 __all__ = [
-    "add_row_id", "drop_index", "infer_types", "null_tokens", "read_people", "round_floats", "write_people",
+    "add_row_id", "drop_index", "infer_types", "null_tokens", "read_people", "round_floats", "spread", "write_people",
 ]

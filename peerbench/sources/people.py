@@ -29,6 +29,16 @@ def read_people(
     return reader.csv(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal the rows of a scan to all cores if it has fewer splits than that; else leave it be.
+
+    Meant for a scan straight from files: small tables in one file would keep one core busy,
+    large ones have more splits than cores and are not shuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def null_tokens(df: DataFrame, cols: Iterable[str], tokens: Iterable[str]) -> DataFrame:
     """Turn text that spells a missing value into NULL."""
     tokens = list(tokens)

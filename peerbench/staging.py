@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_folder: tempfile.TemporaryDirectory | None = None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
@@ -20,9 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="peerbench-")
-    sc.setCheckpointDir(folder)
-    return folder
+    global _local_folder
+    _local_folder = _local_folder or tempfile.TemporaryDirectory(prefix="peerbench-", ignore_cleanup_errors=True)
+    return _local_folder.name
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
