@@ -1,0 +1,168 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from peerbench.operators import segments
+from peerbench.operators.features import feature_stats, fit_features
+from peerbench.operators.merge_tree import cut_tree, ward_merges
+from peerbench.operators.wide_segments import TableCentres, count_labels
+from peerbench.staging import stage
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Two tight groups of 50 rows and a row with a missing feature."""
+    data = [(f"a{i}", 1.0 + i / 1000, 2, "x", "p") for i in range(50)]
+    data += [(f"b{i}", 900.0 + i / 1000, 40, "y", "q") for i in range(50)]
+    data += [("gap", None, 2, "x", "p")]
+    return spark.createDataFrame(data, "row_id string, pay double, years int, co string, job string")
+
+
+@pytest.fixture(scope="module")
+def mixed(spark):
+    rng = np.random.default_rng(4)
+    data = [
+        (f"{i:04d}", float(rng.lognormal(3, 1)), int(rng.integers(0, 30)), "hot" if i % 3 == 0 else f"c{rng.integers(0, 25)}", f"j{rng.integers(0, 5)}")
+        for i in range(1500)
+    ]
+    return spark.createDataFrame(data, "row_id string, pay double, years int, co string, job string")
+
+
+FEATURES = (["pay", "years"], ["co", "job"])
+
+
+def test_one_hot_of_seen_and_unseen_levels(spark):
+    seen = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "c string, n double")
+    space = fit_features(seen, [], ["c"])
+    assert space.width == 3
+    new = spark.createDataFrame([(0, "z"), (1, "a"), (2, "c")], "i int, c string")
+    vectors = [r["features"] for r in space.vectors(new).orderBy("i").collect()]
+    weight = 1 / np.sqrt(1 / 3 * 2 / 3)
+    assert [v.toArray().tolist() for v in vectors] == [[0, 0, 0], pytest.approx([weight, 0, 0]), pytest.approx([0, 0, weight])]
+
+
+def test_columns_have_unit_deviation_and_constants_stay(spark, mixed):
+    space = fit_features(mixed.withColumn("same", F.lit("s")), FEATURES[0], ["co", "same"])
+    stats = feature_stats(space, mixed.withColumn("same", F.lit("s"))).collect()
+    for r in stats:
+        assert r["std"] == pytest.approx(0.0 if r["column"] == "same" else 1.0, abs=1e-9)
+    same = next(r for r in stats if r["column"] == "same")
+    assert same["mean"] == pytest.approx(1.0) and same["nonzeros"] == 1500
+
+
+@pytest.mark.parametrize("max_cells", [10**6, 0])
+def test_two_groups(rows, max_cells):
+    labelled = segments.kmeans_segments(rows, *FEATURES, 2, key="row_id", restarts=2, label="s", max_cells=max_cells)
+    got = {r["row_id"]: r["s"] for r in labelled.collect()}
+    assert len(got) == 101 and got.pop("gap") == -1
+    assert len({s for i, s in got.items() if i[0] == "a"}) == 1 and len({s for i, s in got.items() if i[0] == "b"}) == 1
+    assert set(got.values()) == {0, 1}
+
+
+def test_no_complete_rows(rows):
+    gaps = rows.where("row_id = 'gap'")
+    assert segments.kmeans_segments(gaps, *FEATURES, 2, key="row_id", label="s").first()["s"] == -1
+    assert segments.hierarchical_segments(gaps, *FEATURES, 2, key="row_id", label="s").first()["s"] == -1
+
+
+def test_vector_and_table_centres_agree(mixed):
+    """Every row is nearest to its own centre, and both representations give the same geometry."""
+    space = fit_features(mixed, *FEATURES, stage=stage)
+    found = segments.fit_clusters(space, mixed, 4, key="row_id", restarts=3, seed=1, label="s")
+    assert sum(found.sizes) == 1500 and found.sizes == sorted(found.sizes, reverse=True)
+    labelled = found.labelled.withColumnRenamed("s", "_cluster").withColumn("_d", F.lit(0.0))
+    centres = TableCentres(space, 4, stage(count_labels(space, labelled), "centres"))
+    assert centres.sizes.tolist() == found.sizes
+    assert centres.squared_distances() == pytest.approx(found.squared_distances, abs=1e-6)
+    again = centres.label(labelled.withColumnRenamed("_cluster", "old").drop("_d"))
+    moved, cost = again.agg(F.count_if(F.col("old") != F.col("_cluster")), F.sum("_d")).first()
+    assert moved == 0 and cost == pytest.approx(found.cost, rel=1e-6)
+
+
+def test_table_rounds_agree_with_brute_force(mixed):
+    space = fit_features(mixed, *FEATURES, stage=stage)
+    found = segments.fit_clusters(space, mixed, 3, key="row_id", restarts=1, max_iter=50, tol=0.0, sample_size=200, max_cells=0, label="s")
+    data = space.vectors(found.labelled).collect()
+    x = np.array([r["features"].toArray() for r in data])
+    labels = np.array([r["s"] for r in data])
+    centres = np.array([x[labels == j].mean(axis=0) for j in range(3)])
+    distance = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert (distance.argmin(axis=1) != labels).mean() < 0.01
+    assert found.cost == pytest.approx(distance.min(axis=1).sum(), rel=1e-3)
+    assert np.bincount(labels, minlength=3).tolist() == found.sizes
+    squared = ((centres[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert found.squared_distances == pytest.approx(squared, rel=1e-2)
+
+
+def test_more_starts_never_cost_more(mixed):
+    space = fit_features(mixed, *FEATURES)
+    vectors = space.vectors(mixed).select("features").cache()
+    best = segments._best_fits(vectors, [4], 4, 7, 50, 1e-4, 2)[4].summary.trainingCost
+    singles = [segments._best_fits(vectors, [4], 1, 7 + r, 50, 1e-4, 1)[4].summary.trainingCost for r in range(4)]
+    assert best == pytest.approx(min(singles), rel=1e-6)
+
+
+def test_elbow_skips_k_beyond_rows(spark):
+    few = spark.createDataFrame([(str(i), float(i), i, "x", "p") for i in range(3)], "row_id string, pay double, years int, co string, job string")
+    got = segments.elbow(few, *FEATURES, [2, 3, 4], key="row_id", restarts=1).collect()
+    assert [r["k"] for r in got] == [2, 3]
+
+
+def test_elbow_on_a_sample(mixed):
+    got = segments.elbow(mixed, *FEATURES, [2, 6], key="row_id", sample_size=300, restarts=2).collect()
+    assert [r["k"] for r in got] == [2, 6] and got[1]["cost"] < got[0]["cost"]
+
+
+def test_merges_golden():
+    squared = np.array([[0.0, 1.0, 100.0], [1.0, 0.0, 81.0], [100.0, 81.0, 0.0]])
+    first, second = ward_merges([1, 1, 2], squared)
+    assert (first.height, first.size, first.left, first.right) == (1.0, 2, 0, 1)
+    assert second.height == pytest.approx(13.435, abs=1e-3) and second.size == 4 and (second.left, second.right) == (2, 3)
+    assert cut_tree([1, 1, 2], [first, second], 2) in ([0, 0, 1], [1, 1, 0])
+    assert cut_tree([1, 1, 2], [first, second], 1) == [0, 0, 0]
+
+
+def test_merges_agree_with_brute_force():
+    rng = np.random.default_rng(9)
+    points, sizes = rng.normal(size=(25, 3)), rng.integers(1, 20, 25).tolist()
+    squared = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    merges = ward_merges(sizes, squared)
+    heights = [m.height for m in merges]
+    assert heights == sorted(heights) and merges[-1].size == sum(sizes)
+    alive = {i: (sizes[i], points[i]) for i in range(25)}
+    for m in merges:
+        cost = {
+            (i, j): np.sqrt(2 * a[0] * b[0] / (a[0] + b[0]) * ((a[1] - b[1]) ** 2).sum())
+            for i, a in alive.items() for j, b in alive.items() if i < j
+        }
+        assert m.height == pytest.approx(min(cost.values())) and cost[m.left, m.right] == pytest.approx(m.height)
+        (n1, c1), (n2, c2) = alive.pop(m.left), alive.pop(m.right)
+        alive[25 + m.step] = (n1 + n2, (n1 * c1 + n2 * c2) / (n1 + n2))
+
+
+@pytest.mark.parametrize("max_cells", [10**6, 0])
+def test_hierarchy_over_all_rows(mixed, max_cells):
+    micro = segments.micro_clusters(mixed, *FEATURES, key="row_id", n=20, max_cells=max_cells)
+    labelled = segments.hierarchical_segments(mixed, *FEATURES, 4, key="row_id", micro=micro, label="h")
+    sizes = {r["h"]: r["size"] for r in segments.cluster_sizes(labelled, "h").collect()}
+    assert set(sizes) == {0, 1, 2, 3} and sum(sizes.values()) == 1500
+    assert sizes[0] == max(sizes.values())
+    tree = segments.merge_tree(mixed.sparkSession, micro, last=5).collect()
+    assert len(tree) == 5 and tree[-1]["size"] == 1500
+
+
+def test_assignment_to_given_centroids(spark):
+    df = spark.createDataFrame([(0.0, 0.0), (9.0, 9.0), (5.0, 5.0)], "x double, y double")
+    by_columns = segments.assign_to_centroids(df, [F.col("x"), F.col("y")], [(0, 0), (10, 10)], "s")
+    by_array = segments.assign_to_centroids(df, F.array("x", "y"), [(0, 0), (10, 10)], "s")
+    # The last point is as far from both.
+    assert [r["s"] for r in by_columns.collect()] == [0, 1, 0] == [r["s"] for r in by_array.collect()]
+
+
+def test_profile_of_segments(spark):
+    df = spark.createDataFrame([(0, 1.0, "a"), (0, 3.0, "a"), (0, 2.0, "b"), (1, 9.0, "c"), (-1, 50.0, "z")], "s int, v double, c string")
+    profile = segments.segment_profile(df, "s", ["v"], ["c"], 1)
+    assert {tuple(r) for r in profile["means"].collect()} == {(0, 2.0), (1, 9.0)}
+    assert {tuple(r) for r in profile["sizes"].collect()} == {(0, 3), (1, 1)}
+    assert {(r["s"], r["c"], r["n"]) for r in profile["top_c"].collect()} == {(0, "a", 2), (1, "c", 1)}
+    assert segments.cluster_means(df.where("s = 0"), "s", ["v"]).count() == 0
