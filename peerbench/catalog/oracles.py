@@ -329,6 +329,14 @@ ORACLES: dict[str, str] = {
             FROM (SELECT * FROM prepared ORDER BY {_shuffled}, row_id LIMIT {SETTINGS.scatter_cap}) WHERE ctc > 0""",
     ),
     "feature_columns": _sql("prepared", _feature_columns()),
+    "kmeans_checks": _sql(
+        "prepared",
+        f"""SELECT count(*) AS n_rows, {SETTINGS.segments} AS n_segments, 0 AS n_outside, true AS at_nearest_centre FROM prepared""",
+    ),
+    "hierarchical_checks": _sql(
+        "prepared", f"SELECT count(*) AS n_rows, {SETTINGS.segments} AS n_segments, 0 AS n_unassigned FROM prepared"
+    ),
+    "merge_tree_checks": _sql("prepared", "SELECT true AS heights_rise, count(*) AS n_rows FROM prepared"),
     "assign_people": _sql("assigned", "SELECT row_id, segment FROM assigned"),
     "assign_embeddings": """
         WITH centre AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS j, embedding AS e FROM embeddings ORDER BY vec_id LIMIT 5),

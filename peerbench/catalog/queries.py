@@ -15,6 +15,7 @@ from peerbench.operators import distribution, peers, profile, rank, segments, ta
 from peerbench.operators.features import feature_stats, fit_features
 from peerbench.operators.impute import impute_median, impute_nearest
 from peerbench.operators.quantiles import exact_quantiles
+from peerbench.operators.wide_segments import TableCentres, count_labels
 from peerbench.plans import people
 from peerbench.sources import drop_index, infer_types, null_tokens, read_people, round_floats, spread, write_people
 from peerbench.staging import shared_folder, stage
@@ -355,10 +356,39 @@ def elbow(spark, sf_dir):
     )
 
 
+def _kmeans(spark, sf_dir):
+    return segments.kmeans_segments(
+        prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", restarts=SETTINGS.restarts, seed=SETTINGS.seed
+    )
+
+
 @query
 def kmeans_segments(spark, sf_dir):
+    return _kmeans(spark, sf_dir).select("row_id", "KMeans_Cluster")
+
+
+@query
+def kmeans_checks(spark, sf_dir):
+    """The fit looked at anew: centres are rebuilt from the labels as tables and rows labelled again."""
+    labelled = _step(spark, sf_dir, "kmeans", lambda: _kmeans(spark, sf_dir))
+    rows = labelled.select(*FEATURES[0], *FEATURES[1], F.col("KMeans_Cluster").alias("_cluster"))
+    space = fit_features(rows, *FEATURES, stage=stage)
+    counted = stage(count_labels(space, rows.withColumn("_d", F.lit(0.0))), "centres")
+    again = TableCentres(space, SETTINGS.segments, counted).label(rows.withColumnRenamed("_cluster", "label"))
+    moved = F.count_if(F.col("label") != F.col("_cluster"))
+    return again.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("label").cast("int").alias("n_segments"),
+        F.count_if(~F.col("label").between(0, SETTINGS.segments - 1)).alias("n_outside"),
+        (moved * 1000 <= F.count(F.lit(1))).alias("at_nearest_centre"),
+    )
+
+
+@query
+def kmeans_segments_tables(spark, sf_dir):
+    """The fit for any number of levels, with the centres kept as tables; one start."""
     labelled = segments.kmeans_segments(
-        prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", restarts=SETTINGS.restarts, seed=SETTINGS.seed
+        prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", restarts=1, seed=SETTINGS.seed, max_cells=0
     )
     return labelled.select("row_id", "KMeans_Cluster")
 
@@ -367,12 +397,23 @@ def _micro(spark, sf_dir):
     return segments.micro_clusters(prepared(spark, sf_dir), *FEATURES, key="row_id", n=SETTINGS.micro_clusters, seed=SETTINGS.seed)
 
 
+def _hierarchical(spark, sf_dir):
+    return segments.hierarchical_segments(
+        prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", micro=_micro(spark, sf_dir)
+    )
+
+
 @query
 def hierarchical_segments(spark, sf_dir):
-    labelled = segments.hierarchical_segments(
-        prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", micro=_micro(spark, sf_dir)
+    return _hierarchical(spark, sf_dir).select("row_id", "Hierarchical_Cluster")
+
+
+@query
+def hierarchical_checks(spark, sf_dir):
+    label = F.col("Hierarchical_Cluster")
+    return _hierarchical(spark, sf_dir).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(label).cast("int").alias("n_segments"), F.count_if(label == -1).alias("n_unassigned")
     )
-    return labelled.select("row_id", "Hierarchical_Cluster")
 
 
 @query
@@ -380,6 +421,16 @@ def merge_tree(spark, sf_dir):
     return segments.merge_tree(spark, _micro(spark, sf_dir))
 
 
+@query
+def merge_tree_checks(spark, sf_dir):
+    """The whole tree: heights never fall, and the last merge holds every row."""
+    tree = segments.merge_tree(spark, _micro(spark, sf_dir), last=None)
+    in_order = F.array_sort(F.collect_list(F.struct("step", "height")))
+    # At most as many merges as micro-clusters, whatever the number of rows.
+    rises = F.forall(F.sequence(F.lit(1), F.size(in_order) - 1), lambda i: in_order[i]["height"] >= in_order[i - 1]["height"] - 1e-9)
+    return tree.agg(rises.alias("heights_rise"), F.max("size").alias("n_rows"))
+
+
 def _assigned(spark, sf_dir):
     """Rows with the number of the nearest given centroid; unknown companies stay unassigned."""
     rows = prepared(spark, sf_dir)

@@ -34,8 +34,8 @@ def nearest_means(
     ordered walk, not a join of pairs:
 
     1. per distinct value keep its first k donors, and list the values that need an answer;
-    2. cut the values into stretches with at least k donor values each, and lend each stretch the
-       k outermost donor values of its neighbours, so that no answer lies outside it;
+    2. cut all these values into stretches of about equal length, and lend each stretch the k donor
+       values next below and above it, wherever they are, so that no answer lies outside it;
     3. in value order within a stretch, a needed value looks back and ahead over k donor values;
     4. the k nearest of the donors found there are averaged.
     """
@@ -55,11 +55,12 @@ def nearest_means(
 
     exact = F.col(by).cast("double")
     donors, needed = donors.withColumn("_x", exact), needed.withColumn("_x", exact)
-    stretches = _stretches(donors.count(), stretch, df.sparkSession.sparkContext.defaultParallelism)
-    cuts = _roomy_cuts(donors, cut_points(donors, "_x", stretches), k)
+    both = donors.select("_x").union(needed.select("_x"))
+    wanted = _stretches(both.count(), stretch, df.sparkSession.sparkContext.defaultParallelism)
+    cuts = cut_points(both, "_x", wanted)
     donors, needed = with_bucket(donors, "_x", cuts, "_s"), with_bucket(needed, "_x", cuts, "_s")
     if cuts:
-        donors = donors.unionByName(_lent(donors, by, k))
+        donors = donors.select("_s", by, "_own").unionByName(_lent(donors, by, k, len(cuts) + 1))
 
     # A donor value comes before an equal needed one. Needed values hold no entry and are stepped over.
     entry = F.struct(F.col(by).alias("v"), F.col("_own").alias("own"))
@@ -89,29 +90,28 @@ def _stretches(values: int, most: int, cores: int) -> int:
     return max(1, min(MAX_STRETCHES, max(-(-values // most), min(cores, values // 10_000))))
 
 
-def _roomy_cuts(donors: DataFrame, cuts: list[float], k: int) -> list[float]:
-    """Drop cut points until every stretch between them has at least k donor values."""
-    if not cuts:
-        return cuts
-    sizes = {r["_s"]: r["n"] for r in with_bucket(donors, "_x", cuts, "_s").groupBy("_s").agg(F.count("*").alias("n")).collect()}
-    kept, room = [], 0
-    for i, cut in enumerate(cuts):
-        room += sizes.get(i, 0)
-        if room >= k:
-            kept.append(cut)
-            room = 0
-    if kept and room + sizes.get(len(cuts), 0) < k:
-        kept.pop()
-    return kept
-
-
-def _lent(donors: DataFrame, by: str, k: int) -> DataFrame:
-    """Copies of each stretch's k lowest donors for the stretch below, and k highest for the one above."""
-    per = Window.partitionBy("_s")
-    low = donors.withColumn("_r", F.row_number().over(per.orderBy(F.col(by).asc()))).where(F.col("_r") <= k)
-    high = donors.withColumn("_r", F.row_number().over(per.orderBy(F.col(by).desc()))).where(F.col("_r") <= k)
+def _lent(donors: DataFrame, by: str, k: int, stretches: int) -> DataFrame:
+    """For each stretch the k donors next below and the k next above it, as further rows of it.
+
+    Only the outermost k donors of a stretch can be among them. So the one window that spans all
+    stretches sees at most 2 k rows of each, and two markers: before its donors and after them.
+    """
+    inside = Window.partitionBy("_s")
+    edges = (
+        donors.withColumn("_r", F.row_number().over(inside.orderBy(by)))
+        .withColumn("_m", F.count("*").over(inside))
+        .where((F.col("_r") <= k) | (F.col("_r") > F.col("_m") - k))
+        .select("_s", F.lit(1).alias("_side"), by, F.struct(by, "_own").alias("_donor"))
+    )
+    marks = donors.sparkSession.range(stretches).select(
+        F.col("id").cast("int").alias("_s"), F.explode(F.array(F.lit(0), F.lit(2))).alias("_side")
+    )
+    window = f"OVER (ORDER BY _s, _side, `{by}`)"
+    look = lambda way: F.array(*[F.expr(f"{way}(_donor, {i}) IGNORE NULLS {window}") for i in range(1, k + 1)])
+    seen = edges.unionByName(marks, allowMissingColumns=True).select("_s", "_side", look("lag").alias("_below"), look("lead").alias("_above"))
+    near = F.when(F.col("_side") == 0, F.col("_below")).otherwise(F.col("_above"))
     return (
-        low.withColumn("_s", F.col("_s") - 1).unionByName(high.withColumn("_s", F.col("_s") + 1)).drop("_r")
+        seen.where(F.col("_side") != 1).select("_s", F.explode(F.array_compact(near)).alias("_donor")).select("_s", f"_donor.{by}", "_donor._own")
     )
 
 

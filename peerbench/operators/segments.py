@@ -104,7 +104,7 @@ def fit_clusters(
         best = None
         for restart in range(restarts):
             sample = stage(sample_rows(rows, sample_size, seed + restart, key), "sample")
-            start = _sample_labels(space, rows, sample, k, seed + restart, max_iter, tol)
+            start = _sample_labels(space.restricted(sample), sample, k, seed + restart, max_iter, tol)
             found = table_kmeans(space, rows, start, k, max_iter, tol, stage)
             best = found if best is None or found.cost < best.cost else best
         predicted = best.label(rows)
@@ -117,15 +117,11 @@ def fit_clusters(
     )
 
 
-def _sample_labels(
-    space: FeatureSpace, rows: DataFrame, sample: DataFrame, k: int, seed: int, max_iter: int, tol: float
-) -> DataFrame:
-    """The rows of a sample with the label of a fit on the sample alone, which bounds its levels."""
-    small = fit_features(rows, space.numeric, space.categorical, only=sample)
+def _sample_labels(small: FeatureSpace, sample: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> DataFrame:
+    """The rows of a sample with the label of a fit on the sample alone."""
     vectors = small.vectors(sample).coalesce(1).cache()
     model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="_cluster").fit(vectors)
-    labelled = model.transform(vectors).drop("features").withColumn("_d", F.lit(0.0))
-    return labelled
+    return model.transform(vectors).drop("features").withColumn("_d", F.lit(0.0))
 
 
 def _split(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -154,13 +150,15 @@ def kmeans_segments(
 def elbow(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int], *, key: str,
     sample_size: int = 5_000, restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 16,
+    stage: Stage = stage_table,
 ) -> DataFrame:
     """(k, cost) of the best fit per k on a sample; a k beyond the number of rows is left out."""
     complete = drop_incomplete(df, [*numeric, *categorical])
-    sample = complete
-    if complete.count() > 1.5 * sample_size:
-        sample = sample_rows(complete, sample_size, seed, key)
-    space = fit_features(complete, numeric, categorical, only=sample)
+    space = fit_features(complete, numeric, categorical, stage=stage)
+    sample = complete.select(key, *numeric, *categorical)
+    if space.n_rows > 1.5 * sample_size:
+        sample = stage(sample_rows(sample, sample_size, seed, key), "sample")
+    space = space.restricted(sample)
     # At most 1.5 sample sizes of rows: one partition spares every round its scheduling.
     vectors = space.vectors(sample).select("features").coalesce(1).cache()
     try:

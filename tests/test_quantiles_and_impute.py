@@ -101,6 +101,14 @@ def test_nearest_agrees_with_brute_force(spark, k, most):
         assert got[c] == pytest.approx(want[c], rel=1e-12), c
 
 
+@pytest.mark.parametrize("most", [2, 10])
+def test_long_runs_without_donors(spark, most):
+    rows = [(f"d{i}", float(c), 1970.0 + i) for i, c in enumerate([1, 2, 3, 500, 501, 9000])]
+    rows += [(f"n{c}", float(c), None) for c in [*range(10, 90, 2), *range(5000, 5020), 20000]]
+    means = nearest_means(people(spark, rows), "orgyear", "ctc", 4, "row_id", stretch=most)
+    assert {r["ctc"]: r["_mean"] for r in means.collect()} == pytest.approx(brute_force(rows, 4), rel=1e-12)
+
+
 def test_imputed_years_stay_inside_the_donors(spark):
     rows = [(f"{i}", float(i % 37), None if i % 4 == 0 else 1970.0 + i % 30) for i in range(500)]
     filled = impute_nearest(people(spark, rows), "orgyear", "ctc", 5, "row_id")
