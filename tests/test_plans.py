@@ -71,6 +71,32 @@ def test_filters_and_columns_reach_the_scan(prepared):
     assert "job_position" not in text
 
 
+def test_hot_groups_are_split_in_the_join(spark, tmp_path):
+    """A peer group with a third of all rows does not stay in one task of the join."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    n = F.col("id")
+    rows = spark.range(120_000, numPartitions=8).select(
+        n.cast("string").alias("row_id"), F.when(n % 3 == 0, "hot").otherwise(F.concat(F.lit("c"), n % 1000)).alias("a"),
+        F.when(n % 3 == 0, "j").otherwise(F.concat(F.lit("j"), n % 7)).alias("b"), (n % 100).cast("decimal(20,4)").alias("pay"),
+    )
+    rows.write.parquet(str(tmp_path / "rows"))
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        found = peers.attach_peers(
+            spark.read.parquet(str(tmp_path / "rows")), {"fine": ["a", "b"], "coarse": ["a"]}, "pay", flags={"f": "fine"}, medians=False
+        )
+        assert len(found.collect()) == 120_000
+        assert "skew=true" in plan(found)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+
+
 def test_whole_plan_from_csv(spark, tmp_path):
     """Raw CSV with an index column in; enriched CSV and all report tables out."""
     raw = people_view(spark, SMALL).drop("row_id").withColumn("Unnamed: 0", F.monotonically_increasing_id())
