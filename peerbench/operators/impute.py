@@ -17,6 +17,8 @@ MAX_STRETCHES = 10_000
 
 def impute_median(df: DataFrame, col: str, *, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
     """Fill missing values with the exact median of the rest (all missing: nothing to fill with)."""
+    if df.where(F.col(col).isNull()).isEmpty():
+        return df
     row = exact_quantiles(df, [], col, [0.5], one_task_rows=one_task_rows).first()
     if row is None or row["quantiles"] is None:
         return df
@@ -123,6 +125,8 @@ def impute_nearest(
 
     Complete rows pass through without a shuffle; only the rows to fill join the table of means.
     """
+    if df.where(F.col(target).isNull()).isEmpty():
+        return df
     means = nearest_means(df, target, by, k, key, stretch=stretch, stage=stage)
     filled = (
         df.where(F.col(target).isNull())

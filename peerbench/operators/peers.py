@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from peerbench.config import PEER_FLAGS
 from peerbench.functions import peer_flag
 from peerbench.operators.profile import value_counts
-from peerbench.operators.quantiles import ONE_TASK_ROWS, exact_quantiles, fits_one_task
+from peerbench.operators.quantiles import BUCKETS, ONE_TASK_ROWS, cut_points, exact_quantiles, fits_one_task
 
 Levels = Mapping[str, Sequence[str]]
 
@@ -115,6 +115,7 @@ def peer_table(
     (finest_name, finest), *coarser = [(s, list(k)) for s, k in levels.items()]
     names = ["_sum", "_max", "_min", "_count"] + (["_median"] if medians else [])
     one_task = medians and fits_one_task(df, one_task_rows)
+    cuts = cut_points(df, value, BUCKETS) if medians and not one_task else None
     roll = [F.sum("_sum").alias("_sum"), F.max("_max").alias("_max"), F.min("_min").alias("_min"), F.sum("_count").alias("_count")]
 
     def facts(keys: list[str], rolled: DataFrame | None) -> DataFrame:
@@ -124,7 +125,7 @@ def peer_table(
 
     def labelled(part: DataFrame, keys: list[str], suffix: str) -> DataFrame:
         if medians and not one_task:
-            middle = exact_quantiles(df, keys, value, [0.5], one_task_rows=one_task_rows)
+            middle = exact_quantiles(df, keys, value, [0.5], one_task_rows=one_task_rows, cuts=cuts)
             part = _null_safe_left(part, middle.select(*keys, F.col("quantiles")[0].alias("_median")), keys)
         return part.select(*keys, *[F.when(_complete(keys), F.col(n)).alias(f"{suffix}{n}") for n in names])
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # however the rows fall into groups.
 ONE_TASK_ROWS = 2_000_000
 
+# Value buckets of the plan for larger inputs.
+BUCKETS = 1_000
+
 
 def fits_one_task(df: DataFrame, limit: int = ONE_TASK_ROWS) -> bool:
     return df.count() <= limit
@@ -21,6 +24,7 @@ def cut_points(df: DataFrame, col: str, buckets: int) -> list[float]:
     """Inner borders that split the values into about equal shares, from a mergeable sketch."""
     if buckets < 2:
         return []
+    df = df.select(F.col(col).cast("double").alias(col))
     shares = [i / buckets for i in range(1, buckets)]
     return sorted(set(df.approxQuantile(col, shares, 1.0 / (4 * buckets))))
 
@@ -41,7 +45,8 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     one_task_rows: int = ONE_TASK_ROWS,
-    buckets: int = 1_000,
+    buckets: int = BUCKETS,
+    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: the keys and ``quantiles`` (array of doubles).
 
@@ -49,7 +54,8 @@ def exact_quantiles(
     built-in ``percentile``. Larger ones never hold a group in one task: values are counted,
     cut into value buckets of about equal size, the bucket that holds each wanted rank is found
     from the bucket totals, and only those buckets are ordered. A bucket has at most about
-    ``1 / buckets`` of all rows, even if one group has all of them.
+    ``1 / buckets`` of all rows, even if one group has all of them. The cuts depend on the values
+    alone; calls that differ in their keys can share them.
     """
     keys = list(keys)
     values = (
@@ -60,13 +66,12 @@ def exact_quantiles(
     if fits_one_task(df, one_task_rows):
         wanted = F.percentile("_v", F.array(*[F.lit(p) for p in probs]))
         return values.groupBy(*keys).agg(wanted.alias("quantiles"))
-    return _ranked_quantiles(values, keys, probs, buckets)
+    return _ranked_quantiles(values, keys, probs, cut_points(values, "_v", buckets) if cuts is None else cuts)
 
 
-def _ranked_quantiles(values: DataFrame, keys: list[str], probs: Sequence[float], buckets: int) -> DataFrame:
+def _ranked_quantiles(values: DataFrame, keys: list[str], probs: Sequence[float], cuts: Sequence[float]) -> DataFrame:
     # The whole table as one group; its windows see bucket totals or one bucket, never all rows.
     by = keys or ["_all"]
-    cuts = cut_points(values, "_v", buckets)
     if not keys:
         values = values.withColumn("_all", F.lit(0))
     counted = with_bucket(values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", cuts, "_b")
