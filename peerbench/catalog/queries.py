@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ RAW_TEXT = people.TEXT
 FEATURES = (people.NUMERIC_FEATURES, people.CATEGORICAL_FEATURES)
 
 _steps: dict[tuple[str, str, str], DataFrame] = {}
+_micros: dict[tuple[str, str], segments.Clusters] = {}
 
 
 def query(fn: Query) -> Query:
@@ -357,9 +359,10 @@ def elbow(spark, sf_dir):
 
 
 def _kmeans(spark, sf_dir):
-    return segments.kmeans_segments(
+    fit = lambda: segments.kmeans_segments(
         prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", restarts=SETTINGS.restarts, seed=SETTINGS.seed
     )
+    return _step(spark, sf_dir, "kmeans", fit)
 
 
 @query
@@ -370,8 +373,7 @@ def kmeans_segments(spark, sf_dir):
 @query
 def kmeans_checks(spark, sf_dir):
     """The fit looked at anew: centres are rebuilt from the labels as tables and rows labelled again."""
-    labelled = _step(spark, sf_dir, "kmeans", lambda: _kmeans(spark, sf_dir))
-    rows = labelled.select(*FEATURES[0], *FEATURES[1], F.col("KMeans_Cluster").alias("_cluster"))
+    rows = _kmeans(spark, sf_dir).select(*FEATURES[0], *FEATURES[1], F.col("KMeans_Cluster").alias("_cluster"))
     space = fit_features(rows, *FEATURES, stage=stage)
     counted = stage(count_labels(space, rows.withColumn("_d", F.lit(0.0))), "centres")
     again = TableCentres(space, SETTINGS.segments, counted).label(rows.withColumnRenamed("_cluster", "label"))
@@ -394,7 +396,14 @@ def kmeans_segments_tables(spark, sf_dir):
 
 
 def _micro(spark, sf_dir):
-    return segments.micro_clusters(prepared(spark, sf_dir), *FEATURES, key="row_id", n=SETTINGS.micro_clusters, seed=SETTINGS.seed)
+    """The micro-clusters, fitted once per session and folder; their labelled rows are written."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _micros:
+        micro = segments.micro_clusters(
+            prepared(spark, sf_dir), *FEATURES, key="row_id", n=SETTINGS.micro_clusters, seed=SETTINGS.seed
+        )
+        _micros[at] = replace(micro, labelled=stage(micro.labelled, "micro"))
+    return _micros[at]
 
 
 def _hierarchical(spark, sf_dir):
