@@ -1,0 +1,130 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
+
+from peerbench.llm import queries
+from peerbench.llm.arrays import find_words, text_buffers, word_blocks
+from peerbench.llm.compression_bands import Bands, compression_bands
+from peerbench.llm.nb_svm import NbSvm, dual_descent, quality_scores
+from peerbench.llm.substring_dedup import substring_dedup
+import brute
+from brute import SF
+
+ODD = ["", None, " ", "\n\n", "a", "é b c\x0b\x0cd\x1ce", "x " * 400, "x" * 5000, "one\ntwo\none\n\n \n \ntwo", "ß ü 漢字 😀 ok"]
+
+
+def test_words_are_those_of_the_pattern(documents):
+    texts = ODD + [t for _, t in documents[:200]]
+    for column in (pa.array(texts), pa.array(["skip", *texts]).slice(1)):
+        data, bounds = text_buffers(column)
+        words = find_words(data, bounds)
+        got = [bytes(data[a:b]).decode() for a, b in zip(words.start, words.end, strict=True)]
+        assert [got[a:b] for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)] == [brute.words_of(t) for t in texts]
+        hashes = dict(zip(got, words.hashes().tolist(), strict=True))
+        assert len(set(hashes.values())) == len(hashes)
+        assert [hashes[w] for w in got] == words.hashes().tolist()
+
+
+def test_null_column():
+    assert [w.count.tolist() for _, _, w in word_blocks(pa.nulls(2))] == [[0, 0]]
+
+
+def test_base_counts_and_verdict(frame, documents):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + d, t) for d, t in documents] + [(None, "null id"), (0, "again")]
+    got = sorted(map(tuple, compression_bands(frame(rows)).collect()), key=str)
+    want = []
+    bands = Bands()
+    pack = zstandard.ZstdCompressor(level=bands.level)
+    for d, t in rows:
+        *counts, failed = brute.base_counts(t)
+        raw = (t or "").encode()
+        whole = len(raw) / len(pack.compress(raw)) if raw else 1.0
+        chunks = [raw[i : i + bands.chunk] for i in range(0, len(raw) - bands.chunk + 1, bands.chunk)]
+        bad = sum(not bands.chunks[0] <= len(c) / len(pack.compress(c)) <= bands.chunks[1] for c in chunks)
+        low, high = next((lo, hi) for most, lo, hi in bands.whole if len(raw) <= most)
+        kept = not failed and low <= whole <= high and bad <= bands.bad_share * len(chunks)
+        want.append((d, *counts, failed, kept, whole, len(chunks), bad))
+    assert got == sorted(want, key=str)
+
+
+def test_bands_reject_noise_and_repetition(spark):
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(400)]
+    prose = " ".join(rng.choices(vocabulary, k=1500))
+    noise = " ".join("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(8)) for _ in range(1500))
+    same = " ".join(f"{i} the same words over and over again" for i in range(300))
+    kept = {r.doc_id: r.kept for r in compression_bands(spark.createDataFrame([(1, prose), (2, noise), (3, same)], "doc_id bigint, text string")).collect()}
+    assert kept == {1: True, 2: False, 3: False}
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id bigint, text string")
+    assert compression_bands(none).collect() == []
+    assert substring_dedup(none).collect() == []
+    assert quality_scores(none, spark.createDataFrame([], "doc_id bigint, quality int")).collect() == []
+
+
+def test_substring_dedup_of_the_table(spark):
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.op2_substring_dedup(spark, SF).collect()}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    want = brute.substring_dedup(rows)
+    assert got == want
+    assert sum(x[1] > 0 for x in want.values()) > 20
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_substring_dedup_of_shifted_passages(frame, seed):
+    """Passages of 15 to 60 words at any shift, within and across documents, with ties and repeats."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randint(0, 5000)}"
+    passages = [[word() for _ in range(rng.randint(15, 60))] for _ in range(12)]
+    rows = []
+    for d in range(160):
+        text = []
+        for _ in range(rng.randint(0, 6)):
+            text += rng.choice(passages)[rng.randint(0, 5) :] if rng.random() < 0.6 else [word() for _ in range(rng.randint(0, 30))]
+        rows.append((d * 7 - 300, rng.choice([" ", "\n", " \t"]).join(text)))
+    rows += [(5000 + i, t) for i, t in enumerate(ODD)] + [(6000, "same " * 3000), (6001, "same " * 50)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup(frame([*rows, (None, rows[0][1]), rows[5]])).collect()}
+    assert got == {d: x[:2] for d, x in brute.substring_dedup(rows).items()}
+
+
+def test_dual_descent_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(30, size=8, replace=False)) for _ in range(60)]
+    y = np.where([5 in x or 7 in x for x in rows], 1.0, -1.0)
+    ratio = rng.normal(size=30)
+    w, b = dual_descent(rows, y, ratio, NbSvm(epochs=400))
+    dense = np.zeros((60, 31))
+    for i, x in enumerate(rows):
+        dense[i, x] = ratio[x] / np.linalg.norm(ratio[x])
+    dense[:, 30] = 1
+    cost = lambda v: v @ v / 2 + np.maximum(0, 1 - y * (dense @ v)).sum()
+    best = cost(np.r_[w, b])
+    assert all(cost(np.r_[w, b] + rng.normal(scale=s, size=31)) >= best - 1e-2 for s in (0.003, 0.03, 0.3) for _ in range(200))
+
+
+def test_quality_on_held_out_rows(spark):
+    sf = SF.replace("0.01", "0.1")
+    out = queries.op10_nb_svm(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = out.join(labels, "doc_id").where("quality is not null").select("doc_id", "held_out", "score", "predicted", "quality").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    held = [r for r in rows if r.held_out]
+    low = [r.predicted == 0 for r in held if r.quality == 0]
+    high = [r.predicted == 1 for r in held if r.quality == 1]
+    assert np.mean(low) > 0.9 and np.mean(high) > 0.97
+
+
+def test_quality_of_odd_rows(frame, spark):
+    docs = frame([(i, t) for i, t in enumerate(ODD)] + [(None, "x"), (1, "again")])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None), (6, 1), (6, 1), (8, 0)], "doc_id bigint, quality int")
+    assert quality_scores(docs, labels).count() == len(ODD) + 2
+    one_class = quality_scores(docs, labels.where("quality = 1")).select("score").distinct().collect()
+    assert len(one_class) == 1 and one_class[0].score > 0.99
+    assert {r.score for r in quality_scores(docs, labels.where("doc_id > 99")).collect()} == {0.5}
