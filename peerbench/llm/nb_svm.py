@@ -1,6 +1,7 @@
 """Quality classifier: Naive Bayes support vectors.
 
-Indicators of word unigrams and bigrams, hashed into a fixed number of buckets, are scaled by the log
+Indicators of n-grams, hashed into a fixed number of buckets: words, pairs of words, the last three
+bytes of words, and whether two, three or four words on end are equal. They are scaled by the log
 ratio of their smoothed shares in the two classes; a linear model with hinge loss is fitted to the
 scaled, length-normalised vectors by dual coordinate descent.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from peerbench.llm.arrays import windows, word_blocks
+from peerbench.llm.arrays import Words, mix, windows, word_blocks
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,30 @@ def indicators(column: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarr
     for lo, hi, words in word_blocks(column):
         h = words.hashes()
         pair, doc, _ = windows(words, h, 2)
-        drop = np.uint64(64 - bits)
-        key = np.concatenate([(words.doc.astype(np.uint64) << np.uint64(bits)) | (h >> drop), (doc.astype(np.uint64) << np.uint64(bits)) | (pair >> drop)])
-        key = np.unique(key)
+        found = [(words.doc, h), (doc, pair), (words.doc, tails(words))]
+        found += [(of, mix(np.full(len(of), n, np.uint64))) for n, of in equal_runs(words, h)]
+        key = np.unique(np.concatenate([(of.astype(np.uint64) << np.uint64(bits)) | (x >> np.uint64(64 - bits)) for of, x in found]))
         yield lo, hi, (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
+def tails(words: Words) -> np.ndarray:
+    """A hash of the last three bytes of each word."""
+    out = np.zeros(len(words.start), np.uint64)
+    for back in (1, 2, 3):
+        at = words.end - back
+        out = out * np.uint64(257) + np.where(at >= words.start, words.data[np.maximum(at, 0)], 0).astype(np.uint64)
+    return mix(out + np.uint64(1 << 40))
+
+
+def equal_runs(words: Words, h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For n = 2, 3, 4 the documents of each place from which n words are equal."""
+    doc = words.doc
+    same = (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])
+    for n in (2, 3, 4):
+        yield n, doc[: len(same)][same]
+        same = same[1:] & same[:-1]
+
+
 def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, params: NbSvm) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise |w|^2 / 2 + cost * sum of hinge losses: coordinate by
     coordinate of the dual, each in [0, cost]. The intercept is the weight of a constant 1."""
