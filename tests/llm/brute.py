@@ -42,3 +42,42 @@ def base_counts(text):
     hit = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
     failed = len(w) < 50 or 100 * len(hit) > 50 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(hit), failed
+
+
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def near_classes(rows, width=5):
+    """Class of each id: equal words, or m / (n1 + n2 - m) >= 0.8 for m shingles aligned in order."""
+    words = {d: tuple(words_of(t)) for d, t in rows}
+    parent = {d: d for d in words}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    def link(x, y):
+        x, y = sorted((root(x), root(y)))
+        parent[y] = x
+
+    first = {}
+    for d in sorted(words):
+        if words[d]:
+            link(first.setdefault(words[d], d), d)
+    grams = {d: [w[i : i + width] for i in range(len(w) - width + 1)] for w, d in first.items() if len(w) >= width}
+    bags = {d: Counter(g) for d, g in grams.items()}
+    ids = sorted(grams)
+    for i, x in enumerate(ids):
+        for y in ids[i + 1 :]:
+            n = len(grams[x]) + len(grams[y])
+            if 9 * min(len(grams[x]), len(grams[y])) >= 4 * n and bags[x].keys() & bags[y].keys() and 9 * (bags[x] & bags[y]).total() >= 4 * n:
+                if 9 * common_subsequence(grams[x], grams[y]) >= 4 * n:
+                    link(x, y)
+    return {d: root(d) for d in words}
