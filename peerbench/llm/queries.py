@@ -10,10 +10,17 @@ from pyspark.sql import functions as F
 from peerbench.llm.compression_bands import compression_bands
 from peerbench.llm.nb_svm import quality_scores
 from peerbench.llm.order_minhash import near_duplicates
+from peerbench.llm.packing import pack, token_pieces
 from peerbench.llm.substring_dedup import substring_dedup
 from peerbench.llm.tables import read_table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -23,6 +30,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
 
@@ -34,6 +45,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_order_minhash": op5_order_minhash,
+    "op7_best_fit": op7_best_fit,
     "op8_compression_bands": op8_compression_bands,
     "op10_nb_svm": op10_nb_svm,
 }
