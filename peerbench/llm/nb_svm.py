@@ -5,9 +5,9 @@ bytes of words, and whether two, three or four words on end are equal. They are
 ratio of their smoothed shares in the two classes; a linear model with hinge loss is fitted to the
 scaled, length-normalised vectors by dual coordinate descent.
 
-The class counts come from all training rows, summed by Spark per bucket (at most ``buckets`` rows
-reach the driver). The linear fit takes at most ``max_train`` training rows, those with the smallest
-hash of their id: the documented bound of the classifier. Scores are a map over all documents.
+The fit takes at most ``max_train`` labelled rows, those with the smallest hash of their id: the
+documented bound of the classifier. Their ids are chosen from the labels alone and broadcast, so no text
+is shuffled; their buckets go to the driver. Scores are a map over all documents.
 
 Defined results: null and empty texts have no n-gram and get the score of the intercept alone; label
 rows with a null id or label are left out; an id with several labels counts once, as 1 if the mean is
@@ -108,45 +108,26 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, param
 
 
 def fit(train: DataFrame, params: NbSvm = NbSvm()) -> Model:
-    """``train`` has ``doc_id``, ``text`` and ``label`` (0 or 1), without nulls in id and label."""
+    """``train`` has ``doc_id``, ``text`` and ``label`` (0 or 1), ``max_train`` rows at most."""
     bits = params.bits
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << bits), np.int64)
-        for batch in batches:
-            label = batch.column(2).to_numpy(zero_copy_only=False)
-            for lo, hi, row, bucket in indicators(batch.column(1), bits):
-                one = label[lo:hi][row] == 1
-                seen[1] += np.bincount(bucket[one], minlength=1 << bits)
-                seen[0] += np.bincount(bucket[~one], minlength=1 << bits)
-        some = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[0][some]), pa.array(seen[1][some])], names=["bucket", "n0", "n1"])
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, row, bucket in indicators(batch.column(1), bits):
                 ends = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["label", "buckets"])
-
-    train = train.select("doc_id", "text", "label")
-    per_bucket = train.mapInArrow(counts, "bucket bigint, n0 bigint, n1 bigint").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = per_bucket.toArrow()
-    share = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
-    ones, zeros = share.get(1, 0), share.get(0, 0)
-    if not ones or not zeros:
-        mean = ones / (ones + zeros) if ones + zeros else 0.5
-        rate = min(max(mean, 1e-6), 1 - 1e-6)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["doc_id", "label", "buckets"])
+
+    sample = train.select("doc_id", "text", "label").mapInArrow(rows, "doc_id bigint, label int, buckets array<int>").toArrow().sort_by("doc_id").combine_chunks()
+    lists = [np.asarray(x.values) for x in sample["buckets"]]
+    one = sample["label"].to_numpy() == 1
+    if not one.any() or one.all():
+        rate = min(max(one.mean() if len(one) else 0.5, 1e-6), 1 - 1e-6)
         return Model(np.zeros(params.buckets), float(np.log(rate / (1 - rate))) / params.slope, np.zeros(params.buckets), params.slope)
     n = np.full((2, params.buckets), params.alpha)
-    at = got["bucket"].to_numpy()
-    n[0, at] += got["n0"].to_numpy()
-    n[1, at] += got["n1"].to_numpy()
+    for x, y in zip(lists, one, strict=True):
+        n[int(y), x] += 1
     ratio = np.log(n[1] / n[1].sum()) - np.log(n[0] / n[0].sum())
-    sample = train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_train)
-    sample = sample.mapInArrow(rows, "label int, buckets array<int>").toArrow().combine_chunks()
-    lists = sample["buckets"].to_pylist() if not sample.num_rows else [np.asarray(x.values) for x in sample["buckets"]]
-    y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
-    w, b = dual_descent(lists, y, ratio, params)
+    w, b = dual_descent(lists, np.where(one, 1.0, -1.0), ratio, params)
     return Model(w, b, ratio, params.slope)
 
 
@@ -177,7 +158,7 @@ def held_out(doc_id: str = "doc_id"):
 def quality_scores(docs: DataFrame, labels: DataFrame, params: NbSvm = NbSvm()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per document, learnt from labels that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    known = known.where(~held_out())
-    train = docs.where("doc_id is not null").select("doc_id", "text").join(known, "doc_id")
+    known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_train)
+    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     out = score(docs, fit(train, params))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
