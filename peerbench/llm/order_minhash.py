@@ -30,8 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerbench.llm.arrays import Words, mix, occurrence, window_hashes, windows, word_blocks
-from peerbench.llm.tables import components, one_row_per_id
-from peerbench.staging import stage
+from peerbench.llm.tables import components, one_row_per_id, settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -189,7 +188,7 @@ def rare_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
     often = rows.groupBy("label").agg(F.count("*").alias("often"))
     per_doc = rows.join(often, "label").selectExpr("*", "row_number() over (partition by doc_id order by often, label) as place")
     rare = per_doc.where("often > 1 and place <= n - ceil(n * 4 / 5) + 1").join(roots, "doc_id")
-    rare = stage(rare.select("label", "doc_id", "n", "root"), "rare")
+    rare = settle(rare.select("label", "doc_id", "n", "root"), "rare")
     x, y = rare.alias("x"), rare.alias("y")
     near = "x.label = y.label and x.doc_id < y.doc_id and x.root <> y.root and least(x.n, y.n) * 5 >= greatest(x.n, y.n) * 4"
     return x.join(y, F.expr(near)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
@@ -199,24 +198,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id``, ``class_id`` (the least id of its class), ``copy_of`` (the least id with the same words)
     and ``n_links`` (links of that text with different ones that were verified)."""
     docs = one_row_per_id(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), "doc_id", "text")
-    sketched = stage(docs.mapInArrow(_sketches, "doc_id bigint, c1 bigint, c2 bigint, keys array<bigint>"), "sketches")
+    sketched = settle(docs.mapInArrow(_sketches, "doc_id bigint, c1 bigint, c2 bigint, keys array<bigint>"), "sketches")
     # texts without words have no content and stay their own
     same = sketched.where("c1 is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
     same = same.where("n > 1").drop("n")
-    copies = stage(sketched.select("doc_id", "c1", "c2").join(same, ["c1", "c2"]).select("doc_id", "copy_of"), "copies")
+    copies = settle(sketched.select("doc_id", "c1", "c2").join(same, ["c1", "c2"]).select("doc_id", "copy_of"), "copies")
     nodes = sketched.select("doc_id", "keys").join(copies.where("doc_id <> copy_of"), "doc_id", "left_anti")
 
     rows = nodes.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
     heads = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("lead")).where("size > 1")
-    rows = stage(rows.join(heads, "key").select("key", "doc_id", "size", "lead"), "buckets")
+    rows = settle(rows.join(heads, "key").select("key", "doc_id", "size", "lead"), "buckets")
     few, large = rows.where(F.col("size") <= small), rows.where(F.col("size") > small)
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, F.expr("x.key = y.key and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     pairs = pairs.union(large.where("doc_id <> lead").select("lead", "doc_id")).distinct()
-    texts = stage(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
+    texts = settle(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
 
-    done = stage(pairs, "pairs")
-    links = stage(verify(done, texts), "links")
+    done = settle(pairs, "pairs")
+    links = settle(verify(done, texts), "links")
     roots = components(links)
     for k in range(rounds + 1):
         # buckets whose texts are in more than one class, with the largest class and a leader of it
@@ -224,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         classed = classed.withColumn("root", F.coalesce("root", "doc_id"))
         per_class = classed.groupBy("key", "root").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias("pick"))
         leaders = per_class.groupBy("key").agg(F.count("*").alias("classes"), F.max_by(F.struct("pick", "root"), F.struct("n", F.xxhash64("root", F.lit(k)))).alias("lead"))
-        open_rows = stage(classed.join(leaders.where("classes > 1").select("key", "lead.*").withColumnRenamed("root", "lead_root"), "key"), "open")
+        open_rows = settle(classed.join(leaders.where("classes > 1").select("key", "lead.*").withColumnRenamed("root", "lead_root"), "key"), "open")
         if open_rows.isEmpty():
             break
         if k < rounds:
@@ -232,9 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             rest = open_rows.select("doc_id", "root").distinct()
             pairs = rare_pairs(texts.join(rest, "doc_id", "left_semi"), rest)
-        new = stage(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        new = settle(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         done = done.union(new)
-        more = stage(verify(new, texts), "links")
+        more = settle(verify(new, texts), "links")
         if not more.isEmpty():
             links = links.union(more)
             roots = components(links)

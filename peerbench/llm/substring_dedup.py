@@ -10,7 +10,7 @@ anchor, the 8 words at such a shift, hashed at covered places only (4 of 13). Th
 
 1. each document sends its anchors' hashes; those met once are dropped (one shuffle, sorted stream);
 2. around anchors met again, the match is extended: every window that holds one is hashed whole, in
-   96 bits; of equal ones all but the earliest are repeats (one shuffle, sorted stream);
+   94 bits; of equal ones all but the earliest are repeats (one shuffle, sorted stream);
 3. repeats go back to their documents.
 
 No step gathers the rows of a hash: the sorted streams look at neighbouring rows only, and repeats
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerbench.llm.arrays import Words, covered, mix, window_hashes, word_blocks
-from peerbench.llm.tables import one_row_per_id
+from peerbench.llm.tables import one_row_per_id, settle
 
 WINDOW = 20
 PERIOD = 13
@@ -53,8 +53,9 @@ def _own_key(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchor rows. ``hit`` marks anchors already met twice in this block of documents; of those one
-    keeps its hash as key, to tell other blocks, and the others go under keys of their own."""
+    """Anchor rows. The place of anchors already met twice in this block of documents is stored as
+    -1 - place; one of them keeps its hash as key, to tell other blocks, and the others go under keys of
+    their own."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for lo, hi, words in word_blocks(batch.column(1)):
@@ -65,7 +66,8 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             moved = hit.copy()
             moved[first] = False
             h[moved] = _own_key(doc[moved], pos[moved])
-            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(hit)], names=["h", "doc", "pos", "hit"])
+            pos = np.where(hit, -1 - pos, pos).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(doc), pa.array(pos)], names=["h", "doc", "pos"])
 
 
 def _anchors_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,17 +84,18 @@ def met_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last row of a batch waits for the first of the next."""
     held: tuple[np.ndarray, ...] | None = None
     for batch in batches:
-        cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        cols = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if held is not None:
             cols = tuple(np.concatenate(x) for x in zip(held, cols, strict=True))
-        h, doc, pos, hit = cols
+        h, doc, pos = cols
         same = h[1:] == h[:-1]
-        keep = hit | np.r_[False, same] | np.r_[same, False]
-        # what is held keeps as a mark that it has met an equal hash already
-        held = h[-1:], doc[-1:], pos[-1:], keep[-1:]
+        keep = (pos < 0) | np.r_[False, same] | np.r_[same, False]
+        # what is held stays marked if it has met an equal hash already
+        pos = np.where(pos < 0, -1 - pos, pos)
+        held = h[-1:], doc[-1:], np.where(keep[-1:], -1 - pos[-1:], pos[-1:])
         yield _places(doc[:-1][keep[:-1]], pos[:-1][keep[:-1]])
-    if held is not None and held[3][0]:
-        yield _places(held[1], held[2])
+    if held is not None and len(held[0]) and held[2][0] < 0:
+        yield _places(held[1], -1 - held[2])
 
 
 def _places(doc: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
@@ -108,7 +111,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole-window rows around anchors met again. Of equal windows in this block all but the earliest
-    are repeats for sure: their place is stored as -1 - place, under a key of their own."""
+    are repeats for sure: they are marked and go under keys of their own."""
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         place, row = _flat(batch.column(2))
@@ -127,27 +130,29 @@ def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero((np.cumsum(change)[:-1] > 0) & fits)
             hashes = words.hashes()
             h = window_hashes(hashes, at, WINDOW)
-            g = (window_hashes(hashes, at, WINDOW, _SECOND) >> np.uint64(33)).astype(np.int32)
+            g = (window_hashes(hashes, at, WINDOW, _SECOND) >> np.uint64(34)).astype(np.int64)
             doc_id, pos = ids[lo:hi][doc[at]], at - words.ptr[doc[at]]
             order = np.lexsort((pos, doc_id, g, h))
             h, g, doc_id, pos = h[order], g[order], doc_id[order], pos[order]
             repeat = np.r_[False, (h[1:] == h[:-1]) & (g[1:] == g[:-1])] if len(h) else np.zeros(0, bool)
             h[repeat] = _own_key(doc_id[repeat], pos[repeat])
-            pos = np.where(repeat, -1 - pos, pos)
-            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(g), pa.array(doc_id), pa.array(pos.astype(np.int32))], names=["h", "g", "doc", "pos"])
+            # 30 bits of hash, one for settled rows, 32 of place
+            gp = (g << 33) | (repeat.astype(np.int64) << 32) | pos
+            yield pa.RecordBatch.from_arrays([_signed(h), pa.array(doc_id), pa.array(gp)], names=["h", "doc", "gp"])
 
 
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From windows sorted by hash and place, all but the first of each run, and those marked."""
     last = None
     for batch in batches:
-        h, g, doc, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        h, doc, gp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if not len(h):
             continue
+        settled, g = (gp >> 32 & 1) == 1, gp >> 33
         same = np.r_[last == (h[0], g[0]), (h[1:] == h[:-1]) & (g[1:] == g[:-1])]
         last = h[-1], g[-1]
-        out = same | (pos < 0)
-        yield _places(doc[out], np.where(pos < 0, -1 - pos, pos)[out])
+        out = same | settled
+        yield _places(doc[out], gp[out] & 0xFFFFFFFF)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,12 +176,11 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` per document; ``kept`` joins the words left by one space."""
     docs = one_row_per_id(docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text"), "doc_id", "text")
-    by_doc = lambda places: places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("places"))
-    met = docs.mapInArrow(anchors, "h bigint, doc bigint, pos int, hit boolean").repartition("h").sortWithinPartitions("h")
-    met = met.mapInArrow(met_again, "doc bigint, pos int")
-    # the left side is the same in both joins: its exchange is made once
-    near = docs.join(by_doc(met), "doc_id", "left").where("places is not null").select("doc_id", "text", "places")
-    whole = near.mapInArrow(extended, "h bigint, g int, doc bigint, pos int").repartition("h").sortWithinPartitions("h", "g", "doc", "pos")
-    found = whole.mapInArrow(repeats, "doc bigint, pos int")
-    out = docs.join(by_doc(found), "doc_id", "left").select("doc_id", "text", "places")
+    by_doc = lambda places, name: settle(places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("places")), name)
+    met = docs.mapInArrow(anchors, "h bigint, doc bigint, pos int").repartition("h").sortWithinPartitions("h")
+    met = by_doc(met.mapInArrow(met_again, "doc bigint, pos int"), "anchors_met")
+    near = docs.join(met, "doc_id").select("doc_id", "text", "places")
+    whole = near.mapInArrow(extended, "h bigint, doc bigint, gp bigint").repartition("h").sortWithinPartitions("h", F.shiftright("gp", 32), "doc", "gp")
+    found = by_doc(whole.mapInArrow(repeats, "doc bigint, pos int"), "repeats")
+    out = docs.join(found, "doc_id", "left").select("doc_id", "text", "places")
     return out.mapInArrow(_without, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

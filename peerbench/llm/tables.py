@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerbench.staging import stage
@@ -22,31 +22,33 @@ def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(value).alias(value))
 
 
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """``stage`` that lets go of the shuffle files behind the table once it is written."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components: ``node`` and ``root`` (the least node of its component) for each node of
     ``links``. Each round every node takes the least root among itself and its neighbours, then the
     root of that root; the paths halve, so rounds grow with the logarithm of a component's diameter.
     Labels are written out each round: lineage stays short and nothing goes through the driver but
     a count."""
-    edges = stage(links.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x <> y").distinct(), "edges")
+    edges = settle(links.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x <> y").distinct(), "edges")
     both = edges.union(edges.select("y", "x"))
-    label = stage(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
+    label = settle(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
     while True:
         near = both.join(label.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
         hooked = label.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         # a root that learns of a lower one passes it on to all nodes that it labels
         lower = hooked.groupBy("root").agg(F.min("low").alias("best"))
         new = hooked.join(lower, "root").select("node", F.col("root").alias("old"), F.least("low", "best").alias("root"))
-        new = stage(new, "roots")
+        new = settle(new, "roots")
         if new.where("old <> root").isEmpty():
             return new.select("node", "root")
         label = new.select("node", "root")
-
-
-def skew_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join whose exchanges are Spark's own, so that adaptive execution may split hot partitions."""
-    return left.join(right.hint("merge"), on, how)
-
-
-def sha_words(words: Column) -> Column:
-    return F.sha2(F.concat_ws(" ", words).cast("binary"), 256)
