@@ -11,6 +11,7 @@ from peerbench.llm.compression_bands import compression_bands
 from peerbench.llm.nb_svm import quality_scores
 from peerbench.llm.order_minhash import near_duplicates
 from peerbench.llm.packing import pack, token_pieces
+from peerbench.llm.pii import digest, personal_data
 from peerbench.llm.substring_dedup import substring_dedup
 from peerbench.llm.tables import read_table
 
@@ -30,6 +31,10 @@ def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_deobfuscation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(personal_data(read_table(spark, sf_dir, "documents")))
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(read_table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -45,6 +50,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_order_minhash": op5_order_minhash,
+    "op6_deobfuscation": op6_deobfuscation,
     "op7_best_fit": op7_best_fit,
     "op8_compression_bands": op8_compression_bands,
     "op10_nb_svm": op10_nb_svm,
