@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from peerbench.llm.packing import pack, token_pieces
 from peerbench.llm.pii import digest, personal_data
 from peerbench.llm.substring_dedup import substring_dedup
 from peerbench.llm.tables import read_table
+from peerbench.llm.warc import page_records, read_warc, write_warc
+from peerbench.staging import shared_folder
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +30,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    write_warc(read_table(spark, sf_dir, "pages"), path)
+    return page_records(read_warc(spark, path))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +58,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_warc": op3_warc,
     "op5_order_minhash": op5_order_minhash,
     "op6_deobfuscation": op6_deobfuscation,
     "op7_best_fit": op7_best_fit,
