@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerbench.llm.compression_bands import compression_bands
+from peerbench.llm.multi_index import nearest
 from peerbench.llm.nb_svm import quality_scores
 from peerbench.llm.order_minhash import near_duplicates
 from peerbench.llm.packing import pack, token_pieces
@@ -36,6 +37,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_records(read_warc(spark, path))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
+    "op4_multi_index": op4_multi_index,
     "op5_order_minhash": op5_order_minhash,
     "op6_deobfuscation": op6_deobfuscation,
     "op7_best_fit": op7_best_fit,
