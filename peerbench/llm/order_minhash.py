@@ -10,10 +10,10 @@ the connected components. At a similarity of 0.8 a slot agrees with probability
 a link is missed with probability 0.59 ** 24 = 3e-6. Texts of up to 16 shingles use one shingle a slot.
 
 Work within a slot's bucket stays linear. Equal texts are one node from the start. Buckets of up to
-``SMALL`` texts compare all; in larger ones all compare with one leader, then, while that finds
-links, all outside the leader's class with a new one. What a large bucket has left to tell apart is
-finished exactly: its texts meet on their rarest shingles (any two similar enough share one of the
-fifth of their shingles that is rarest), texts of one class left out.
+``SMALL`` texts compare all; in larger ones all compare with a leader, the text that meets most
+others, then, ``ROUNDS`` times, those outside the largest class with another text of it. What a large
+bucket has left to tell apart is finished exactly: its texts meet on their rarest shingles, as any two
+that are similar enough share one of the rarest ninth or fifth, texts of one class left out.
 
 Defined results: texts without words are alone in their class; of texts under five words only equal
 word sequences share a class; rows with a null id are not returned; rows that repeat an id count as one
@@ -40,7 +40,7 @@ SAMPLED = 4
 #: that are similar enough share one way, as 12 < 0.8 * 17.
 FEW, MANY = 16, 12
 SMALL = 8
-ROUNDS = 4
+ROUNDS = 2
 
 _MULTIPLY, _ADD = (mix(np.arange(SLOTS, dtype=np.uint64) + np.uint64(s)) | np.uint64(1) for s in (1000, 2000))
 
@@ -182,16 +182,18 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def rare_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of texts of different classes that share one of their rarest shingles: all that can be
-    similar enough, as two texts share no more than what is outside the rarest n - ceil(0.8 n) + 1."""
+    """Pairs of texts of different classes that can be similar enough by where the rarest shingle that
+    both have stands: with the shingles of each in order of rarity, m shared ones leave no more than
+    n - m before the first."""
     rows = texts.mapInArrow(_shingle_rows, "doc_id bigint, n bigint, label bigint")
     often = rows.groupBy("label").agg(F.count("*").alias("often"))
     per_doc = rows.join(often, "label").selectExpr("*", "row_number() over (partition by doc_id order by often, label) as place")
-    rare = per_doc.where("often > 1 and place <= n - ceil(n * 4 / 5) + 1").join(roots, "doc_id")
-    rare = settle(rare.select("label", "doc_id", "n", "root"), "rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    near = "x.label = y.label and x.doc_id < y.doc_id and x.root <> y.root and least(x.n, y.n) * 5 >= greatest(x.n, y.n) * 4"
-    return x.join(y, F.expr(near)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    rare = settle(per_doc.where("often > 1 and place <= n - (4 * n + 4) div 5 + 1").join(roots, "doc_id").select("label", "doc_id", "n", "root", "place"), "rare")
+    # x is the shorter text; in order of rarity the first label that both have stands this early in each
+    x, y = rare.where("place <= n - (8 * n + 8) div 9 + 1").alias("x"), rare.alias("y")
+    shared = "(4 * (x.n + y.n) + 8) div 9"
+    near = f"x.label = y.label and x.root <> y.root and (x.n < y.n or x.n = y.n and x.doc_id < y.doc_id) and x.place <= x.n - {shared} + 1 and y.place <= y.n - {shared} + 1"
+    return x.join(y, F.expr(near)).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
@@ -206,12 +208,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = sketched.select("doc_id", "keys").join(copies.where("doc_id <> copy_of"), "doc_id", "left_anti")
 
     rows = nodes.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
-    heads = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("lead")).where("size > 1")
-    rows = settle(rows.join(heads, "key").select("key", "doc_id", "size", "lead"), "buckets")
+    heads = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rows = settle(rows.join(heads, "key").select("key", "doc_id", "size"), "buckets")
     few, large = rows.where(F.col("size") <= small), rows.where(F.col("size") > small)
+    # the text that most others agree with leads: of edited copies, the one nearest to their origin
+    central = large.groupBy("doc_id").agg(F.sum("size").alias("met"))
+    leads = large.join(central, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("met", "doc_id")).alias("lead"))
+    starred = large.join(leads, "key").where("doc_id <> lead")
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, F.expr("x.key = y.key and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    pairs = pairs.union(large.where("doc_id <> lead").select("lead", "doc_id")).distinct()
+    pairs = pairs.union(starred.select(_ordered("doc_id", "lead"))).distinct()
     texts = settle(docs.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
 
     done = settle(pairs, "pairs")
