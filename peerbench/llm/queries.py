@@ -14,8 +14,11 @@ from peerbench.llm.nb_svm import quality_scores
 from peerbench.llm.order_minhash import near_duplicates
 from peerbench.llm.packing import pack, token_pieces
 from peerbench.llm.pii import digest, personal_data
+from peerbench.llm.sentence_pieces import encode_documents
 from peerbench.llm.substring_dedup import substring_dedup
-from peerbench.llm.tables import read_table
+from peerbench.llm.tables import read_table, settle
+from peerbench.llm.token_rollups import TokenRollups, deleted, inserted, revised
+from peerbench.llm.tokens import count_tokens
 from peerbench.llm.warc import page_records, read_warc, write_warc
 from peerbench.staging import shared_folder
 
@@ -26,6 +29,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and what they decode to."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = encode_documents(docs, tokenizer_path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_ids", "n_bytes", "ids_crc32", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -57,11 +67,35 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(read_table(spark, sf_dir, "documents"))
 
 
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after all documents came in, copies (equal texts but that with the least id) were
+    deleted and texts with repeated lines were counted anew without them. The delete is sent twice."""
+    version = "word_bpe_49k"
+    docs = read_table(spark, sf_dir, "documents").withColumn("version", F.lit(version))
+    lines = F.split("text", "\n", -1)
+    counted = count_tokens(docs, tokenizer_path(f"{version}.json"), keep=["source", "lang", "version", "digest", "repeats"], derive={"digest": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "repeats": F.coalesce(F.size(F.array_distinct(lines)) < F.size(lines), F.lit(False))})
+    counted = settle(counted, "counted")
+    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    counted = settle(counted.join(firsts, "digest"), "counted_first")
+    again = docs.where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    again = count_tokens(again, tokenizer_path(f"{version}.json")).select("doc_id", F.col("n_tokens").alias("new_tokens"))
+    once = counted.where("doc_id = first and repeats").join(again, "doc_id")
+
+    rollups = TokenRollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
+    rollups.commit("load", inserted(counted))
+    copies = deleted(counted.where("doc_id <> first"))
+    rollups.commit("copies", copies)
+    rollups.commit("recount", revised(once))
+    rollups.commit("copies", copies)
+    return rollups.totals()
+
+
 def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentence_pieces": op1_sentence_pieces,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op4_multi_index": op4_multi_index,
@@ -69,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_deobfuscation": op6_deobfuscation,
     "op7_best_fit": op7_best_fit,
     "op8_compression_bands": op8_compression_bands,
+    "op9_token_rollups": op9_token_rollups,
     "op10_nb_svm": op10_nb_svm,
 }
 

@@ -14,6 +14,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Entries of the table; when full it is emptied, which costs time only.
 TABLE = 500_000
@@ -89,3 +92,18 @@ class WordTokens:
 def word_tokens(path: str) -> WordTokens:
     """One table for each tokenizer and Python worker."""
     return WordTokens(path)
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, derive: dict[str, Column] | None = None) -> DataFrame:
+    """``doc_id``, the columns ``keep`` (of ``docs`` or ``derive``) and ``n_tokens`` of every row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[(derive or {}).get(c, F.col(c)).alias(c) for c in keep or ()], F.col(text_col).alias("text_"))
+    fields = rows.drop("text_").dtypes
+    names = [*(n for n, _ in fields), "n_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = word_tokens(tokenizer)
+        for batch in batches:
+            n = [len(x) // 4 for x in tokens.ids(batch.column("text_").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields) + ", n_tokens bigint")
