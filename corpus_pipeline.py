@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peerbench.llm.compression_bands import compression_bands
+from peerbench.llm.order_minhash import near_duplicates
+from peerbench.llm.packing import pack, token_pieces
+from peerbench.llm.pii import personal_data
+from peerbench.llm.queries import tokenizer_path
 from peerbench.llm.substring_dedup import substring_dedup
 from peerbench.llm.tables import read_table
 from peerbench.staging import stage
@@ -16,9 +20,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows without an id can't be told apart and go."""
-    kept = compression_bands(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
+    """Documents that the quality rules keep. Rows without an id can't be told apart later and go. The
+    verdict is made in the scan, so no text is shuffled."""
+    return compression_bands(docs.where("doc_id is not null"), carry=COLUMNS).where("kept").select(COLUMNS)
 
 
 def with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
@@ -27,13 +31,36 @@ def with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
     return docs.drop("n_chars").join(changed, "doc_id").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that appear earlier; documents of which nothing is left go."""
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id; of rows with one id, one."""
+    kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that appear earlier; documents of which nothing is left go."""
     out = substring_dedup(docs).where("n_removed < n_words")
     return with_text(docs, out.select("doc_id", F.expr("if(n_removed > 0, kept, null)").alias("new_text")))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality rules", quality), ("substring dedup", repeats)]
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with the kind of each piece of personal data in its place."""
+    text = F.coalesce("masked", "text")
+    return personal_data(docs, with_masked=True, carry=COLUMNS).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return pack(token_pieces(docs, tokenizer_path()))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
+    ("near-duplicates", one_of_each_group),
+    ("substring dedup", without_repeats),
+    ("personal data", without_personal_data),
+    ("packing", packed),
+]
 
 #: Compression, sketches and tokenizers can't be expressed in SQL.
 ORACLE_SQL = None
@@ -45,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = stage(docs, name.replace(" ", "_"))
+            docs = stage(docs, name.replace(" ", "_").replace("-", "_"))
     return docs

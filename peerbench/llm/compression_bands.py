@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from peerbench.llm.arrays import covered, find_words, mix, text_buffers, blocks, windows
+from peerbench.llm.tables import carried, uncarried
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
@@ -125,12 +127,15 @@ def measure(batch: pa.RecordBatch, bands: Bands) -> pa.RecordBatch:
     )
 
 
-def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
-    """One row per document with base counts, ratios and the verdict ``kept``. A map over the scan:
-    nothing is shuffled."""
+def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands(), carry: list[str] | None = None) -> DataFrame:
+    """One row per document with base counts, ratios and the verdict ``kept``, and the columns ``carry`` of
+    the input. A map over the scan: nothing is shuffled."""
+    more, schema = carried(docs, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield measure(batch, bands)
+            out = measure(batch, bands)
+            yield pa.RecordBatch.from_arrays([*out.columns, *batch.columns[2:]], names=[*out.schema.names, *batch.schema.names[2:]])
 
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return uncarried(rows.mapInArrow(run, SCHEMA + schema), carry)

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from peerbench.llm.tables import carried, uncarried
+
 KINDS = ("email", "ip", "card", "phone")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -230,9 +232,10 @@ def masked(text: str, spans: list[tuple[str, int, int, bool]]) -> str:
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_masked: bool = False) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_masked: bool = False, carry: list[str] | None = None) -> DataFrame:
     """``doc_id``, ``spans`` (kind, start, end, base) and, if wanted, ``masked``: the text without them, or
-    null where nothing was found."""
+    null where nothing was found; and the columns ``carry`` of the input."""
+    more, more_schema = carried(docs, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,10 +245,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             cols, names = [batch.column(0), pa.array(spans, _SPANS)], ["doc_id", "spans"]
             if with_masked:
                 cols, names = [*cols, pa.array([masked(t, f) if f else None for t, f in zip(texts, found, strict=True)], pa.string())], [*names, "masked"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], names=[*names, *batch.schema.names[2:]])
 
-    schema = "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint, base: boolean>>" + ", masked string" * with_masked
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text").mapInArrow(run, schema)
+    schema = "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint, base: boolean>>" + ", masked string" * with_masked + more_schema
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return uncarried(rows.mapInArrow(run, schema), carry)
 
 
 def digest(found: DataFrame) -> DataFrame:

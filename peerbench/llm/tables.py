@@ -22,6 +22,20 @@ def one_row_per_id(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(value).alias(value))
 
 
+def carried(docs: DataFrame, columns: list[str] | None) -> tuple[list, str]:
+    """Columns to hand through a map unchanged, under names that clash with none, and their schema."""
+    kinds = dict(docs.dtypes)
+    return [F.col(c).alias(f"{c}__") for c in columns or ()], "".join(f", `{c}__` {kinds[c]}" for c in columns or ())
+
+
+def uncarried(df: DataFrame, columns: list[str] | None) -> DataFrame:
+    """The carried columns under their own names, in place of the operator's of those names."""
+    if columns is None:
+        return df
+    own = [c for c in df.columns if not c.endswith("__") and c not in columns]
+    return df.select(*[F.col(f"{c}__").alias(c) for c in columns], *own)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """``stage`` that lets go of the shuffle files behind the table once it is written."""
     conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -12,8 +12,8 @@ def words_of(text):
     return WORD.findall(text or "")
 
 
-def substring_dedup(rows, width=20):
-    """rows: (doc_id, text), ids distinct."""
+def removed_words(rows, width=20):
+    """rows: (doc_id, text), ids distinct. The places of the words that go."""
     first = {}
     words = {d: words_of(t) for d, t in rows}
     for d in sorted(words):
@@ -25,6 +25,15 @@ def substring_dedup(rows, width=20):
         for s in range(len(w) - width + 1):
             if first[tuple(w[s : s + width])] != (d, s):
                 gone.update(range(s, s + width))
+        out[d] = gone
+    return out
+
+
+def substring_dedup(rows, width=20):
+    out = {}
+    texts = dict(rows)
+    for d, gone in removed_words(rows, width).items():
+        w = words_of(texts[d])
         kept = [x for i, x in enumerate(w) if i not in gone]
         out[d] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
     return out
