@@ -214,6 +214,7 @@ ORACLES: dict[str, str] = {
         f"""SELECT row_id, company_hash, job_position, {CO}, {JOB}, {_rounded('CAST(ctc AS DOUBLE)', 4)} AS ctc,
                    {_rounded('Avg_ctc_Co', 4)} AS Avg_ctc_Co, {_rounded('Median_ctc_Co_Job', 4)} AS Median_ctc_Co_Job, Tier FROM enriched""",
     ),
+    "csv_quoted_roundtrip": _sql("cleaned", f"""SELECT row_id, {CO}, 'a "b", c' || chr(10) || {JOB} || chr(10) || ',' AS quoted FROM cleaned"""),
     "shape": _sql("raw", "SELECT count(*) AS n_rows, 7 AS n_columns FROM raw"),
     "column_info": _sql(
         "cleaned",
@@ -276,6 +277,17 @@ ORACLES: dict[str, str] = {
             for s, keys in LEVELS.items()
         ),
     ),
+    "peer_summaries_missing_keys": _sql(
+        "prepared",
+        " UNION ALL ".join(
+            f"""SELECT '{s}' AS level, {', '.join(k if k in keys else f'NULL AS {k}' for k in LEVELS['Co_Job_Exp'])},
+                       CAST(sum(ctc) AS DOUBLE) / count(ctc) AS avg, median(CAST(ctc AS DOUBLE)) AS median,
+                       CAST(max(ctc) AS DOUBLE) AS max, CAST(min(ctc) AS DOUBLE) AS min, count(ctc) AS count
+                FROM gaps WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)}"""
+            for s, keys in LEVELS.items()
+        ),
+        {"gaps": "SELECT ctc, " + ", ".join(f"CASE WHEN CAST(split_part(row_id, '-', 3) AS BIGINT) % {n} <> 0 THEN {k} END AS {k}" for k, n in ((CO, 11), (JOB, 5), (EXP, 7))) + " FROM prepared"},
+    ),
     "attach_summary": _sql(
         "summary_Co_Job",
         f"""SELECT row_id, CAST(ctc AS DOUBLE) AS ctc, summary_Co_Job.* FROM prepared JOIN summary_Co_Job USING ({CO}, {JOB})""",

@@ -101,6 +101,15 @@ def csv_roundtrip(spark, sf_dir):
     )
 
 
+@query
+def csv_quoted_roundtrip(spark, sf_dir):
+    """Texts with line breaks, quotes and commas written as CSV and read again."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    quoted = F.concat(F.lit('a "b", c\n'), JOB, F.lit("\n,")).alias("quoted")
+    write_people(cleaned(spark, sf_dir).select("row_id", COMPANY, quoted), path)
+    return read_people(spark, path)
+
+
 # Profile
 
 
@@ -133,7 +142,7 @@ def describe_numeric(spark, sf_dir):
 def describe_numeric_ranked(spark, sf_dir):
     """Quartiles by the plan for tables of any size."""
     q = F.col("quantiles")
-    found = exact_quantiles(prepared(spark, sf_dir), [], "ctc", [0.25, 0.5, 0.75], one_task_rows=0)
+    found = exact_quantiles(prepared(spark, sf_dir), [], "ctc", [0.25, 0.5, 0.75])
     return round_floats(found.select(q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75")), 4)
 
 
@@ -220,7 +229,18 @@ def peer_summary_1(spark, sf_dir):
 @query
 def peer_summary_ranked(spark, sf_dir):
     """The company summary by the plan for groups of any size."""
-    return peers.peer_summary(prepared(spark, sf_dir), PEER_LEVELS["Co"], "ctc", "Co", one_task_rows=0)
+    return peers.peer_summary(prepared(spark, sf_dir), PEER_LEVELS["Co"], "ctc", "Co")
+
+
+def with_missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared people, of whom some have no job, some no experience and some no company."""
+    missing = lambda col, nth: F.when(F.split("row_id", "-")[2].cast("bigint") % nth != 0, F.col(col)).alias(col)
+    return prepared(spark, sf_dir).select("row_id", missing(COMPANY, 11), missing(JOB, 5), missing(EXPERIENCE, 7), "ctc")
+
+
+@query
+def peer_summaries_missing_keys(spark, sf_dir):
+    return peers.peer_summaries(with_missing_keys(spark, sf_dir), PEER_LEVELS, "ctc")
 
 
 @query

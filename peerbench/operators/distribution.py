@@ -11,7 +11,7 @@ from pyspark.sql.types import IntegralType
 
 from peerbench.functions import log10
 from peerbench.operators.profile import top_values, value_counts_by_column
-from peerbench.operators.quantiles import ONE_TASK_ROWS, exact_quantiles
+from peerbench.operators.quantiles import exact_quantiles
 from peerbench.operators.tables import positive
 
 
@@ -37,7 +37,7 @@ def automatic_bins(n: int, low: float, high: float, iqr: float, whole: bool) ->
 
 
 def histogram(
-    df: DataFrame, col: str, bins: int | None = None, *, log: bool = False, one_task_rows: int = ONE_TASK_ROWS
+    df: DataFrame, col: str, bins: int | None = None, *, log: bool = False
 ) -> DataFrame:
     """(bin, left, right, n) for every bin, empty ones too; the last bin includes its right border."""
     values = _values(df, col, log)
@@ -47,7 +47,7 @@ def histogram(
         return df.sparkSession.createDataFrame([], "bin int, left double, right double, n bigint")
     low, high = facts["low"], facts["high"]
     if bins is None:
-        q1, q3 = exact_quantiles(values, [], "_v", [0.25, 0.75], one_task_rows=one_task_rows).first()["quantiles"]
+        q1, q3 = exact_quantiles(values, [], "_v", [0.25, 0.75]).first()["quantiles"]
         bins = automatic_bins(facts["n"], low, high, q3 - q1, whole)
     if low == high:
         low, high = low - 0.5, high + 0.5
@@ -72,7 +72,6 @@ def density(df: DataFrame, col: str, grid: int = 200, *, log: bool = False) -> D
 
     Each task sums its share for all points before the shuffle, which moves ``grid`` rows a task.
     """
-    counted = _values(df, col, log).groupBy("_v").agg(F.count("*").alias("_n"))
     facts = _values(df, col, log).agg(
         F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.stddev_samp("_v").alias("sd")
     ).first()
@@ -82,8 +81,8 @@ def density(df: DataFrame, col: str, grid: int = 200, *, log: bool = False) -> D
     bandwidth = sd * n ** (-1 / 5)
     at = lambda i: i * F.lit((high - low) / (grid - 1)) + F.lit(low)
     z = (at(F.col("point")) - F.col("_v")) / F.lit(bandwidth)
-    height = F.sum(F.col("_n") * F.exp(z * z * -0.5)) / F.lit(n * bandwidth * math.sqrt(2 * math.pi))
-    points = counted.select("_v", "_n", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    height = F.sum(F.exp(z * z * -0.5)) / F.lit(n * bandwidth * math.sqrt(2 * math.pi))
+    points = _values(df, col, log).select("_v", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
     return points.groupBy("point").agg(height.alias("density")).select("point", at(F.col("point")).alias("x"), "density")
 
 

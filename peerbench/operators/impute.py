@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerbench.functions import round_int
-from peerbench.operators.quantiles import ONE_TASK_ROWS, cut_points, exact_quantiles, with_bucket
+from peerbench.operators.quantiles import cut_points, exact_quantiles, with_bucket
 
 # Distinct values per ordered stretch of the nearest search.
 STRETCH = 250_000
 MAX_STRETCHES = 10_000
 
 
-def impute_median(df: DataFrame, col: str, *, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
+def impute_median(df: DataFrame, col: str) -> DataFrame:
     """Fill missing values with the exact median of the rest (all missing: nothing to fill with)."""
     if df.where(F.col(col).isNull()).isEmpty():
         return df
-    row = exact_quantiles(df, [], col, [0.5], one_task_rows=one_task_rows).first()
+    row = exact_quantiles(df, [], col, [0.5]).first()
     if row is None or row["quantiles"] is None:
         return df
     median = F.lit(row["quantiles"][0]).cast(df.schema[col].dataType)

@@ -11,15 +11,11 @@ from pyspark.sql import functions as F
 from peerbench.config import PEER_FLAGS
 from peerbench.functions import peer_flag
 from peerbench.operators.profile import value_counts
-from peerbench.operators.quantiles import BUCKETS, ONE_TASK_ROWS, cut_points, exact_quantiles, fits_one_task
+from peerbench.operators.quantiles import BUCKETS, cut_points, exact_quantiles
 
 Levels = Mapping[str, Sequence[str]]
 
 
-def _median(value: str) -> Column:
-    return F.percentile(F.col(value).cast("double"), F.lit(0.5))
-
-
 def _facts(value: str) -> list[Column]:
     col = F.col(value)
     return [F.sum(col).alias("_sum"), F.max(col).alias("_max"), F.min(col).alias("_min"), F.count(col).alias("_count")]
@@ -33,14 +29,26 @@ def _complete(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
-def _grouped(df: DataFrame, keys: Sequence[str], value: str, one_task_rows: int) -> DataFrame:
+def _counted(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """How often each value occurs in each group, NULL keys and values too: what all levels are
+    summed up from, so that the rows themselves are shuffled once."""
+    return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _counted_facts(df: DataFrame, value: str) -> list[Column]:
+    """``_facts`` over counted values; the sum has the type that a sum over rows has."""
+    col, n = F.col(value), F.col("_n")
+    total = df.select(F.sum(value)).schema[0].dataType
+    present = F.coalesce(F.sum(F.when(col.isNotNull(), n)), F.lit(0))
+    return [F.sum(col * n).cast(total).alias("_sum"), F.max(col).alias("_max"), F.min(col).alias("_min"), present.alias("_count")]
+
+
+def _grouped(counted: DataFrame, facts: list[Column], keys: Sequence[str], value: str, cuts: Sequence[float]) -> DataFrame:
     """Sum, extremes, count and exact median per group of non-null keys."""
-    rows = df.where(_complete(keys)).select(*keys, value)
-    if fits_one_task(df, one_task_rows):
-        return rows.groupBy(*keys).agg(*_facts(value), _median(value).alias("_median"))
-    medians = exact_quantiles(rows, keys, value, [0.5], one_task_rows=one_task_rows)
+    rows = counted.where(_complete(keys))
+    medians = exact_quantiles(rows, keys, value, [0.5], cuts=cuts, weight="_n")
     medians = medians.select(*keys, F.col("quantiles")[0].alias("_median"))
-    return rows.groupBy(*keys).agg(*_facts(value)).join(medians, list(keys), "left")
+    return rows.groupBy(*keys).agg(*facts).join(medians, list(keys), "left")
 
 
 def _named(value: str, suffix: str) -> list[Column]:
@@ -53,43 +61,30 @@ def _named(value: str, suffix: str) -> list[Column]:
     ]
 
 
-def peer_summary(
-    df: DataFrame, keys: Sequence[str], value: str, suffix: str, *, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def peer_summary(df: DataFrame, keys: Sequence[str], value: str, suffix: str) -> DataFrame:
     """Mean, median, maximum, minimum and count of a value per group; groups with a NULL key are left out."""
-    return _grouped(df, keys, value, one_task_rows).select(*keys, *_named(value, suffix))
+    counted = _counted(df, keys, value)
+    return _grouped(counted, _counted_facts(df, value), keys, value, cut_points(df, value, BUCKETS)).select(*keys, *_named(value, suffix))
 
 
-def peer_summaries(
-    df: DataFrame, levels: Levels, value: str, *, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def peer_summaries(df: DataFrame, levels: Levels, value: str) -> DataFrame:
     """All levels stacked in one table: ``level``, the finest keys (NULL above their level), the facts.
 
-    Small inputs take one pass with grouping sets; larger ones a pass per level, whose medians do
-    not hold a group in one task.
+    A row takes part in each level whose own keys it has, whatever its finer keys are. All levels
+    start from the same counted values.
     """
     finest = list(next(iter(levels.values())))
-    names = ["avg", "median", "max", "min", "count"]
+    counted, cuts = _counted(df, finest, value), cut_points(df, value, BUCKETS)
+    own = _counted_facts(df, value)
     facts = [
         _average().alias("avg"), F.col("_median").alias("median"),
         F.col("_max").cast("double").alias("max"), F.col("_min").cast("double").alias("min"), F.col("_count").alias("count"),
     ]
-    if not fits_one_task(df, one_task_rows):
-        parts = []
-        for suffix, keys in levels.items():
-            blank = [F.lit(None).cast(df.schema[k].dataType).alias(k) if k not in keys else F.col(k) for k in finest]
-            parts.append(_grouped(df, keys, value, one_task_rows).select(F.lit(suffix).alias("level"), *blank, *facts))
-        return reduce(DataFrame.unionByName, parts).select("level", *finest, *names)
-    # Bit j of the grouping id, counted from the last key, is set where the key is rolled away.
-    rolled = {s: sum(1 << (len(finest) - 1 - i) for i, k in enumerate(finest) if k not in keys) for s, keys in levels.items()}
-    level = F.coalesce(*[F.when(F.col("_level") == bits, F.lit(s)) for s, bits in rolled.items()])
-    sets = [[F.col(k) for k in keys] for keys in levels.values()]
-    return (
-        df.where(_complete(finest))
-        .groupingSets(sets, *[F.col(k) for k in finest])
-        .agg(*_facts(value), _median(value).alias("_median"), F.grouping_id().alias("_level"))
-        .select(level.alias("level"), *finest, *facts)
-    )
+    parts = []
+    for suffix, keys in levels.items():
+        blank = [F.lit(None).cast(df.schema[k].dataType).alias(k) if k not in keys else F.col(k) for k in finest]
+        parts.append(_grouped(counted, own, keys, value, cuts).select(F.lit(suffix).alias("level"), *blank, *facts))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def attach_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -103,29 +98,27 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
     return left.join(renamed, matched, "left").drop(*[f"_k_{k}" for k in keys])
 
 
-def peer_table(
-    df: DataFrame, levels: Levels, value: str, *, medians: bool = True, one_task_rows: int = ONE_TASK_ROWS
-) -> DataFrame:
+def peer_table(df: DataFrame, levels: Levels, value: str, *, medians: bool = True) -> DataFrame:
     """One row per finest group with the facts of all levels, to be joined to rows once.
 
-    Rows are aggregated map-side first, hence safely under a hot group. Without medians only the
-    finest level reads the rows: sums, extremes and counts of the coarser ones are rolled up from
-    it. Columns are prefixed by level; a level's facts are NULL where one of its own keys is.
+    Rows are aggregated map-side first, hence safely under a hot group: to the finest groups, from
+    which the coarser levels are rolled up, or, for medians, to the counted values of the finest
+    groups. Columns are prefixed by level; a level's facts are NULL where one of its own keys is.
     """
     (finest_name, finest), *coarser = [(s, list(k)) for s, k in levels.items()]
     names = ["_sum", "_max", "_min", "_count"] + (["_median"] if medians else [])
-    one_task = medians and fits_one_task(df, one_task_rows)
-    cuts = cut_points(df, value, BUCKETS) if medians and not one_task else None
+    counted = _counted(df, finest, value) if medians else None
+    cuts = cut_points(df, value, BUCKETS) if medians else []
     roll = [F.sum("_sum").alias("_sum"), F.max("_max").alias("_max"), F.min("_min").alias("_min"), F.sum("_count").alias("_count")]
 
     def facts(keys: list[str], rolled: DataFrame | None) -> DataFrame:
-        if one_task:
-            return df.groupBy(*keys).agg(*_facts(value), _median(value).alias("_median"))
-        return df.groupBy(*keys).agg(*_facts(value)) if rolled is None else rolled.groupBy(*keys).agg(*roll)
+        if rolled is not None:
+            return rolled.groupBy(*keys).agg(*roll)
+        return df.groupBy(*keys).agg(*_facts(value)) if counted is None else counted.groupBy(*keys).agg(*_counted_facts(df, value))
 
     def labelled(part: DataFrame, keys: list[str], suffix: str) -> DataFrame:
-        if medians and not one_task:
-            middle = exact_quantiles(df, keys, value, [0.5], one_task_rows=one_task_rows, cuts=cuts)
+        if counted is not None:
+            middle = exact_quantiles(counted, keys, value, [0.5], cuts=cuts, weight="_n")
             part = _null_safe_left(part, middle.select(*keys, F.col("quantiles")[0].alias("_median")), keys)
         return part.select(*keys, *[F.when(_complete(keys), F.col(n)).alias(f"{suffix}{n}") for n in names])
 
@@ -144,14 +137,13 @@ def attach_peers(
     *,
     flags: Mapping[str, str] = PEER_FLAGS,
     medians: bool = True,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Rows with the summary columns of all levels and the flags against each level's mean.
 
     The rows take part in one join, on the finest keys: a company that holds much of the table is
     spread over its roles and years, and what is left of the skew adaptive execution splits.
     """
-    wide = peer_table(df, levels, value, medians=medians, one_task_rows=one_task_rows)
+    wide = peer_table(df, levels, value, medians=medians)
     finest = list(next(iter(levels.values())))
     joined = _null_safe_left(df, wide, finest)
     added: dict[str, Column] = {}

@@ -8,18 +8,10 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Up to this many rows the built-in aggregate, which keeps a group's values in one task, is safe
-# however the rows fall into groups.
-ONE_TASK_ROWS = 2_000_000
-
-# Value buckets of the plan for larger inputs.
+# Value buckets: no task orders more than about one such share of the distinct values.
 BUCKETS = 1_000
 
 
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_ROWS) -> bool:
-    return df.count() <= limit
-
-
 def cut_points(df: DataFrame, col: str, buckets: int) -> list[float]:
     """Inner borders that split the values into about equal shares, from a mergeable sketch."""
     if buckets < 2:
@@ -44,28 +36,25 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float],
     *,
-    one_task_rows: int = ONE_TASK_ROWS,
     buckets: int = BUCKETS,
     cuts: Sequence[float] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles per group: the keys and ``quantiles`` (array of doubles).
 
-    Missing values are left out, and so are rows with a missing key. Small inputs use the
-    built-in ``percentile``. Larger ones never hold a group in one task: values are counted,
-    cut into value buckets of about equal size, the bucket that holds each wanted rank is found
-    from the bucket totals, and only those buckets are ordered. A bucket has at most about
-    ``1 / buckets`` of all rows, even if one group has all of them. The cuts depend on the values
-    alone; calls that differ in their keys can share them.
+    Missing values are left out, and so are rows with a missing key. No group is held in one task:
+    values are counted, cut into value buckets of about equal size, the bucket that holds each
+    wanted rank is found from the bucket totals, and only those buckets are ordered. A bucket has
+    at most about ``1 / buckets`` of all rows, even if one group has all of them. The cuts depend
+    on the values alone; calls that differ in their keys can share them. ``weight`` names a column
+    that tells how often each row counts.
     """
     keys = list(keys)
     values = (
-        df.select(*keys, F.col(value).cast("double").alias("_v"))
+        df.select(*keys, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1).cast("bigint")).alias("_w"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .na.drop("any", subset=[*keys, "_v"])
     )
-    if fits_one_task(df, one_task_rows):
-        wanted = F.percentile("_v", F.array(*[F.lit(p) for p in probs]))
-        return values.groupBy(*keys).agg(wanted.alias("quantiles"))
     return _ranked_quantiles(values, keys, probs, cut_points(values, "_v", buckets) if cuts is None else cuts)
 
 
@@ -74,7 +63,7 @@ def _ranked_quantiles(values: DataFrame, keys: list[str], probs: Sequence[float]
     by = keys or ["_all"]
     if not keys:
         values = values.withColumn("_all", F.lit(0))
-    counted = with_bucket(values.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "_v", cuts, "_b")
+    counted = with_bucket(values.groupBy(*by, "_v").agg(F.sum("_w").alias("_n")), "_v", cuts, "_b")
 
     # Zero-based ranks below and above each wanted position, kept with the bucket they fall into.
     group = Window.partitionBy(*by)

@@ -14,16 +14,21 @@ INDEX_COLUMNS = ("Unnamed: 0", "_c0")
 
 
 def read_people(
-    spark: SparkSession, path: str | list[str], *, format: str = "csv", schema=None, multiline: bool = False
+    spark: SparkSession, path: str | list[str], *, format: str = "csv", schema=None, multiline: bool = True
 ) -> DataFrame:
     """Read a headered CSV (every column as text, the engine parses) or a parquet table.
 
-    ``multiline`` admits line breaks inside quoted fields, at the price of one task per file;
-    leave it off for large files so that they split.
+    Line breaks inside quoted fields are read as such, at the price of one task per file. With
+    ``multiline=False`` large files split; a file that has such line breaks, or rows of another
+    width than the header, is then an error when its rows are read.
     """
     if format == "parquet":
         return spark.read.parquet(*([path] if isinstance(path, str) else path))
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    if not multiline:
+        schema = schema or reader.csv(path).schema
+        # every field of a row is looked at, also if few columns are wanted
+        reader = reader.option("mode", "FAILFAST").option("columnPruning", False)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)

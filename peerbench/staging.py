@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder:
         return folder
-    if not sc.master.startswith("local"):
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _local_folder
     _local_folder = _local_folder or tempfile.TemporaryDirectory(prefix="peerbench-", ignore_cleanup_errors=True)

@@ -13,8 +13,7 @@ def frame(spark, values, type_name):
 
 
 @pytest.mark.parametrize("kind", ["float", "whole", "log", "constant", "heavy"])
-@pytest.mark.parametrize("one_task_rows", [0, 10**6])
-def test_histogram_agrees_with_numpy(spark, kind, one_task_rows):
+def test_histogram_agrees_with_numpy(spark, kind):
     rng = np.random.default_rng(11)
     values = {
         "float": rng.normal(10, 3, 2000), "whole": rng.integers(0, 12, 2000), "log": rng.lognormal(3, 2, 2000),
@@ -23,7 +22,7 @@ def test_histogram_agrees_with_numpy(spark, kind, one_task_rows):
     df = frame(spark, [v.item() for v in values] + [None], "bigint" if kind == "whole" else "double")
     data = np.log10(values) if kind == "log" else values
     want, edges = np.histogram(data, bins="auto")
-    got = distribution.histogram(df, "v", log=kind == "log", one_task_rows=one_task_rows).orderBy("bin").collect()
+    got = distribution.histogram(df, "v", log=kind == "log").orderBy("bin").collect()
     assert [r["n"] for r in got] == want.tolist()
     assert [r["left"] for r in got] + [got[-1]["right"]] == pytest.approx(edges.tolist(), rel=1e-12)
 

@@ -48,7 +48,7 @@ def test_flags_aggregate_rows_once_and_join_once(prepared):
 
 def test_summaries_do_not_loop_over_pairs(prepared):
     assert_scalable(plan(people.enrich(prepared)))
-    assert_scalable(plan(peers.peer_summaries(prepared, PEER_LEVELS, "ctc", one_task_rows=0)))
+    assert_scalable(plan(peers.peer_summaries(prepared, PEER_LEVELS, "ctc")))
 
 
 def test_nearest_search_has_no_join_of_pairs(spark):

@@ -18,7 +18,18 @@ def test_csv_with_index_quotes_and_spaces(spark, tmp_path):
 
 def test_line_breaks_in_quotes(spark, tmp_path):
     (tmp_path / "raw.csv").write_text('a,b\n"x\ny",1\n')
-    assert [tuple(r) for r in read_people(spark, str(tmp_path / "raw.csv"), multiline=True).collect()] == [("x\ny", "1")]
+    assert [tuple(r) for r in read_people(spark, str(tmp_path / "raw.csv")).collect()] == [("x\ny", "1")]
+
+
+def test_split_reading_refuses_what_it_would_break(spark, tmp_path):
+    for i, text in enumerate(('a,b\n"x\ny",1\n', "a,b\n1\n", "a,b\n1,2,3\n")):
+        (tmp_path / f"{i}.csv").write_text(text)
+        df = read_people(spark, str(tmp_path / f"{i}.csv"), multiline=False)
+        for some in (df, df.select("a")):
+            with pytest.raises(Exception, match="(?i)malformed"):
+                some.collect()
+    (tmp_path / "good.csv").write_text('a,b\n"x ""q"", z",\n2,3\n')
+    assert [tuple(r) for r in read_people(spark, str(tmp_path / "good.csv"), multiline=False).collect()] == [('x "q", z', None), ("2", "3")]
 
 
 @pytest.mark.parametrize("format", ["csv", "parquet"])
