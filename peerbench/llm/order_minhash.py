@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerbench.llm.arrays import Words, mix, occurrence, window_hashes, windows, word_blocks
-from peerbench.llm.tables import components, one_row_per_id, settle
+from peerbench.llm.tables import components, joined_components, one_row_per_id, settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = settle(verify(new, texts), "links")
         if not more.isEmpty():
             links = links.union(more)
-            roots = components(links)
+            roots = joined_components(roots, more)
 
     degree = links.select(F.explode(F.array("a", "b")).alias("copy_of")).groupBy("copy_of").agg(F.count("*").alias("n_links"))
     out = sketched.select("doc_id").join(copies, "doc_id", "left").withColumn("copy_of", F.coalesce("copy_of", "doc_id"))

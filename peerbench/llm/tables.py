@@ -49,20 +49,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components: ``node`` and ``root`` (the least node of its component) for each node of
-    ``links``. Each round every node takes the least root among itself and its neighbours, then the
-    root of that root; the paths halve, so rounds grow with the logarithm of a component's diameter.
-    Labels are written out each round: lineage stays short and nothing goes through the driver but
-    a count."""
-    edges = settle(links.select(F.col(left).alias("x"), F.col(right).alias("y")).where("x <> y").distinct(), "edges")
-    both = edges.union(edges.select("y", "x"))
-    label = settle(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("root")), "roots")
+    ``links``. In each round every node joins its least neighbour, and that one's least neighbour, if
+    they are lower; then the links are drawn between what has become one and the next round has only
+    those that are left. At least half of the nodes join others, so rounds grow with the logarithm of
+    their number. Labels and links are written out each round: lineage stays short and nothing goes
+    through the driver but whether links are left."""
+    ordered = lambda x, y: [F.least(x, y).alias("x"), F.greatest(x, y).alias("y")]
+    edges = settle(links.select(*ordered(left, right)).where("x <> y").distinct(), "edges")
+    label = None
     while True:
-        near = both.join(label.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
-        hooked = label.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        # a root that learns of a lower one passes it on to all nodes that it labels
-        lower = hooked.groupBy("root").agg(F.min("low").alias("best"))
-        new = hooked.join(lower, "root").select("node", F.col("root").alias("old"), F.least("low", "best").alias("root"))
-        new = settle(new, "roots")
-        if new.where("old <> root").isEmpty():
-            return new.select("node", "root")
-        label = new.select("node", "root")
+        both = edges.union(edges.select("y", "x"))
+        low = settle(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("near")).select("node", F.least("node", "near").alias("low")), "lowest")
+        step = settle(low.join(low.select(F.col("node").alias("low"), F.col("low").alias("root")), "low").select("node", "root"), "joined")
+        if label is None:
+            label = step
+        else:
+            label = settle(label.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        at = lambda c: step.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        edges = settle(edges.join(at("x"), "x").join(at("y"), "y").select(*ordered("x_root", "y_root")).where("x <> y").distinct(), "edges")
+        if edges.isEmpty():
+            return label
+
+
+def joined_components(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more ``links`` (a, b): only the links between roots are followed."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    between = settle(between.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "between")
+    moved = components(between)
+    new = moved.select("node").join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    step = moved.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return settle(roots.union(new).join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")

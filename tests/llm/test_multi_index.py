@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 
 from peerbench.llm import queries
 from peerbench.llm.multi_index import nearest, traverse
-from peerbench.llm.tables import components
+from peerbench.llm.tables import components, joined_components
 
 NAN, INF = float("nan"), float("inf")
 
@@ -92,3 +92,7 @@ def test_components(spark):
             parent[b] = a
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in parent}
+    half = len(links) // 2
+    parts = components(spark.createDataFrame(links[:half], "a bigint, b bigint"))
+    parts = joined_components(parts, spark.createDataFrame(links[half:], "a bigint, b bigint"))
+    assert {r.node: r.root for r in parts.collect() if r.node in parent} == got
