@@ -373,8 +373,7 @@ def feature_columns(spark, sf_dir):
 @query
 def elbow(spark, sf_dir):
     return segments.elbow(
-        prepared(spark, sf_dir), *FEATURES, SETTINGS.sweep, key="row_id",
-        sample_size=SETTINGS.sample_size, restarts=SETTINGS.restarts, seed=SETTINGS.seed,
+        prepared(spark, sf_dir), *FEATURES, SETTINGS.sweep, key="row_id", restarts=SETTINGS.restarts, seed=SETTINGS.seed
     )
 
 

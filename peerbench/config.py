@@ -34,7 +34,7 @@ class Settings:
     max_experience: int = 60
     neighbours: int = 5
     min_group: int = 10
-    sample_size: int = 5_000
+    sample_size: int | None = None  # rows of the cost sweep; None: all
     scatter_cap: int = 50_000
     top_categories: int = 20
     segments: int = 5

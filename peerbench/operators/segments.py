@@ -119,7 +119,7 @@ def fit_clusters(
 
 def _sample_labels(small: FeatureSpace, sample: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> DataFrame:
     """The rows of a sample with the label of a fit on the sample alone."""
-    vectors = small.vectors(sample).coalesce(1).cache()
+    vectors = small.vectors(sample)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="_cluster").fit(vectors)
     return model.transform(vectors).drop("features").withColumn("_d", F.lit(0.0))
 
@@ -149,18 +149,18 @@ def kmeans_segments(
 
 def elbow(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ks: Sequence[int], *, key: str,
-    sample_size: int = 5_000, restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 16,
+    sample_size: int | None = None, restarts: int = 10, seed: int = 42, max_iter: int = 300, tol: float = 1e-4, parallelism: int = 8,
     stage: Stage = stage_table,
 ) -> DataFrame:
-    """(k, cost) of the best fit per k on a sample; a k beyond the number of rows is left out."""
+    """(k, cost) of the best fit per k over all complete rows, or over so many sampled ones if
+    ``sample_size`` is given; a k beyond the number of rows is left out."""
     complete = drop_incomplete(df, [*numeric, *categorical])
     space = fit_features(complete, numeric, categorical, stage=stage)
     sample = complete.select(key, *numeric, *categorical)
-    if space.n_rows > 1.5 * sample_size:
+    if sample_size is not None and space.n_rows > sample_size:
         sample = stage(sample_rows(sample, sample_size, seed, key), "sample")
-    space = space.restricted(sample)
-    # At most 1.5 sample sizes of rows: one partition spares every round its scheduling.
-    vectors = space.vectors(sample).select("features").coalesce(1).cache()
+        space = space.restricted(sample)
+    vectors = space.vectors(sample).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = vectors.count()
         fits = _best_fits(vectors, [k for k in ks if k <= rows], restarts, seed, max_iter, tol, parallelism)
@@ -225,11 +225,15 @@ def assign_to_centroids(df: DataFrame, coordinates: Sequence[Column] | Column, c
     )
 
 
+def _several(df: DataFrame, label: str) -> DataFrame:
+    """One row if there is more than one label, else none."""
+    return df.agg(F.count_distinct(label).alias("n")).where(F.col("n") > 1).select(F.lit(1).alias("_some"))
+
+
 def cluster_means(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
     """Means per segment, empty unless there is more than one segment (-1 counts as one)."""
-    several = df.agg(F.count_distinct(label).alias("n")).where(F.col("n") > 1).select(F.lit(1).alias("_some"))
     means = assigned(df, label).groupBy(label).agg(*[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in cols])
-    return means.withColumn("_some", F.lit(1)).join(F.broadcast(several), "_some", "left_semi").drop("_some")
+    return means.withColumn("_some", F.lit(1)).join(F.broadcast(_several(df, label)), "_some", "left_semi").drop("_some")
 
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -239,7 +243,8 @@ def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
 def segment_profile(
     df: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5
 ) -> dict[str, DataFrame]:
-    """Means, sizes and most frequent values of the assigned segments."""
-    rows = assigned(df, label)
+    """Means, sizes and most frequent values of the assigned segments; all empty if the rows have one
+    label only (-1 counts as one)."""
+    rows = assigned(df, label).withColumn("_some", F.lit(1)).join(F.broadcast(_several(df, label)), "_some", "left_semi").drop("_some")
     tables = {"means": cluster_means(df, label, numeric), "sizes": cluster_sizes(rows, label)}
     return tables | {f"top_{c}": top_values_per_group(rows, label, c, k) for c in categorical}

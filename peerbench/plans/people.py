@@ -19,7 +19,7 @@ from peerbench.functions import clamp, clean_text, empty_to, round_int, to_numbe
 from peerbench.operators import distribution, profile as prof, rank, segments
 from peerbench.operators.impute import impute_median, impute_nearest
 from peerbench.operators.peers import attach_peers, flag_counts, peer_summary
-from peerbench.operators.tables import drop_duplicate_rows, fill_missing, match_text, null_outside
+from peerbench.operators.tables import drop_duplicate_rows, fill_missing, match_text, null_outside, removed_rows
 from peerbench.sources import add_row_id, drop_index, infer_types, null_tokens, read_people, round_floats, write_people
 from peerbench.staging import stage as stage_table
 
@@ -102,9 +102,9 @@ def answers(enriched: DataFrame, settings: Settings) -> dict[str, DataFrame]:
     }
 
 
-def profile(raw: DataFrame, settings: Settings) -> dict[str, DataFrame]:
+def profile(raw: DataFrame, settings: Settings, stage: Stage = stage_table) -> dict[str, DataFrame]:
     """The tables of a first look at the raw data."""
-    typed = infer_types(null_tokens(raw, [c for c in TEXT if c in raw.columns], settings.null_tokens))
+    typed = stage(infer_types(null_tokens(raw, [c for c in TEXT if c in raw.columns], settings.null_tokens)), "typed")
     text = [c for c, t in typed.dtypes if t == "string"]
     numbers = [c for c, t in typed.dtypes if t in ("bigint", "double")]
     ids = [c for c in ("email_hash", "company_hash", "job_position") if c in text]
@@ -144,26 +144,39 @@ def segment(enriched: DataFrame, settings: Settings, stage: Stage = stage_table)
     """Both segmentations as columns of the rows, the cost sweep, the merge tree and the profiles."""
     features = (NUMERIC_FEATURES, CATEGORICAL_FEATURES)
     sweep = segments.elbow(
-        enriched, *features, settings.sweep, key="row_id", sample_size=settings.sample_size, restarts=settings.restarts, seed=settings.seed
+        enriched, *features, settings.sweep, key="row_id", sample_size=settings.sample_size, restarts=settings.restarts, seed=settings.seed, stage=stage
     )
     labelled = segments.kmeans_segments(
         enriched, *features, settings.segments, key="row_id", restarts=settings.restarts, seed=settings.seed, stage=stage
     )
+    labelled = stage(labelled, "labelled")
     micro = segments.micro_clusters(labelled, *features, key="row_id", n=settings.micro_clusters, seed=settings.seed, stage=stage)
     both = stage(
         segments.hierarchical_segments(labelled, *features, settings.segments, key="row_id", micro=micro), "segmented"
     )
     tree = segments.merge_tree(enriched.sparkSession, micro)
-    return Segmented(both, sweep, tree, segments.segment_profile(both, "KMeans_Cluster", *features))
+    profiles = segments.segment_profile(both, "KMeans_Cluster", *features)
+    # how many rows have each label, those without one (-1) too
+    profiles |= {f"labels_{label}": segments.cluster_sizes(both, label) for label in ("KMeans_Cluster", "Hierarchical_Cluster")}
+    return Segmented(both, sweep, tree, profiles)
 
 
 def run(spark: SparkSession, source: str, target: str, settings: Settings, *, format: str = "csv") -> dict[str, DataFrame]:
     """Read raw people, write the enriched table, and return all report tables by name."""
     raw = read_people(spark, source, format=format)
-    prepared = stage_table(prepare(raw, settings), "prepared")
+    cleaned = stage_table(clean(raw, settings), "cleaned")
+    imputed = stage_table(impute(cleaned, settings), "imputed")
+    prepared = stage_table(derive(imputed, settings), "prepared")
     enriched = stage_table(enrich(prepared), "enriched")
     segmented = segment(enriched, settings)
     write_people(round_floats(segmented.rows, settings.decimals), target, format=format)
     reports = profile(drop_index(raw), settings) | distributions(prepared, settings) | answers(enriched, settings)
+    reports |= {
+        "missing_before": prof.null_counts(cleaned),
+        "missing_after": prof.null_counts(imputed),
+        "n_unique_cleaned": prof.n_unique(cleaned, [COMPANY, JOB]),
+        "removed_rows": removed_rows(imputed, prepared),
+        "describe_experience": prof.describe_numeric(prepared, [EXPERIENCE]),
+    }
     reports |= {"elbow": segmented.elbow, "merge_tree": segmented.merge_tree}
     return reports | {f"segment_{name}": table for name, table in segmented.profile.items()}

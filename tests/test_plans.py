@@ -122,4 +122,13 @@ def test_whole_plan_from_csv(spark, tmp_path):
     assert tiers == want
     for name, table in reports.items():
         assert table.count() > 0, name
+    missing = lambda name: {r["column"]: r["missing"] for r in reports[name].collect()}
+    assert missing("missing_before")["ctc"] > 0 and missing("missing_before")["orgyear"] > 0
+    assert missing("missing_after")["ctc"] == missing("missing_after")["orgyear"] == 0
+    removed = reports["removed_rows"].first()
+    assert removed["rows_after"] == out.count() and removed["rows_before"] - removed["rows_after"] == removed["rows_removed"] > 0
+    assert reports["describe_experience"].first()["count"] == out.count()
+    for label in ("KMeans_Cluster", "Hierarchical_Cluster"):
+        sizes = {r[label]: r["size"] for r in reports[f"segment_labels_{label}"].collect()}
+        assert sizes == {int(r[label]): r["count"] for r in out.groupBy(label).count().collect()}
     assert [r["k"] for r in reports["elbow"].collect()] == [2, 3] and reports["merge_tree"].count() == 11
