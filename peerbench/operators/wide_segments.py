@@ -126,13 +126,16 @@ def count_labels(space: FeatureSpace, labelled: DataFrame) -> DataFrame:
 def table_kmeans(
     space: FeatureSpace, rows: DataFrame, start: DataFrame, k: int, max_iter: int, tol: float, stage: Stage
 ) -> TableCentres:
-    """Rounds of label and count from a labelled start, until the cost falls by less than ``tol``."""
+    """Rounds of label and count from a labelled start, until the cost falls by less than ``tol``. Sizes
+    and cost of what is returned are those of the labels that it gives."""
     centres = TableCentres(space, k, stage(count_labels(space, start), "centres"))
     cost = float("inf")
     for _ in range(max_iter):
-        counted = stage(count_labels(space, centres.label(rows)), "centres")
-        moved = TableCentres(space, k, counted)
+        moved = TableCentres(space, k, stage(count_labels(space, centres.label(rows)), "centres"))
         if cost - moved.cost <= tol * moved.cost:
-            return moved
+            break
         centres, cost = moved, moved.cost
+    else:
+        moved = TableCentres(space, k, stage(count_labels(space, centres.label(rows)), "centres"))
+    centres.sizes, centres.cost = moved.sizes, moved.cost
     return centres
