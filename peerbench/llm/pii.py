@@ -69,6 +69,9 @@ _NUMBER_TOKEN = re.compile(rf"(?P<word>\b(?:{_DIGIT_WORD})\b)|(?P<times>\b(?:dou
 _NUMBER_RUN = re.compile(rf"(?:(?:\b(?:{_DIGIT_WORD}|double|triple|plus|{_DOT_WORD})\b|[0-9]|[\[({{<.)\]}}>+])[ \t,-]*){{4,}}", re.IGNORECASE)
 _NUMBER_SIGN = re.compile(rf"\b(?:{_DIGIT_WORD})\b[ \t,.()\[\]-]+(?:(?:{_DIGIT_WORD}|double|triple|{_DOT_WORD})\b|[0-9])|[0-9][ \t]*[\[({{<]?[ \t]?(?:{_DOT_WORD}|\[\.)\b|\b(?:{_DOT_WORD})\b[ \t\])}}>]*[0-9]|\bplus[ \t]+(?:[0-9]|(?:{_DIGIT_WORD})\b)|[0-9][\[({{<]\.[\])}}>][0-9]", re.IGNORECASE)
 
+_SIGN_WORDS = {*DIGIT_WORDS, *DOT_WORDS, "double", "triple", "plus"}
+_LETTERS, _DIGIT = re.compile("[a-zéüö]+"), re.compile("[0-9]")
+
 Span = tuple[str, int, int]
 #: A normalised text with the source bounds of each of its characters.
 Mapped = tuple[str, list[int], list[int]]
@@ -160,8 +163,14 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _may_spell(text: str) -> bool:
+    """Whether ``_NUMBER_SIGN`` can match: two of its words, one and a digit, or a dot in brackets."""
+    words = sum(map(_SIGN_WORDS.__contains__, _LETTERS.findall(text.lower())))
+    return words > 1 or words == 1 and bool(_DIGIT.search(text)) or any(x in text for x in ("[.", "(.", "{.", "<."))
+
+
 def number_edits(text: str) -> list[tuple[int, int, str]]:
-    if not _NUMBER_SIGN.search(text):
+    if not _may_spell(text) or not _NUMBER_SIGN.search(text):
         return []
     edits = []
     for run in _NUMBER_RUN.finditer(text):
