@@ -113,6 +113,12 @@ def _sql(last: str, body: str, extra: dict[str, str] | None = None) -> str:
     return f"WITH {text}\n{body}"
 
 
+# Prepared people, of whom some have no company, some no job and some no experience.
+GAPS = {
+    "gaps": "SELECT row_id, ctc, "
+    + ", ".join(f"CASE WHEN CAST(split_part(row_id, '-', 3) AS BIGINT) % {n} <> 0 THEN {k} END AS {k}" for k, n in ((CO, 11), (JOB, 5), (EXP, 7)))
+    + " FROM prepared"
+}
 DOUBLE_PAY = "* REPLACE (CAST(ctc AS DOUBLE) AS ctc)"
 ANSWER = f"row_id, email_hash, {CO}, {JOB}, {EXP}, CAST(ctc AS DOUBLE) AS ctc, Designation, Class, Tier"
 SETTINGS_ROLE = f"regexp_matches({JOB}, '{SETTINGS.role_pattern}', 'i')"
@@ -286,7 +292,22 @@ ORACLES: dict[str, str] = {
                 FROM gaps WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)} GROUP BY {', '.join(keys)}"""
             for s, keys in LEVELS.items()
         ),
-        {"gaps": "SELECT ctc, " + ", ".join(f"CASE WHEN CAST(split_part(row_id, '-', 3) AS BIGINT) % {n} <> 0 THEN {k} END AS {k}" for k, n in ((CO, 11), (JOB, 5), (EXP, 7))) + " FROM prepared"},
+        GAPS,
+    ),
+    "peer_flags_missing_keys": _sql(
+        "prepared",
+        "SELECT row_id, CAST(ctc AS DOUBLE) AS ctc, " + ", ".join(
+            f"""CASE WHEN ctc IS NULL OR {' OR '.join(f'{k} IS NULL' for k in LEVELS[s])} THEN 2 ELSE {_flag('', s).removesuffix(' AS ')} END AS {f}"""
+            for f, s in FLAGS.items()
+        ) + " FROM gaps",
+        GAPS,
+    ),
+    "drop_incomplete_rows": _sql("prepared", f"SELECT row_id, {CO}, {JOB}, {EXP} FROM gaps WHERE {CO} IS NOT NULL AND {JOB} IS NOT NULL AND {EXP} IS NOT NULL", GAPS),
+    "positive_rows": _sql("prepared", "SELECT row_id, CAST(ctc AS DOUBLE) AS ctc FROM prepared WHERE ctc > 0 AND CAST(split_part(row_id, '-', 3) AS BIGINT) % 3 = 2"),
+    "clamped_experience": _sql("prepared", "SELECT row_id, CAST(greatest(0, least(1996 - orgyear, 3)) AS INTEGER) AS years FROM prepared"),
+    "index_dropped": _sql(
+        "cleaned",
+        f"""SELECT company_hash, {JOB}, count(*) AS n, count(DISTINCT coalesce(CAST(orgyear AS VARCHAR), '-')) AS n_keys FROM cleaned GROUP BY company_hash, {JOB}""",
     ),
     "attach_summary": _sql(
         "summary_Co_Job",

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from peerbench.catalog.binding import SETTINGS, people_view
 from peerbench.config import COMPANY, EXPERIENCE, JOB, PEER_FLAGS, PEER_LEVELS
-from peerbench.functions import clean_text, to_number
+from peerbench.functions import clamp, clean_text, to_number, years_since
 from peerbench.operators import distribution, peers, profile, rank, segments, tables
 from peerbench.operators.features import feature_stats, fit_features
 from peerbench.operators.impute import impute_median, impute_nearest
 from peerbench.operators.quantiles import exact_quantiles
 from peerbench.operators.wide_segments import TableCentres, count_labels
 from peerbench.plans import people
-from peerbench.sources import drop_index, infer_types, null_tokens, read_people, round_floats, spread, write_people
+from peerbench.sources import add_row_id, drop_index, infer_types, null_tokens, read_people, round_floats, spread, write_people
 from peerbench.staging import shared_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +243,43 @@ def peer_summaries_missing_keys(spark, sf_dir):
     return peers.peer_summaries(with_missing_keys(spark, sf_dir), PEER_LEVELS, "ctc")
 
 
+@query
+def peer_flags_missing_keys(spark, sf_dir):
+    """Flags of rows of which some have no group: those are neither above nor below."""
+    flagged = peers.attach_peers(with_missing_keys(spark, sf_dir), PEER_LEVELS, "ctc", medians=False)
+    return _as_doubles(flagged.select("row_id", "ctc", *PEER_FLAGS))
+
+
+@query
+def drop_incomplete_rows(spark, sf_dir):
+    kept = tables.drop_incomplete(with_missing_keys(spark, sf_dir), [COMPANY, JOB, EXPERIENCE])
+    return kept.select("row_id", COMPANY, JOB, EXPERIENCE)
+
+
+@query
+def positive_rows(spark, sf_dir):
+    """Rows with pay above zero, where every third has none or less."""
+    part = F.split("row_id", "-")[2].cast("bigint")
+    signed = F.when(part % 3 == 0, F.col("ctc") * 0).when(part % 3 == 1, -F.col("ctc")).otherwise(F.col("ctc"))
+    rows = prepared(spark, sf_dir).select("row_id", signed.cast("double").alias("ctc"))
+    return tables.positive(rows, "ctc")
+
+
+@query
+def clamped_experience(spark, sf_dir):
+    """Years up to 1996, held between 0 and 3: both ends act."""
+    years = clamp(years_since(F.col("orgyear"), 1996), 0, 3)
+    return prepared(spark, sf_dir).select("row_id", years.cast("int").alias("years"))
+
+
+@query
+def index_dropped(spark, sf_dir):
+    """An index column comes in and goes; keys made of the content tell apart what differs."""
+    rows = cleaned(spark, sf_dir).select(F.monotonically_increasing_id().cast("string").alias("Unnamed: 0"), "company_hash", "orgyear", JOB)
+    keyed = add_row_id(drop_index(rows))
+    return keyed.groupBy("company_hash", JOB).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("n_keys"))
+
+
 @query
 def peer_summaries_grouping_sets(spark, sf_dir):
     return peers.peer_summaries(prepared(spark, sf_dir), PEER_LEVELS, "ctc")
