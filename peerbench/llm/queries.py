@@ -107,4 +107,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nb_svm": op10_nb_svm,
 }
 
-ORACLES: dict[str, str] = {}
+#: SQL of the queries that it can express; the others are compared with plain versions in the tests.
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+             words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+             runs AS (SELECT doc_id, p AS s, concat_ws(' ', word, NEXT_WORDS) AS run, lead(p, 19) OVER o AS stop
+                      FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+             placed AS (SELECT doc_id, s, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM runs WHERE stop IS NOT NULL),
+             gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM placed WHERE nth > 1),
+             kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""".replace("NEXT_WORDS", ", ".join(f"lead(word, {i}) OVER o" for i in range(1, 20))),
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             f AS (SELECT *, CASE WHEN strlen(body) >= 100 THEN min(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM p)
+        SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest,
+               CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f""",
+}
