@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -275,13 +276,24 @@ def load_coder(path: str) -> PieceCoder:
         return PieceCoder(read_model(file.read()))
 
 
+_CODERS: dict[str, PieceCoder] = {}
+
+
+def _worker_coder(key: str, model: PieceModel) -> PieceCoder:
+    """One coder, with the words that it has solved, for all tasks of a Python worker."""
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = PieceCoder(model)
+    return _CODERS[key]
+
+
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """``doc_id, n_ids, n_bytes`` (ids of single bytes)``, ids_crc32, decoded`` and, if wanted, ``ids``. The
     model has a fixed size and is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_coder(model).model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(load_coder(model).model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(shared.value)
+        coder = _worker_coder(key, shared.value)
         single = np.zeros(len(coder.bytes_of), bool)
         single[list(coder.byte_ids.values())] = True
         for batch in batches:
