@@ -1,8 +1,13 @@
 """Quality rules: compression bands.
 
 Text that repeats itself compresses too well, text without structure not well enough. The ratio of
-plain to zstandard bytes is taken over the whole document and over fixed chunks of it; both have to
-lie in a band that depends on length, as short texts compress less whatever they say.
+plain to zstandard bytes is taken over the whole document and over fixed chunks of it with what is left
+after them; all have to lie in a band that depends on length, as short texts compress less whatever they say.
+
+What is left after the full chunks is judged as a document of its length would be. Up to the first of the
+lengths of ``Bands.whole`` it says too little alone and is judged by the last ``chunk`` bytes of the text. A
+text shorter than a chunk is one such rest, so its whole ratio judges it. ``n_chunks`` and ``n_bad_chunks``
+count full chunks; the rest counts in ``kept``, by its bytes.
 
 Defined results: a null text has no words; a document without words has all counts 0, fails the base
 rules and is not kept. Every row, repeated ones too, gives one row; null ids stay. Long texts are
@@ -30,8 +35,8 @@ SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 @dataclass(frozen=True)
 class Bands:
     """Lowest and highest ratio of plain to compressed bytes, by length: each band holds up to that
-    many bytes. ``chunks`` is the band of every full chunk; a document goes if more than
-    ``bad_share`` of its full chunks are outside."""
+    many bytes. ``chunks`` is the band of every full chunk; a document goes if more than ``bad_share`` of
+    its bytes are in full chunks, or in a rest after them, that are outside."""
 
     level: int = 3
     chunk: int = 4096
@@ -78,22 +83,35 @@ def duplicate_lines(data: np.ndarray, bounds: np.ndarray, words) -> np.ndarray:
     return out
 
 
-def ratios(text: memoryview, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """Whole ratio, full chunks, and those outside their band; an empty text has ratio 1."""
+def band(n: int, bands: Bands) -> tuple[float, float]:
+    return next((lo, hi) for most, lo, hi in bands.whole if n <= most)
+
+
+def ratios(text: memoryview, bands: Bands, pack: zstandard.ZstdCompressor) -> tuple[float, int, int, int]:
+    """Whole ratio, full chunks, those outside their band, and the bytes of the rest after them if it is
+    outside its own, else 0; an empty text has ratio 1."""
     n = len(text)
     whole = n / len(pack.compress(text)) if n else 1.0
     low, high = bands.chunks
-    full = n // bands.chunk
+    full, rest = divmod(n, bands.chunk)
     bad = 0
     for k in range(full):
         r = bands.chunk / len(pack.compress(text[k * bands.chunk : (k + 1) * bands.chunk]))
         bad += not low <= r <= high
-    return whole, full, bad
+    if not full or not rest:
+        return whole, full, bad, 0
+    last = text[n - rest :]
+    if rest > bands.whole[0][0]:
+        low, high = band(rest, bands)
+    else:
+        last = text[n - bands.chunk :]
+    fits = low <= len(last) / len(pack.compress(last)) <= high
+    return whole, full, bad, 0 if fits else rest
 
 
-def verdict(n: int, whole: float, full: int, bad: int, bands: Bands) -> bool:
-    low, high = next((lo, hi) for most, lo, hi in bands.whole if n <= most)
-    return low <= whole <= high and bad <= bands.bad_share * full
+def verdict(n: int, whole: float, bad: int, bad_rest: int, bands: Bands) -> bool:
+    low, high = band(n, bands)
+    return low <= whole <= high and bad * bands.chunk + bad_rest <= bands.bad_share * n
 
 
 def measure(batch: pa.RecordBatch, bands: Bands) -> pa.RecordBatch:
@@ -117,8 +135,8 @@ def measure(batch: pa.RecordBatch, bands: Bands) -> pa.RecordBatch:
         cols["n_repeat_words"][lo:hi] = repeated_words(words, words.hashes())
         for i in range(lo, hi):
             text = memoryview(data[bounds[i] : bounds[i + 1]])
-            whole[i], cols["n_chunks"][i], cols["n_bad_chunks"][i] = ratios(text, bands, pack)
-            fits[i] = verdict(len(text), whole[i], cols["n_chunks"][i], cols["n_bad_chunks"][i], bands)
+            whole[i], cols["n_chunks"][i], cols["n_bad_chunks"][i], bad_rest = ratios(text, bands, pack)
+            fits[i] = verdict(len(text), whole[i], cols["n_bad_chunks"][i], bad_rest, bands)
     failed = (cols["n_words"] < 50) | (100 * cols["n_repeat_words"] > 50 * cols["n_words"])
     return pa.RecordBatch.from_arrays(
         [batch.column(0), *(pa.array(cols[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
