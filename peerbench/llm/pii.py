@@ -8,7 +8,11 @@ mapped back. A span found there is added if it holds something rewritten and is
 of its kind; base spans always stay.
 
 A plain word "at" counts as a sign only within an address: with a written-out dot after it, or one of
-``DOMAINS`` at the end. Spelled digits count only within runs of digits and number signs.
+``DOMAINS`` at the end. With another ending the ending has to be written in one case with the rest, and the
+word before "at" must not be one of prose; a country code will do then, and any ending (also a country code
+that is a word, as in "at work.so we") with a local part that has marks or digits, or with a word such as
+"mail" or "Kontakt" before it. The names of the sign in the languages of the corpus, such as "arroba", need
+no such test. Spelled digits count only within runs of digits and number signs.
 
 Defined results: null and empty texts have no span. Every row, repeated ones and those with a null id
 too, gives one row. Long texts are handled whole. Other columns are not read.
@@ -53,15 +57,38 @@ DIGIT_WORDS = {
 }
 DOT_WORDS = ("dot", "punkt", "point", "punto")
 AT_WORDS = ("at",)
+# fixed values: names of the sign in the languages of the corpus, and words for it that count in brackets only
+AT_NAMES = ("arroba", "arobase", "arrobase", "arobas", "arrobas", "klammeraffe", "at-zeichen", "atzeichen", "affenschwanz", "ät")
+AT_IN_BRACKETS = ("chez", "à", "bei", "a commercial")
 DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io")
+# fixed values: country codes, and those of them that are common words
+COUNTRIES = frozenset(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz "
+    "de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in iq ir is it je jm jo jp "
+    "ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz "
+    "om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz "
+    "ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+WORD_COUNTRIES = frozenset("am as at be by do in is it me my no so to us".split())
+# fixed values: words before "at" in prose, words that make a name of what follows, and words before an address
+PROSE = frozenset(
+    "a all also am and apply are arrive arrived available back based be been began but buy check checked click down download end ended even everyone find found go had has have he her here him his hosted i is it "
+    "join joined just laugh live lives located look looked looking looks me meet met more not now one online only or out page people photo point posted published read register registered saw see seen she shop shouted "
+    "sign site sold someone start started stay stayed stop stopped that them then there they this up us visit was we website went were work worked working works you".split()
+)
+NAMING = frozenset("a an any each every her his its my no our some that the their these this those your".split())
 COMPATIBLE = ("<wide>", "<narrow>", "<font>", "<circle>", "<small>")
 
-_DOT_WORD, _AT_WORD = "|".join(DOT_WORDS), "|".join(AT_WORDS)
+_DOT_WORD, _AT_WORD, _AT_NAME = "|".join(DOT_WORDS), "|".join((*AT_WORDS, *AT_NAMES)), "|".join(AT_NAMES)
+_AT_BRACKETED = "|".join((*AT_WORDS, *AT_NAMES, *AT_IN_BRACKETS))
 _OPEN, _CLOSE = r"[ \t]?[\[({<][ \t]?", r"[ \t]?[\])}>][ \t]?"
 _DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|[ \t]+(?:{_DOT_WORD})[ \t]+|\.)"
-_AT = rf"(?P<at>{_OPEN}(?:{_AT_WORD}|@){_CLOSE}|[ \t]+(?:{_AT_WORD})[ \t]+|[ \t]?@[ \t]?)"
+_AT = rf"(?P<at>{_OPEN}(?:{_AT_BRACKETED}|@){_CLOSE}|[ \t]+(?:{_AT_WORD})[ \t]+|[ \t]?@[ \t]?)"
 _ADDRESS = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?{_AT}(?P<host>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
-_ADDRESS_SIGN = re.compile(rf"[\[({{<][ \t]?(?:{_AT_WORD}|{_DOT_WORD}|@|\.)[ \t]?[\])}}>]|[ \t](?:{_DOT_WORD})[ \t]|[ \t]@|@[ \t]|[ \t](?:{_AT_WORD})[ \t]+[A-Za-z0-9.-]+\.(?:{'|'.join(DOMAINS)})\b", re.IGNORECASE)
+_ADDRESS_SIGN = re.compile(rf"[\[({{<][ \t]?(?:{_AT_BRACKETED}|{_DOT_WORD}|@|\.)[ \t]?[\])}}>]|[ \t](?:{_DOT_WORD}|{_AT_NAME})[ \t]|[ \t]@|@[ \t]|[ \t](?:{'|'.join(AT_WORDS)})[ \t]+[A-Za-z0-9.-]+\.[A-Za-z]{{2}}", re.IGNORECASE)
+_BEFORE_ADDRESS = re.compile(
+    r"\b(?:e-?mails?|mailto|mail|contact|write|reach|kontakt|schreib\w*|erreichbar|courriel|mél|contacte[rz]?|écri\w*|correo|contacto|contacta\w*|escrib\w*)\b"
+    r"(?:[ \t]+(?:address|adresse|electrónico|me|us|to|is|unter|an|ist|est|à|es|a|mir|uns|moi|nous))*[ \t]*[:=]?[ \t]*$", re.IGNORECASE)
 _DOT_TOKEN, _AT_TOKEN = re.compile(_DOT, re.IGNORECASE), re.compile(_AT, re.IGNORECASE)
 
 _DIGIT_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
@@ -70,6 +97,7 @@ _NUMBER_RUN = re.compile(rf"(?:(?:\b(?:{_DIGIT_WORD}|double|triple|plus|{_DOT_WO
 _NUMBER_SIGN = re.compile(rf"\b(?:{_DIGIT_WORD})\b[ \t,.()\[\]-]+(?:(?:{_DIGIT_WORD}|double|triple|{_DOT_WORD})\b|[0-9])|[0-9][ \t]*[\[({{<]?[ \t]?(?:{_DOT_WORD}|\[\.)\b|\b(?:{_DOT_WORD})\b[ \t\])}}>]*[0-9]|\bplus[ \t]+(?:[0-9]|(?:{_DIGIT_WORD})\b)|[0-9][\[({{<]\.[\])}}>][0-9]", re.IGNORECASE)
 
 _SIGN_WORDS = {*DIGIT_WORDS, *DOT_WORDS, "double", "triple", "plus"}
+_LAST_WORD = re.compile(r"\b([A-Za-z]+)[ \t]+$")
 _LETTERS, _DIGIT = re.compile("[a-zéüö]+"), re.compile("[0-9]")
 
 Span = tuple[str, int, int]
@@ -145,6 +173,23 @@ def char_edits(text: str) -> list[tuple[int, int, str]]:
     return [(i, i + 1, odd[c]) for i, c in enumerate(text) if c in odd] if odd else []
 
 
+def _is_address(text: str, m: re.Match) -> bool:
+    """Whether a match with a plain word "at" and plain dots is an address, by its ending, local part and context."""
+    ending = re.split(r"[^A-Za-z0-9-]+", m["host"])[-1]
+    code = ending.lower()
+    if code in DOMAINS:
+        return True
+    if not (code.isalpha() and len(code) > 1 and (ending.islower() or not any(c.islower() for c in m[0]))):
+        return False
+    local = text[m.start() : m.start("at")].lower()
+    if local in PROSE:
+        return False
+    if not local.isalpha() and any(c.isalpha() for c in local) or _BEFORE_ADDRESS.search(text, max(0, m.start() - 60), m.start()):
+        return True
+    before = _LAST_WORD.search(text, max(0, m.start() - 20), m.start())
+    return code in COUNTRIES and code not in WORD_COUNTRIES and not (before and before[1].lower() in NAMING)
+
+
 def address_edits(text: str) -> list[tuple[int, int, str]]:
     if not _ADDRESS_SIGN.search(text):
         return []
@@ -154,8 +199,7 @@ def address_edits(text: str) -> list[tuple[int, int, str]]:
         dots = [d for part in (m.span(), ) for d in _DOT_TOKEN.finditer(text, *part)]
         host_dots = [d[0] for d in dots if d.start() >= m.start("host")]
         plain_at = at.strip().lower() in AT_WORDS
-        last = re.split(r"[^A-Za-z0-9-]+", m["host"])[-1].lower()
-        if plain_at and all(d == "." for d in host_dots) and last not in DOMAINS:
+        if plain_at and all(d == "." for d in host_dots) and not _is_address(text, m):
             continue
         tokens = [(d.start(), d.end(), ".") for d in dots if d[0] != "." and (d.end() <= m.start("at") or d.start() >= m.end("at"))]
         tokens += [(m.start("at"), m.end("at"), "@")] if at != "@" else []

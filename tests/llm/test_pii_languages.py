@@ -1,0 +1,50 @@
+import pytest
+
+from peerbench.llm.pii import disguised, find_all, masked
+
+
+@pytest.mark.parametrize(
+    "text, part",
+    [
+        ("so max at firma.de schrieb", "max at firma.de"),
+        ("ask x at uni.ac.uk.", "x at uni.ac.uk"),
+        ("MAX AT FIRMA.DE", "MAX AT FIRMA.DE"),
+        ("write to anna at werk.museum today", "anna at werk.museum"),
+        ("ask anna.k at werk.museum today", "anna.k at werk.museum"),
+        ("mail: tom at firma.it", "tom at firma.it"),
+        ("escribe a juan arroba ejemplo punto com, gracias", "juan arroba ejemplo punto com"),
+        ("juan arroba ejemplo.com.mx", "juan arroba ejemplo.com.mx"),
+        ("juan [arroba] ejemplo [punto] es", "juan [arroba] ejemplo [punto] es"),
+        ("chez marie (arobase) exemple point fr oui", "marie (arobase) exemple point fr"),
+        ("marie arobase exemple.fr", "marie arobase exemple.fr"),
+        ("marie (chez) exemple (point) fr", "marie (chez) exemple (point) fr"),
+        ("Kontakt: max Klammeraffe firma Punkt de", "max Klammeraffe firma Punkt de"),
+        ("Kontakt: max (ät) firma (punkt) de", "max (ät) firma (punkt) de"),
+        ("max at firma punkt de", "max at firma punkt de"),
+    ],
+)
+def test_written_out_at_in_each_language(text, part):
+    found = find_all(text)
+    assert ("email", text.index(part), text.index(part) + len(part), False) in found
+    assert part not in masked(text, found)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We arrived at noon.The bus left.",
+        "He shouted at home.in the end it was fine",
+        "they stay at work.so we left",
+        "prices at once.It rained",
+        "look at spiegel.de for more",
+        "the people at firma.de say",
+        "our team at firma.de says",
+        "stopped at 3.5 percent",
+        "La arroba es una unidad. Una arroba castellana pesa mucho",
+        "le symbole arobase est courant",
+        "Der Klammeraffe lebt im Wald",
+        "il dort chez lui.il mange",
+    ],
+)
+def test_prose_is_no_address(text):
+    assert disguised(text) == []
