@@ -18,12 +18,9 @@ from peerbench.operators.features import FeatureSpace, fit_features
 from peerbench.operators.merge_tree import cut_tree, ward_merges
 from peerbench.operators.profile import row_count, top_values_per_group
 from peerbench.operators.tables import assigned, drop_incomplete
-from peerbench.operators.wide_segments import Stage, table_kmeans
+from peerbench.operators.wide_segments import Stage, TableCentres, spread_start, table_kmeans, weighted_rows
 from peerbench.staging import stage as stage_table
 
-# Coordinates of all centres together that the driver and every task may hold (64 MB of doubles).
-MAX_CENTRE_CELLS = 8_000_000
-
 
 @dataclass(frozen=True)
 class Clusters:
@@ -33,6 +30,8 @@ class Clusters:
     sizes: list[int]
     squared_distances: np.ndarray
     cost: float
+    rounds: int
+    converged: bool
 
 
 def _renumbered(sizes: Sequence[int], first: Sequence[float]) -> list[int]:
@@ -77,53 +76,35 @@ def fit_clusters(
     max_iter: int = 300,
     tol: float = 1e-4,
     parallelism: int = 4,
-    sample_size: int = 5_000,
-    max_cells: int = MAX_CENTRE_CELLS,
     label: str = "_cluster",
     stage: Stage = stage_table,
+    **_former,
 ) -> Clusters:
-    """K-Means over all rows, best of several starts.
-
-    Centres of up to ``max_cells`` coordinates are fitted as vectors. With more levels than that
-    the centres stay tables, each start being a fit of another sample of the rows.
+    """K-Means over all rows, best of several starts: k-means++ over all rows, then rounds until no centre
+    moves by more than ``tol``. Centres are tables, so the plan is one at every number of levels; settings of
+    the former choice of plans (``max_cells``, ``sample_size``) are taken and change nothing.
     """
-    if k * space.width <= max_cells:
-        vectors = space.vectors(rows.select(*space.numeric, *space.categorical)).select("features")
-        vectors.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = _best_fits(vectors, [k], restarts, seed, max_iter, tol, parallelism)[k]
-            sizes, cost = [int(n) for n in model.summary.clusterSizes], float(model.summary.trainingCost)
-        finally:
-            vectors.unpersist()
-        centres = np.array(model.clusterCenters())
-        own = (centres**2).sum(axis=1)
-        squared = np.maximum(own[:, None] + own[None, :] - 2 * centres @ centres.T, 0.0)
-        predicted = model.setPredictionCol("_cluster").transform(space.vectors(rows))
-        first = centres[:, 0]
-    else:
-        best = None
-        for restart in range(restarts):
-            sample = stage(sample_rows(rows, sample_size, seed + restart, key), "sample")
-            start = _sample_labels(space.restricted(sample), sample, k, seed + restart, max_iter, tol)
-            found = table_kmeans(space, rows, start, k, max_iter, tol, stage)
+    if set(_former) - {"max_cells", "sample_size"}:
+        raise TypeError(f"unknown settings: {sorted(_former)}")
+    weighted = stage(weighted_rows(space, rows, key), "weighted")
+
+    def fit(restart: int) -> TableCentres:
+        start = spread_start(space, weighted, k, seed + restart, key)
+        return table_kmeans(space, weighted.select(*space.numeric, *space.categorical), start, k, max_iter, tol, stage)
+
+    best = None
+    with ThreadPool(max(1, min(parallelism, restarts))) as pool:
+        for found in pool.imap(inheritable_thread_target(rows.sparkSession)(fit), range(restarts)):
             best = found if best is None or found.cost < best.cost else best
-        predicted = best.label(rows)
-        sizes, cost, squared, first = [int(n) for n in best.sizes], best.cost, best.squared_distances(), best.means[:, 0]
-    place = _renumbered(sizes, first)
-    order = np.argsort(place)
+    sizes = [int(n) for n in best.sizes]
+    place = _renumbered(sizes, best.means[:, 0] if space.numeric else [0.0] * k)
+    order = [j for j in np.argsort(place) if sizes[j]]
     return Clusters(
-        predicted.select(*rows.columns, _lookup(place, F.col("_cluster")).alias(label)),
-        [sizes[j] for j in order], squared[np.ix_(order, order)], cost,
+        best.label(rows).select(*rows.columns, _lookup(place, F.col("_cluster")).alias(label)),
+        [sizes[j] for j in order], best.squared_distances()[np.ix_(order, order)], float(best.cost), best.rounds, best.converged,
     )
 
 
-def _sample_labels(small: FeatureSpace, sample: DataFrame, k: int, seed: int, max_iter: int, tol: float) -> DataFrame:
-    """The rows of a sample with the label of a fit on the sample alone."""
-    vectors = small.vectors(sample)
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="_cluster").fit(vectors)
-    return model.transform(vectors).drop("features").withColumn("_d", F.lit(0.0))
-
-
 def _split(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     complete = drop_incomplete(df, cols)
     incomplete = df.where(F.greatest(*[F.col(c).isNull().cast("int") for c in cols]) == 1)

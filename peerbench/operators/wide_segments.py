@@ -88,6 +88,16 @@ class TableCentres:
             .select(*rows.columns, "_cluster", "_d")
         )
 
+    def moved_from(self, other: TableCentres) -> float:
+        """The largest squared distance between a centre here and the one of its number in ``other``."""
+        zeros = _array([0.0] * self.k)
+        both = self.levels.select("column", "value", F.col("at").alias("_a")).join(
+            other.levels.select("column", "value", F.col("at").alias("_b")), ["column", "value"], "full"
+        )
+        gap = F.zip_with(F.coalesce("_a", zeros), F.coalesce("_b", zeros), lambda a, b: (a - b) * (a - b))
+        hot = both.select(gap.alias("_g")).agg(*[F.sum(F.element_at("_g", j + 1)).alias(f"s{j}") for j in range(self.k)]).first()
+        return float((((self.means - other.means) ** 2).sum(axis=1) + np.array([hot[f"s{j}"] or 0.0 for j in range(self.k)])).max())
+
     def squared_distances(self) -> np.ndarray:
         """Between all pairs of centres; tasks add up k x k products of their share of the levels."""
         k = self.k
@@ -123,19 +133,69 @@ def count_labels(space: FeatureSpace, labelled: DataFrame) -> DataFrame:
     )
 
 
+def weighted_rows(space: FeatureSpace, rows: DataFrame, key: str) -> DataFrame:
+    """Key and features of every row, with the weights ``_w0..`` of its levels."""
+    out = rows.select(key, *space.numeric, *space.categorical)
+    for i, c in enumerate(space.categorical):
+        weights = space.levels.where(F.col("column") == c).select(F.col("value").alias("_v"), F.col("weight").alias(f"_w{i}"))
+        out = out.join(weights, F.col(c) == F.col("_v"), "left").drop("_v")
+    return out
+
+
+def spread_start(space: FeatureSpace, weighted: DataFrame, k: int, seed: int, key: str) -> DataFrame:
+    """The k-means++ start over all rows: ``k`` of them labelled 0, 1, ..., each drawn with a chance
+    proportional to its squared distance from those before; fewer if no more differ.
+
+    A row's draw is exponential with that distance as its rate, from a hash of key, seed and turn, so the
+    least draw of one pass is the row. Rows differ from a drawn one by their numbers and by the weights of
+    levels that are not the same; what is held does not depend on the number of levels.
+    """
+    numbers = {f"_x{i}": F.col(c).cast("double") / F.lit(s) for i, (c, s) in enumerate(zip(space.numeric, space.scales))}
+    cats, weights = list(space.categorical), [f"_w{i}" for i in range(len(space.categorical))]
+    rows = weighted.withColumns(numbers)
+    fields = [*numbers, *cats, *weights]
+    drawn: list = []
+
+    def literal(r) -> Column:
+        return F.struct(*[F.lit(r[f]).alias(f) for f in fields])
+
+    def distance(c: Column) -> Column:
+        out = F.lit(0.0)
+        for x in numbers:
+            out = out + (F.col(x) - c[x]) * (F.col(x) - c[x])
+        for v, w in zip(cats, weights):
+            out = out + F.when(F.col(v) == c[v], 0.0).otherwise(F.col(w) * F.col(w) + c[w] * c[w])
+        return out
+
+    for turn in range(k):
+        apart = F.array_min(F.transform(F.array(*map(literal, drawn)), distance)) if drawn else F.lit(1.0)
+        place = F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(f"{seed}-{turn}")))
+        u = (F.conv(F.substring(place, 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+        draw = F.struct((-F.log(u) / F.col("_apart")).alias("draw"), F.col(key), *[F.col(c) for c in dict.fromkeys([*space.numeric, *fields])])
+        found = rows.withColumn("_apart", apart).where("_apart > 0").agg(F.min(draw).alias("r")).first()["r"]
+        if found is None:
+            break
+        drawn.append(found)
+    kinds = {f.name: f.dataType.simpleString() for f in weighted.schema.fields}
+    names = [*space.numeric, *cats]
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", _cluster int, _d double"
+    return weighted.sparkSession.createDataFrame([(*[r[c] for c in names], j, 0.0) for j, r in enumerate(drawn)], schema)
+
+
 def table_kmeans(
     space: FeatureSpace, rows: DataFrame, start: DataFrame, k: int, max_iter: int, tol: float, stage: Stage
 ) -> TableCentres:
-    """Rounds of label and count from a labelled start, until the cost falls by less than ``tol``. Sizes
-    and cost of what is returned are those of the labels that it gives."""
+    """Rounds of label and count from a labelled start, until no centre moves by more than ``tol``. Sizes
+    and cost of what is returned are those of the labels that it gives, ``rounds`` their number and
+    ``converged`` whether the rule stopped them."""
     centres = TableCentres(space, k, stage(count_labels(space, start), "centres"))
-    cost = float("inf")
-    for _ in range(max_iter):
+    rounds, converged = 0, False
+    while True:
         moved = TableCentres(space, k, stage(count_labels(space, centres.label(rows)), "centres"))
-        if cost - moved.cost <= tol * moved.cost:
+        rounds += 1
+        converged = moved.moved_from(centres) <= tol * tol
+        if converged or rounds > max_iter:
             break
-        centres, cost = moved, moved.cost
-    else:
-        moved = TableCentres(space, k, stage(count_labels(space, centres.label(rows)), "centres"))
-    centres.sizes, centres.cost = moved.sizes, moved.cost
+        centres = moved
+    centres.sizes, centres.cost, centres.rounds, centres.converged = moved.sizes, moved.cost, rounds, converged
     return centres

@@ -1,0 +1,11 @@
+import pytest
+
+from peerbench.operators import segments
+from test_segments import FEATURES, mixed  # noqa: F401
+
+
+def test_segments_do_not_depend_on_the_width_limit(mixed):  # noqa: F811
+    """A limit on the width of centres chose another start and another stop rule."""
+    fit = lambda **x: segments.kmeans_segments(mixed, *FEATURES, 4, key="row_id", restarts=2, label="s", **x)
+    narrow, wide = ({r["row_id"]: r["s"] for r in fit(max_cells=n).collect()} for n in (10**6, 0))
+    assert narrow == wide and len(narrow) == 1500
