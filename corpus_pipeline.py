@@ -32,9 +32,12 @@ def with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id; of rows with one id, one."""
+    """Of each class of near-duplicates the document with the least id; of rows with one id, the one with the
+    least text, which is the one that is compared, then that with the least other columns."""
     kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    row = F.struct(F.coalesce("text", F.lit("")).alias("_least"), *[F.col(c) for c in COLUMNS[1:]])
+    least = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(row).alias("_row"))
+    return least.select("doc_id", *[F.col(f"_row.{c}").alias(c) for c in COLUMNS[1:]])
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
