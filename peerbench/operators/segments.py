@@ -153,9 +153,10 @@ def elbow(
 
 def micro_clusters(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, key: str, n: int = 100, label: str = "_micro",
-    max_iter: int = 20, stage: Stage = stage_table, **options,
+    max_iter: int = 300, stage: Stage = stage_table, **options,
 ) -> Clusters:
-    """Many small clusters of all complete rows, the leaves of the hierarchy."""
+    """Many small clusters of all complete rows, the leaves of the hierarchy, by the rule that stops K-Means;
+    ``rounds`` and ``converged`` say how that ended."""
     complete = drop_incomplete(df, [*numeric, *categorical])
     space = fit_features(complete, numeric, categorical, stage=stage)
     return fit_clusters(space, complete, n, key=key, restarts=1, max_iter=max_iter, label=label, stage=stage, **options)

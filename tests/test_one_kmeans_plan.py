@@ -9,3 +9,11 @@ def test_segments_do_not_depend_on_the_width_limit(mixed):  # noqa: F811
     fit = lambda **x: segments.kmeans_segments(mixed, *FEATURES, 4, key="row_id", restarts=2, label="s", **x)
     narrow, wide = ({r["row_id"]: r["s"] for r in fit(max_cells=n).collect()} for n in (10**6, 0))
     assert narrow == wide and len(narrow) == 1500
+
+
+def test_micro_clusters_run_to_the_stop_rule(mixed):  # noqa: F811
+    few = segments.micro_clusters(mixed, *FEATURES, key="row_id", n=8, max_iter=1)
+    assert few.rounds == 2 and not few.converged
+    full = segments.micro_clusters(mixed, *FEATURES, key="row_id", n=8)
+    assert full.converged and full.cost <= few.cost
+    assert segments.micro_clusters.__kwdefaults__["max_iter"] == segments.fit_clusters.__kwdefaults__["max_iter"] == 300
