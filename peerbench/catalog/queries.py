@@ -444,11 +444,8 @@ def kmeans_checks(spark, sf_dir):
 
 @query
 def kmeans_segments_tables(spark, sf_dir):
-    """The fit for any number of levels, with the centres kept as tables; one start."""
-    labelled = segments.kmeans_segments(
-        prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", restarts=1, seed=SETTINGS.seed, max_cells=0
-    )
-    return labelled.select("row_id", "KMeans_Cluster")
+    """The fit with the centres kept as tables: the one plan of ``kmeans_segments``, with all its starts."""
+    return _kmeans(spark, sf_dir).select("row_id", "KMeans_Cluster")
 
 
 def _micro(spark, sf_dir):

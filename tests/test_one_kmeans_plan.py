@@ -17,3 +17,19 @@ def test_micro_clusters_run_to_the_stop_rule(mixed):  # noqa: F811
     full = segments.micro_clusters(mixed, *FEATURES, key="row_id", n=8)
     assert full.converged and full.cost <= few.cost
     assert segments.micro_clusters.__kwdefaults__["max_iter"] == segments.fit_clusters.__kwdefaults__["max_iter"] == 300
+
+
+def test_the_tables_query_has_all_starts(monkeypatch):
+    from peerbench.catalog import queries
+
+    seen = []
+
+    class Rows:
+        def select(self, *cols):
+            return cols
+
+    monkeypatch.setattr(queries, "prepared", lambda spark, sf_dir: None)
+    monkeypatch.setattr(queries, "_step", lambda spark, sf_dir, name, fit: fit())
+    monkeypatch.setattr(queries.segments, "kmeans_segments", lambda *a, **options: seen.append(options["restarts"]) or Rows())
+    assert queries.QUERIES["kmeans_segments_tables"](None, "") == ("row_id", "KMeans_Cluster")
+    assert seen == [queries.SETTINGS.restarts] == [10]
