@@ -13,6 +13,7 @@ from peerbench.llm.multi_index import nearest
 from peerbench.llm.nb_svm import quality_scores
 from peerbench.llm.order_minhash import near_duplicates
 from peerbench.llm.packing import pack, token_pieces
+from peerbench.llm.phrases import collocations
 from peerbench.llm.pii import digest, personal_data
 from peerbench.llm.sentence_pieces import encode_documents
 from peerbench.llm.substring_dedup import substring_dedup
@@ -94,6 +95,10 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentence_pieces": op1_sentence_pieces,
     "op2_substring_dedup": op2_substring_dedup,
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_bands": op8_compression_bands,
     "op9_token_rollups": op9_token_rollups,
     "op10_nb_svm": op10_nb_svm,
+    "op13_phrases": op13_phrases,
 }
 
 #: SQL of the queries that it can express; the others are compared with plain versions in the tests.
@@ -126,4 +132,21 @@ ORACLES: dict[str, str] = {
                CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM f""",
+    "op13_phrases": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+             w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+             places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+             f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS a FROM places, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(ws) GROUP BY ALL HAVING count(*) >= 100),
+             n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+             c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE m > 1),
+             spans AS (SELECT lang, a, p, m, unnest(range(1, m)) AS i FROM c WHERE m > 2),
+             parts AS (SELECT lang, a, array_to_string(p[i:i + k - 1], ' ') AS phrase FROM spans, (SELECT unnest(range(2, 5)) AS k) WHERE k < m AND i + k - 1 <= m),
+             held AS (SELECT lang, phrase, max(a) AS held FROM parts GROUP BY ALL),
+             free AS (SELECT c.* FROM c LEFT JOIN held USING (lang, phrase) WHERE held IS NULL OR 100 * held < 100 * a),
+             cuts AS (SELECT lang, phrase, a, k, array_to_string(p[1:k], ' ') AS head, array_to_string(p[k + 1:m], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM free)),
+             scored AS (SELECT lang, cuts.phrase, cuts.a, k, l.a AS l, r.a AS r, n, ((1000::HUGEINT * cuts.a * n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+                        FROM cuts JOIN n USING (lang) JOIN f l USING (lang) JOIN f r USING (lang) WHERE l.phrase = head AND r.phrase = tail),
+             best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
