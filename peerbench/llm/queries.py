@@ -21,6 +21,7 @@ from peerbench.llm.tables import read_table, settle
 from peerbench.llm.token_rollups import TokenRollups, deleted, inserted, revised
 from peerbench.llm.tokens import count_tokens
 from peerbench.llm.warc import page_records, read_warc, write_warc
+from peerbench.llm.whitening import whiten
 from peerbench.staging import shared_folder
 
 
@@ -95,6 +96,11 @@ def op10_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(read_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_compression_bands": op8_compression_bands,
     "op9_token_rollups": op9_token_rollups,
     "op10_nb_svm": op10_nb_svm,
+    "op11_whitening": op11_whitening,
     "op13_phrases": op13_phrases,
 }
 
