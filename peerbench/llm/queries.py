@@ -20,6 +20,7 @@ from peerbench.llm.substring_dedup import substring_dedup
 from peerbench.llm.tables import read_table, settle
 from peerbench.llm.token_rollups import TokenRollups, deleted, inserted, revised
 from peerbench.llm.tokens import count_tokens
+from peerbench.llm.toxicity import toxicity_scores
 from peerbench.llm.warc import page_records, read_warc, write_warc
 from peerbench.llm.whitening import whiten
 from peerbench.staging import shared_folder
@@ -101,6 +102,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read_table(spark, sf_dir, "documents"))
 
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_rollups": op9_token_rollups,
     "op10_nb_svm": op10_nb_svm,
     "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_phrases": op13_phrases,
 }
 
