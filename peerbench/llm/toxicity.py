@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +90,18 @@ def stems(letters: str) -> Iterator[str]:
         yield letters[:n]
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; ``new`` are those since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
 class Reader:
     """Features of texts with one lexicon; what is known of a word is kept, up to ``MOST`` words."""
 
@@ -99,15 +112,20 @@ class Reader:
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.facts: list[tuple] = []
+        self.number = Numbers()
         self.table = np.zeros((0, 9))
 
+    def _strength(self, letters: str) -> float:
+        get = self.lexicon.get
+        return max(map(get, stems(letters), repeat(0.0)), default=0.0)
+
     def _look(self, word: str) -> tuple:
+        core = word.rstrip(".,")
+        if core.islower() and core.isalpha() and not DRAWN.search(core):
+            return self._strength(core), core in SECOND, len(core), 0, False, 0, 0, 0, 0
         plain, undone = letters_of(word)
-        get = self.lexicon.get
-        strength = max((get(s, 0.0) for s in stems(plain)), default=0.0)
-        hidden = max((get(s, 0.0) for s in stems(undone)), default=0.0) if undone != plain else 0.0
+        strength = self._strength(plain)
+        hidden = self._strength(undone) if undone != plain else 0.0
         upper = sum(map(str.isupper, word))
         core = word.strip(".,;:!?\"'()[]{}")
         mixed = bool(plain) and (not core.replace("-", "").replace("'", "").replace("’", "").isalpha() or bool(DRAWN.search(core)))
@@ -125,16 +143,15 @@ class Reader:
             return out
         if len(self.number) > self.MOST:
             self._clear()
-        known = len(self.number)
-        number = self.number
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-        if len(number) > known:
-            self.facts += map(self._look, list(number)[known:])
+        known, number = len(self.number), self.number
+        ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
+        if number.new:
             if len(number) > len(self.table):
                 table = np.zeros((2 * len(number), 9))
                 table[:known] = self.table[:known]
                 self.table = table
-            self.table[known : len(number)] = self.facts[known:]
+            self.table[known : len(number)] = [self._look(w) for w in number.new]
+            number.new.clear()
         at = self.table[ids]
         strength, second = at[:, 0], at[:, 1] > 0
         p = self.params
