@@ -167,6 +167,72 @@ def _density(log: bool) -> str:
         FROM points, counted GROUP BY point, x, n, h"""
 
 
+def _kmeans(k: int, rounds: int) -> str:
+    """CTEs of rounds of K-Means over pay, experience, company and job from the labels experience % k."""
+    parts = [
+        f"""pts AS (SELECT row_id, {EXP} % {k} AS label, CAST(ctc AS DOUBLE) / (SELECT stddev_pop(CAST(ctc AS DOUBLE)) FROM prepared) AS x0,
+                       CAST({EXP} AS DOUBLE) / (SELECT stddev_pop(CAST({EXP} AS DOUBLE)) FROM prepared) AS x1, {CO} AS co, {JOB} AS job FROM prepared)""",
+        *(
+            f"""w{c} AS (SELECT {c}, CASE WHEN p < 1 THEN 1 / (p * (1 - p)) ELSE 1 END AS w2
+                         FROM (SELECT {c}, count(*)::DOUBLE / (SELECT count(*) FROM pts) AS p FROM pts GROUP BY {c}))"""
+            for c in ("co", "job")
+        ),
+        "l0 AS (SELECT *, 0.0::DOUBLE AS d FROM pts)",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"c{r} AS (SELECT label, count(*)::DOUBLE AS n, avg(x0) AS m0, avg(x1) AS m1 FROM l{r} GROUP BY label)",
+            *(
+                f"""{c}{r} AS (SELECT label, {c}, w2 * count(*) / any_value(n) AS g, w2 * (count(*) / any_value(n)) ** 2 AS s
+                               FROM l{r} JOIN w{c} USING ({c}) JOIN c{r} USING (label) GROUP BY label, {c}, w2)"""
+                for c in ("co", "job")
+            ),
+            f"""n{r} AS (SELECT label, m0, m1, m0 * m0 + m1 * m1 + (SELECT sum(s) FROM co{r} a WHERE a.label = c{r}.label)
+                                + (SELECT sum(s) FROM job{r} b WHERE b.label = c{r}.label) AS norm FROM c{r})""",
+            f"""l{r + 1} AS (SELECT row_id, n{r}.label, x0, x1, pts.co, pts.job,
+                                x0 * x0 + x1 * x1 + wco.w2 + wjob.w2 + norm - 2 * (x0 * m0 + x1 * m1 + coalesce(co{r}.g, 0) + coalesce(job{r}.g, 0)) AS d
+                         FROM pts CROSS JOIN n{r} JOIN wco USING (co) JOIN wjob USING (job)
+                              LEFT JOIN co{r} ON co{r}.label = n{r}.label AND co{r}.co = pts.co LEFT JOIN job{r} ON job{r}.label = n{r}.label AND job{r}.job = pts.job
+                         QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d, n{r}.label) = 1)""",
+        ]
+    return ", ".join(parts)
+
+
+def _kmeans_rounds() -> str:
+    k = SETTINGS.segments
+    return f"""SELECT * FROM (WITH {_kmeans(k, 3)},
+        place AS (SELECT label, row_number() OVER (ORDER BY size DESC, m0) - 1 AS place
+                  FROM (SELECT label, count(*) AS size FROM l3 GROUP BY label) JOIN n2 USING (label))
+        SELECT row_id, CAST(place AS INTEGER) AS "KMeans_Cluster" FROM l3 JOIN place USING (label))"""
+
+
+def _elbow_rounds() -> str:
+    one = lambda k: f"SELECT {k} AS k, (WITH {_kmeans(k, 3)} SELECT sum(d) FROM l3) AS cost"
+    return f"SELECT k, {_rounded('cost', 2)} AS cost FROM ({' UNION ALL '.join(one(k) for k in (2, 3, 4, 7))})"
+
+
+# Ward's tree over one centre per job: a cluster is its size, its sums of pay and experience, and the sum over
+# its jobs of weight^2 size^2, as clusters share no job.
+TREE = f"""
+    RECURSIVE leaf AS (
+        SELECT {JOB} AS job, count(*)::DOUBLE AS n, sum(CAST(ctc AS DOUBLE)) / (SELECT stddev_pop(CAST(ctc AS DOUBLE)) FROM prepared) AS s0,
+               sum(CAST({EXP} AS DOUBLE)) / (SELECT stddev_pop(CAST({EXP} AS DOUBLE)) FROM prepared) AS s1,
+               n / ((SELECT count(*) FROM prepared) - n) * (SELECT count(*) FROM prepared)::DOUBLE ** 2 AS h
+        FROM prepared GROUP BY {JOB}),
+    named AS (SELECT *, row_number() OVER (ORDER BY n DESC, s0 / n) - 1 AS id FROM leaf),
+    tree AS (
+        SELECT -1 AS step, id, n, s0, s1, h, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::DOUBLE AS cost FROM named
+        UNION ALL
+        (WITH pair AS (
+             SELECT p.id AS i, q.id AS j, p.n * q.n / (p.n + q.n) * 2 * ((p.s0 / p.n - q.s0 / q.n) ** 2 + (p.s1 / p.n - q.s1 / q.n) ** 2
+                      + p.h / p.n ** 2 + q.h / q.n ** 2) AS c
+             FROM tree p JOIN tree q ON p.id < q.id ORDER BY c LIMIT 1)
+         SELECT step + 1, id, n, s0, s1, h, NULL, NULL, NULL FROM tree, pair WHERE id NOT IN (i, j)
+         UNION ALL
+         SELECT any_value(step) + 1, any_value((SELECT count(*) FROM named) + step + 1), sum(n), sum(s0), sum(s1), sum(h), any_value(i), any_value(j), any_value(c)
+         FROM tree, pair WHERE id IN (i, j) HAVING count(*) = 2))"""
+
+
 def _feature_columns() -> str:
     numeric = " UNION ALL ".join(
         f"""SELECT '{c.strip(chr(34))}' AS "column", '' AS level, count_if(v <> 0) AS nonzeros, avg(v) / stddev_pop(v) AS mean, 1.0 AS std
@@ -362,6 +428,24 @@ ORACLES: dict[str, str] = {
             FROM (SELECT * FROM prepared ORDER BY {_shuffled}, row_id LIMIT {SETTINGS.scatter_cap}) WHERE ctc > 0""",
     ),
     "feature_columns": _sql("prepared", _feature_columns()),
+    "kmeans_rounds": _sql("prepared", _kmeans_rounds()),
+    "kmeans_segments_tables": _sql("prepared", _kmeans_rounds()),
+    "elbow_rounds": _sql("prepared", _elbow_rounds()),
+    "merge_tree_jobs": _sql(
+        "prepared",
+        f"""SELECT * FROM (WITH {TREE} SELECT step, CAST(least(a, b) AS INTEGER) AS "left", CAST(greatest(a, b) AS INTEGER) AS "right",
+                   {_rounded('sqrt(greatest(cost, 0))', 6)} AS height, CAST(n AS BIGINT) AS size FROM tree WHERE a IS NOT NULL)""",
+    ),
+    "hierarchical_jobs": _sql(
+        "prepared",
+        f"""SELECT * FROM (WITH {TREE},
+                 made AS (SELECT step, id, a, b FROM tree WHERE a IS NOT NULL),
+                 cut AS (SELECT id, n FROM tree WHERE step = (SELECT count(*) FROM named) - 1 - {SETTINGS.segments}),
+                 down AS (SELECT id AS top, id, n FROM cut UNION ALL SELECT top, unnest([a, b]), down.n FROM down JOIN made ON made.id = down.id),
+                 place AS (SELECT id AS top, row_number() OVER (ORDER BY n DESC, id) - 1 AS place FROM cut)
+            SELECT row_id, CAST(place AS INTEGER) AS "Hierarchical_Cluster"
+            FROM prepared JOIN named ON named.job = prepared.{JOB} JOIN down ON down.id = named.id JOIN place USING (top))""",
+    ),
     "kmeans_checks": _sql(
         "prepared",
         f"""SELECT count(*) AS n_rows, {SETTINGS.segments} AS n_segments, 0 AS n_outside, true AS at_nearest_centre FROM prepared""",

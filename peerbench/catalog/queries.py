@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from peerbench.catalog.binding import SETTINGS, people_view
 from peerbench.config import COMPANY, EXPERIENCE, JOB, PEER_FLAGS, PEER_LEVELS
 from peerbench.functions import clamp, clean_text, to_number, years_since
-from peerbench.operators import distribution, peers, profile, rank, segments, tables
+from peerbench.operators import distribution, kmeans, peers, profile, rank, segments, tables
 from peerbench.operators.features import feature_stats, fit_features
 from peerbench.operators.impute import impute_median, impute_nearest
 from peerbench.operators.quantiles import exact_quantiles
-from peerbench.operators.wide_segments import TableCentres, count_labels
 from peerbench.plans import people
 from peerbench.sources import add_row_id, drop_index, infer_types, null_tokens, read_people, round_floats, spread, write_people
 from peerbench.staging import shared_folder, stage
@@ -428,24 +427,50 @@ def kmeans_segments(spark, sf_dir):
 
 @query
 def kmeans_checks(spark, sf_dir):
-    """The fit looked at anew: centres are rebuilt from the labels as tables and rows labelled again."""
-    rows = _kmeans(spark, sf_dir).select(*FEATURES[0], *FEATURES[1], F.col("KMeans_Cluster").alias("_cluster"))
-    space = fit_features(rows, *FEATURES, stage=stage)
-    counted = stage(count_labels(space, rows.withColumn("_d", F.lit(0.0))), "centres")
-    again = TableCentres(space, SETTINGS.segments, counted).label(rows.withColumnRenamed("_cluster", "label"))
-    moved = F.count_if(F.col("label") != F.col("_cluster"))
+    """The fit looked at anew: centres are rebuilt from the labels. They lie within ``tol`` of those that gave the
+    labels, so a row's own centre is farther than the nearest by no more than that lets it be."""
+    rows = _kmeans(spark, sf_dir)
+    space = fit_features(rows, *FEATURES)
+    points = kmeans.lay_out(space, rows, "row_id", labels=[F.col("KMeans_Cluster")])
+    again = kmeans.gaps(points, kmeans.from_labels(points, [SETTINGS.segments]))
+    tol = 1e-4
+    near = F.col("own") - F.col("least") <= 4 * tol * F.sqrt("own") + 4 * tol * tol
     return again.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("label").cast("int").alias("n_segments"),
         F.count_if(~F.col("label").between(0, SETTINGS.segments - 1)).alias("n_outside"),
-        (moved * 1000 <= F.count(F.lit(1))).alias("at_nearest_centre"),
+        (F.count_if(~near) == 0).alias("at_nearest_centre"),
     )
 
 
+def _given_start(k: int):
+    return F.col(EXPERIENCE) % k
+
+
+def _kmeans_rounds(spark, sf_dir, **options):
+    """Three rounds from given labels."""
+    found = segments.kmeans_segments(
+        prepared(spark, sf_dir), *FEATURES, SETTINGS.segments, key="row_id", max_iter=3, start=_given_start(SETTINGS.segments), **options
+    )
+    return found.select("row_id", "KMeans_Cluster")
+
+
+@query
+def kmeans_rounds(spark, sf_dir):
+    return _kmeans_rounds(spark, sf_dir)
+
+
 @query
 def kmeans_segments_tables(spark, sf_dir):
-    """The fit with the centres kept as tables: the one plan of ``kmeans_segments``, with all its starts."""
-    return _kmeans(spark, sf_dir).select("row_id", "KMeans_Cluster")
+    """The same rounds with the centres kept as tables."""
+    return _kmeans_rounds(spark, sf_dir, max_cells=0)
+
+
+@query
+def elbow_rounds(spark, sf_dir):
+    """The cost sweep after three rounds from given labels."""
+    sweep = segments.elbow(prepared(spark, sf_dir), *FEATURES, [2, 3, 4, 7], key="row_id", max_iter=3, start=_given_start)
+    return round_floats(sweep, 2)
 
 
 def _micro(spark, sf_dir):
@@ -493,6 +518,26 @@ def merge_tree_checks(spark, sf_dir):
     return tree.agg(rises.alias("heights_rise"), F.max("size").alias("n_rows"))
 
 
+def _job_leaves(spark, sf_dir):
+    """One leaf for each job, by pay, experience and job."""
+    return segments.group_leaves(prepared(spark, sf_dir), FEATURES[0], [JOB], key="row_id", by=JOB)
+
+
+@query
+def merge_tree_jobs(spark, sf_dir):
+    """The whole Ward tree over one centre per job."""
+    return round_floats(segments.merge_tree(spark, _job_leaves(spark, sf_dir), last=None), 6)
+
+
+@query
+def hierarchical_jobs(spark, sf_dir):
+    """All rows with the label of the tree over jobs, cut into five."""
+    found = segments.hierarchical_segments(
+        prepared(spark, sf_dir), FEATURES[0], [JOB], SETTINGS.segments, key="row_id", micro=_job_leaves(spark, sf_dir)
+    )
+    return found.select("row_id", "Hierarchical_Cluster")
+
+
 def _assigned(spark, sf_dir):
     """Rows with the number of the nearest given centroid; unknown companies stay unassigned."""
     rows = prepared(spark, sf_dir)

@@ -146,10 +146,10 @@ def segment(enriched: DataFrame, settings: Settings, stage: Stage = stage_table)
     sweep = segments.elbow(
         enriched, *features, settings.sweep, key="row_id", sample_size=settings.sample_size, restarts=settings.restarts, seed=settings.seed, stage=stage
     )
-    labelled = segments.kmeans_segments(
+    found = segments.kmeans_clusters(
         enriched, *features, settings.segments, key="row_id", restarts=settings.restarts, seed=settings.seed, stage=stage
     )
-    labelled = stage(labelled, "labelled")
+    labelled = stage(found.labelled, "labelled")
     micro = segments.micro_clusters(labelled, *features, key="row_id", n=settings.micro_clusters, seed=settings.seed, stage=stage)
     both = stage(
         segments.hierarchical_segments(labelled, *features, settings.segments, key="row_id", micro=micro), "segmented"
@@ -158,6 +158,7 @@ def segment(enriched: DataFrame, settings: Settings, stage: Stage = stage_table)
     profiles = segments.segment_profile(both, "KMeans_Cluster", *features)
     # how many rows have each label, those without one (-1) too
     profiles |= {f"labels_{label}": segments.cluster_sizes(both, label) for label in ("KMeans_Cluster", "Hierarchical_Cluster")}
+    profiles |= {"fit": segments.fit_facts(enriched.sparkSession, found)}
     return Segmented(both, sweep, tree, profiles)
 
 

@@ -34,7 +34,29 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Unlike ``persist`` the copy survives lost executors, is columnar (later readers prune and
     push down), and its true size is known to the optimizer when it picks join strategies.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return _written(df, f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """A folder for the tables of one iteration, which lets those go that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(f"{self.folder}/{len(self.paths)}-{name}")
+        return _written(df, self.paths[-1])
+
+    def keep_last(self, n: int) -> None:
+        """Delete all but the last ``n`` tables; the caller reads no older one."""
+        old, self.paths[:-n] = self.paths[:-n], [""] * len(self.paths[:-n])
+        for path in filter(None, old):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,11 +2,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from peerbench.operators import segments
+from peerbench.operators import kmeans, segments
 from peerbench.operators.features import feature_stats, fit_features
+from peerbench.operators.kmeans import MAX_CELLS
 from peerbench.operators.merge_tree import cut_tree, ward_merges
-from peerbench.operators.wide_segments import TableCentres, count_labels
-from peerbench.staging import stage
+from peerbench.staging import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +50,27 @@ def test_columns_have_unit_deviation_and_constants_stay(spark, mixed):
     assert same["mean"] == pytest.approx(1.0) and same["nonzeros"] == 1500
 
 
-@pytest.mark.parametrize("max_cells", [10**6, 0])
+BOTH_WAYS = pytest.mark.parametrize("max_cells", [MAX_CELLS, 0])
+
+
+def test_levels_are_numbered_densely_in_order(spark, mixed):
+    space = fit_features(mixed, *FEATURES)
+    levels = sorted((r["column"], r["value"], r["level"]) for r in space.levels.collect())
+    assert [n for *_, n in levels] == list(range(space.n_levels))
+    assert fit_features(mixed.where("co = 'none'"), *FEATURES).n_levels == 0
+
+
+def test_vectors_equal_the_ones_of_plain_encoding(mixed):
+    space = fit_features(mixed, *FEATURES)
+    rows = [r.asDict() for r in space.vectors(mixed).collect()]
+    levels = [(c, v) for c in ("co", "job") for v in sorted({r[c] for r in rows})]
+    hot = np.array([[float(r[c] == v) for c, v in levels] for r in rows])
+    plain = np.c_[[[r["pay"], r["years"]] for r in rows], hot]
+    plain = plain / np.r_[plain.std(axis=0)]
+    assert np.allclose([r["features"].toArray() for r in rows], plain)
+
+
+@BOTH_WAYS
 def test_two_groups(rows, max_cells):
     labelled = segments.kmeans_segments(rows, *FEATURES, 2, key="row_id", restarts=2, label="s", max_cells=max_cells)
     got = {r["row_id"]: r["s"] for r in labelled.collect()}
@@ -59,47 +79,95 @@ def test_two_groups(rows, max_cells):
     assert set(got.values()) == {0, 1}
 
 
+def matrix(space, labelled, label):
+    data = space.vectors(labelled).collect()
+    return np.array([r["features"].toArray() for r in data]), np.array([r[label] for r in data])
+
+
+@BOTH_WAYS
+def test_fit_agrees_with_brute_force(mixed, max_cells):
+    space = fit_features(mixed, *FEATURES)
+    found = segments.fit_clusters(space, mixed, 4, key="row_id", restarts=3, seed=1, label="s", tol=0.0, max_cells=max_cells)
+    assert found.converged and sum(found.sizes) == 1500 and found.sizes == sorted(found.sizes, reverse=True)
+    x, labels = matrix(space, found.labelled, "s")
+    centres = np.array([x[labels == j].mean(axis=0) for j in range(4)])
+    distance = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert (distance.argmin(axis=1) == labels).all()
+    assert found.cost == pytest.approx(distance.min(axis=1).sum())
+    assert np.bincount(labels, minlength=4).tolist() == found.sizes
+    assert found.squared_distances == pytest.approx(((centres[:, None, :] - centres[None]) ** 2).sum(axis=2), abs=1e-8)
+
+
+def test_both_ways_of_holding_centres_give_the_same(mixed):
+    space = fit_features(mixed, *FEATURES)
+    few, many = (segments.fit_clusters(space, mixed, 5, key="row_id", restarts=2, label="s", max_cells=n) for n in (MAX_CELLS, 0))
+    assert few.sizes == many.sizes and few.rounds == many.rounds and few.cost == pytest.approx(many.cost)
+    labels = [{r["row_id"]: r["s"] for r in x.labelled.collect()} for x in (few, many)]
+    assert labels[0] == labels[1] and len(labels[0]) == 1500
+
+
+def test_passes_depend_neither_on_k_nor_on_starts(mixed):
+    """One pass a round beside the five of the start, for all starts together."""
+    space = fit_features(mixed, *FEATURES)
+    seen = {(k, n): segments.fit_clusters(space, mixed, k, key="row_id", restarts=n, max_iter=1, tol=0.0) for k, n in ((3, 1), (9, 1), (9, 4))}
+    assert {f.passes for f in seen.values()} == {kmeans.DRAW_PASSES + 1 + 1}
+    assert all(not f.converged and f.rounds == 1 for f in seen.values())
+
+
+@BOTH_WAYS
+def test_rounds_from_given_labels(mixed, max_cells):
+    space = fit_features(mixed, *FEATURES)
+    given = F.col("years") % 3
+    found = segments.fit_clusters(space, mixed, 3, key="row_id", max_iter=1, start=given, label="s", max_cells=max_cells)
+    x, labels = matrix(space, found.labelled.withColumn("start", given), "s")
+    start = np.array([r["start"] for r in space.vectors(found.labelled.withColumn("start", given)).collect()])
+    centres = np.array([x[start == j].mean(axis=0) for j in range(3)])
+    nearest = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+    names = {j: {int(v) for v in labels[nearest == j]} for j in range(3)}
+    assert sorted(map(list, names.values())) == [[0], [1], [2]]
+
+
+@BOTH_WAYS
+def test_gaps_to_own_and_nearest_centre(mixed, max_cells):
+    space = fit_features(mixed, *FEATURES)
+    points = kmeans.lay_out(space, mixed, "row_id", max_cells=max_cells, labels=[F.col("years") % 4])
+    got = kmeans.gaps(points, kmeans.from_labels(points, [4])).collect()
+    x, start = matrix(space, mixed.withColumn("start", F.col("years") % 4), "start")
+    centres = np.array([x[start == j].mean(axis=0) for j in range(4)])
+    d = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert sorted(r["own"] for r in got) == pytest.approx(sorted(d[np.arange(len(d)), start]))
+    assert sorted(r["least"] for r in got) == pytest.approx(sorted(d.min(axis=1)))
+
+
+def test_drawn_rows_are_different_and_spread(mixed):
+    space = fit_features(mixed, *FEATURES)
+    points = kmeans.lay_out(space, mixed, "row_id")
+    drawn = kmeans.drawn_rows(points, [1, 2], 5)
+    assert all(5 <= len(b.x) <= 5 * kmeans.DRAW_PASSES for b in drawn) and drawn[0].h.tolist() != drawn[1].h.tolist()
+    assert all(len(set(map(tuple, np.c_[b.x, b.i].tolist()))) == len(b.x) for b in drawn)
+    again = kmeans.drawn_rows(kmeans.lay_out(space, mixed.repartition(7), "row_id"), [1, 2], 5)
+    assert [b.h.tolist() for b in again] == [b.h.tolist() for b in drawn]
+
+
+def test_tables_that_nothing_reads_go(mixed, tmp_path):
+    scratch = Scratch(mixed.sparkSession, "test")
+    kept = [scratch.stage(mixed, f"t{i}") for i in range(4)]
+    scratch.keep_last(2)
+    assert [p == "" for p in scratch.paths] == [True, True, False, False] and kept[-1].count() == 1500
+    with pytest.raises(Exception):
+        mixed.sparkSession.read.parquet(f"{scratch.folder}/0-t0").count()
+
+
 def test_no_complete_rows(rows):
     gaps = rows.where("row_id = 'gap'")
     assert segments.kmeans_segments(gaps, *FEATURES, 2, key="row_id", label="s").first()["s"] == -1
     assert segments.hierarchical_segments(gaps, *FEATURES, 2, key="row_id", label="s").first()["s"] == -1
 
 
-def test_vector_and_table_centres_agree(mixed):
-    """Every row is nearest to its own centre, and both representations give the same geometry."""
-    space = fit_features(mixed, *FEATURES, stage=stage)
-    found = segments.fit_clusters(space, mixed, 4, key="row_id", restarts=3, seed=1, label="s")
-    assert sum(found.sizes) == 1500 and found.sizes == sorted(found.sizes, reverse=True)
-    labelled = found.labelled.withColumnRenamed("s", "_cluster").withColumn("_d", F.lit(0.0))
-    centres = TableCentres(space, 4, stage(count_labels(space, labelled), "centres"))
-    assert centres.sizes.tolist() == found.sizes
-    assert centres.squared_distances() == pytest.approx(found.squared_distances, abs=1e-6)
-    again = centres.label(labelled.withColumnRenamed("_cluster", "old").drop("_d"))
-    moved, cost = again.agg(F.count_if(F.col("old") != F.col("_cluster")), F.sum("_d")).first()
-    assert moved == 0 and cost == pytest.approx(found.cost, rel=1e-6)
-
-
-def test_table_rounds_agree_with_brute_force(mixed):
-    space = fit_features(mixed, *FEATURES, stage=stage)
-    found = segments.fit_clusters(space, mixed, 3, key="row_id", restarts=1, max_iter=50, tol=0.0, sample_size=200, max_cells=0, label="s")
-    data = space.vectors(found.labelled).collect()
-    x = np.array([r["features"].toArray() for r in data])
-    labels = np.array([r["s"] for r in data])
-    centres = np.array([x[labels == j].mean(axis=0) for j in range(3)])
-    distance = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-    assert (distance.argmin(axis=1) != labels).mean() < 0.01
-    assert found.cost == pytest.approx(distance.min(axis=1).sum(), rel=1e-3)
-    assert np.bincount(labels, minlength=3).tolist() == found.sizes
-    squared = ((centres[:, None, :] - centres[None]) ** 2).sum(axis=2)
-    assert found.squared_distances == pytest.approx(squared, rel=1e-2)
-
-
 def test_more_starts_never_cost_more(mixed):
     space = fit_features(mixed, *FEATURES)
-    vectors = space.vectors(mixed).select("features").cache()
-    best = segments._best_fits(vectors, [4], 4, 7, 50, 1e-4, 2)[4].summary.trainingCost
-    singles = [segments._best_fits(vectors, [4], 1, 7 + r, 50, 1e-4, 1)[4].summary.trainingCost for r in range(4)]
-    assert best == pytest.approx(min(singles), rel=1e-6)
+    cost = lambda seed, n: segments.fit_clusters(space, mixed, 4, key="row_id", restarts=n, seed=seed).cost
+    assert cost(7, 4) == pytest.approx(min(cost(7 + r, 1) for r in range(4)))
 
 
 def test_elbow_skips_k_beyond_rows(spark):
@@ -122,8 +190,9 @@ def test_merges_golden():
     assert cut_tree([1, 1, 2], [first, second], 1) == [0, 0, 0]
 
 
-def test_merges_agree_with_brute_force():
-    rng = np.random.default_rng(9)
+@pytest.mark.parametrize("seed", range(20))
+def test_merges_agree_with_brute_force(seed):
+    rng = np.random.default_rng(seed)
     points, sizes = rng.normal(size=(25, 3)), rng.integers(1, 20, 25).tolist()
     squared = ((points[:, None] - points[None]) ** 2).sum(axis=2)
     merges = ward_merges(sizes, squared)
@@ -140,15 +209,31 @@ def test_merges_agree_with_brute_force():
         alive[25 + m.step] = (n1 + n2, (n1 * c1 + n2 * c2) / (n1 + n2))
 
 
-@pytest.mark.parametrize("max_cells", [10**6, 0])
+@BOTH_WAYS
 def test_hierarchy_over_all_rows(mixed, max_cells):
     micro = segments.micro_clusters(mixed, *FEATURES, key="row_id", n=20, max_cells=max_cells)
+    assert micro.passes == kmeans.DRAW_PASSES + 1 and len(micro.sizes) == 20
     labelled = segments.hierarchical_segments(mixed, *FEATURES, 4, key="row_id", micro=micro, label="h")
     sizes = {r["h"]: r["size"] for r in segments.cluster_sizes(labelled, "h").collect()}
     assert set(sizes) == {0, 1, 2, 3} and sum(sizes.values()) == 1500
     assert sizes[0] == max(sizes.values())
     tree = segments.merge_tree(mixed.sparkSession, micro, last=5).collect()
     assert len(tree) == 5 and tree[-1]["size"] == 1500
+    x, leaf = matrix(fit_features(mixed, *FEATURES), micro.labelled, "_micro")
+    assert np.bincount(leaf).tolist() == micro.sizes
+    centres = np.array([x[leaf == j].mean(axis=0) for j in range(20)])
+    assert micro.cost == pytest.approx(((x - centres[leaf]) ** 2).sum())
+    assert micro.squared_distances == pytest.approx(((centres[:, None, :] - centres[None]) ** 2).sum(axis=2), abs=1e-8)
+
+
+@BOTH_WAYS
+def test_leaves_that_are_groups(mixed, max_cells):
+    leaves = segments.group_leaves(mixed, *FEATURES, key="row_id", by="co", max_cells=max_cells)
+    x, leaf = matrix(fit_features(mixed, *FEATURES), leaves.labelled, "_micro")
+    assert np.bincount(leaf).tolist() == leaves.sizes == sorted(leaves.sizes, reverse=True)
+    assert len({(r["co"], r["_micro"]) for r in leaves.labelled.collect()}) == len(leaves.sizes)
+    centres = np.array([x[leaf == j].mean(axis=0) for j in range(len(leaves.sizes))])
+    assert leaves.squared_distances == pytest.approx(((centres[:, None, :] - centres[None]) ** 2).sum(axis=2), abs=1e-8)
 
 
 def test_assignment_to_given_centroids(spark):
