@@ -8,10 +8,11 @@ below it. Nodes above a prefix of several words get their leaves from several gr
 
 Passes over the text: (1) words are counted; (2) while prefixes of some length are too heavy, the suffixes
 below the next longer ones are counted; (3) suffixes are sent to their groups. A chunk of text sends each
-distinct suffix once with its count, as sorted columns of word numbers beside the words. Words met fewer
-than ``min_count`` times can be in no phrase and end suffixes: tasks look them up in a bitmap of fixed size,
-where a collision only costs a suffix too many. Heavy prefixes are at most ``8 * budget_share`` keys.
-No count depends on a hash: groups compare words.
+distinct suffix once with its count, as sorted columns of word numbers. What tasks have to know of the whole
+corpus has a fixed size: the ``named`` most frequent words, which have one number everywhere (others go along
+with their suffixes as text); a bitmap of words met ``min_count`` times, as rarer words are in no phrase and end
+suffixes; and a bitmap of heavy prefixes for each length. A collision in a bitmap costs a suffix or a split too
+many. No count depends on a hash: groups compare words.
 
 Definitions: A-Z become lower case; ``[.,;:!?]`` and line ends part a text into pieces; words are runs of
 characters other than space and tab. ``score`` of a cut after k words is floor(1000 a n / (l r)), exact in
@@ -32,6 +33,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,17 +53,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 @dataclass(frozen=True)
 class Phrases:
-    """``budget``: suffixes that a group of prefixes may hold; ``budget_share``: groups that the heaviest
-    allowed prefixes would take together, if the corpus is so large that prefixes above an eighth of the
-    budget were too many to list."""
+    """``budget``: suffixes that a group of prefixes may hold; a prefix with more than an eighth of it is split,
+    or, in a corpus so large that many slots of the bitmap would be that heavy, one with twice the mean slot's."""
 
     max_words: int = 5
     min_count: int = 100
     top: int = 2000
     budget: int = 1 << 21
-    budget_share: int = 1 << 13
+    slots: int = 1 << 16
     bits: int = 24
-    chunk: int = 8 << 20
+    named: int = 1 << 17
+    chunk: int = 4 << 20
 
 
 @dataclass
@@ -77,7 +79,7 @@ class Tokens:
     def checks(self, names: list[str]) -> np.ndarray:
         """CRC-32 of language, space and word."""
         seed = [zlib.crc32(f"{n} ".encode()) for n in names]
-        return np.array([zlib.crc32(w.encode("utf-8", "surrogatepass"), seed[k]) for w, k in zip(self.word.to_pylist(), self.lang.tolist())], np.int64)
+        return np.array([zlib.crc32(w.encode(), seed[k]) for w, k in zip(self.word.to_pylist(), self.lang.tolist())], np.int64)
 
 
 def _cut(text: np.ndarray, most: int) -> int:
@@ -124,7 +126,7 @@ def tokenise(data: np.ndarray, bounds: np.ndarray, langs: list[str]) -> tuple[To
     start = np.flatnonzero(inside & (np.r_[True, ~inside[:-1]] | edge[:-1]))
     end = np.flatnonzero(inside & (np.r_[~inside[1:], True] | edge[1:])) + 1
     row = np.searchsorted(bounds, start, "right") - 1
-    piece = np.cumsum(part)[start]
+    piece = np.searchsorted(np.flatnonzero(part), start)
     same = (piece[1:] == piece[:-1]) & (row[1:] == row[:-1])
     offsets = np.r_[0, np.cumsum(end - start)].astype(np.int64)
     words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(low[inside]))
@@ -132,7 +134,7 @@ def tokenise(data: np.ndarray, bounds: np.ndarray, langs: list[str]) -> tuple[To
     names, of = np.unique(np.array(langs, object), return_inverse=True)
     width = max(len(coded.dictionary), 1)
     ids, kinds = pd.factorize(of[row] * width + coded.indices.to_numpy().astype(np.int64))
-    return Tokens(ids.astype(np.int64), np.r_[same, False][: len(ids)], kinds // width, coded.dictionary.take(pa.array(kinds % width))), list(names)
+    return Tokens(ids.astype(np.int32), np.r_[same, False][: len(ids)], kinds // width, coded.dictionary.take(pa.array(kinds % width))), list(names)
 
 
 def distinct_suffixes(ids: np.ndarray, same: np.ndarray, keep: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,92 +149,98 @@ def distinct_suffixes(ids: np.ndarray, same: np.ndarray, keep: np.ndarray, most:
     for j in range(2, most):
         before = np.minimum(at + j - 1, len(ids) - 1)
         alive &= on[before]
-        columns.append(np.where(alive, ids[np.minimum(before + 1, len(ids) - 1)], -1))
+        columns.append(np.where(alive, ids[np.minimum(before + 1, len(ids) - 1)], np.int32(-1)))
     wide = np.int64(len(keep) + 1)
-    keys = [columns[0] + 1]
+    keys = [columns[0].astype(np.int64) + 1]
     for c in columns[1:]:
         if int(keys[-1].max(initial=0) + 1) * int(wide) < 2**62:
             keys[-1] = keys[-1] * wide + c + 1
         else:
-            keys.append(c + 1)
+            keys.append(c.astype(np.int64) + 1)
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(at), bool)
     for k in keys:
         new[1:] |= k[order[1:]] != k[order[:-1]]
     new[:1] = True
     first = np.flatnonzero(new)
-    table = np.stack([c[order[first]] for c in columns], axis=1) if len(at) else np.zeros((0, most), np.int64)
+    table = np.stack([c[order[first]] for c in columns], axis=1) if len(at) else np.zeros((0, most), np.int32)
     return table, np.diff(np.r_[first, len(at)])
 
 
 def prefix_keys(table: np.ndarray, checks: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The key of each suffix's prefix and how many words it is to have: one, or more while the shorter one is
-    heavy. A suffix that ends with a heavy prefix keeps its key, and counts as one to be added up later."""
+    heavy. A suffix that ends with a heavy prefix keeps its key, and counts as one to be added up later.
+    ``heavy`` has a row of slots for each number of words."""
+    slots = np.uint64(heavy.shape[1])
     h = mix(checks.astype(np.uint64))
-    key = h[table[:, 0]]
+    key = checks.astype(np.uint64)[table[:, 0]]
     depth = np.ones(len(table), np.int64)
     for j in range(1, table.shape[1]):
-        more = (depth == j) & _among(key, heavy)
+        more = (depth == j) & heavy[j - 1, key % slots]
+        if not more.any():
+            break
         depth[more] = j + 1
         more &= table[:, j] >= 0
         key[more] = mix(key[more] * _STEP + h[table[more, j]])
     return key, depth
 
 
-def _among(key: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(key), bool)
-    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)] == key
-
-
 def _bit(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def pack_groups(tokens: Tokens, names: list[str], table, count, key, depth, groups: int) -> Iterator[tuple]:
-    """(lang, group, words, suffixes, depths, counts) for each group that this chunk has suffixes of."""
-    lang = tokens.lang[table[:, 0]] if len(table) else np.zeros(0, np.int64)
-    where = lang * groups + (key % np.uint64(groups)).astype(np.int64)
+def pack_groups(tokens: Tokens, names: list[str], numbers: np.ndarray, table, count, key, depth, groups: int, named: int) -> Iterator[tuple]:
+    """(lang, group, words, suffixes, depths, counts) for each group that this chunk has suffixes of. A word is
+    written as its number, or as ``named`` and its place among ``words`` if it has none."""
+    if not len(table):
+        return
+    lang = tokens.lang[table[:, 0]]
+    where = lang * groups + (mix(key) % np.uint64(groups)).astype(np.int64)
     order = np.argsort(where, kind="stable")
-    cuts = np.flatnonzero(np.diff(where[order])) + 1
+    table, count, depth, where = table[order], count[order].astype(np.int64), depth[order].astype(np.int8), where[order]
+    coded = np.where(table >= 0, numbers[table], np.int32(-1))
+    cuts = np.r_[0, np.flatnonzero(np.diff(where)) + 1, len(where)]
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    for part in np.split(order, cuts) if len(order) else ():
-        own = table[part]
-        used, coded = np.unique(own, return_inverse=True)
-        coded = coded.reshape(own.shape).astype(np.int32)
-        if used[0] < 0:
-            coded, used = coded - 1, used[1:]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        own = coded[lo:hi].T.copy()
+        other = own == named
+        used, place = np.unique(table[lo:hi].T[other], return_inverse=True)
+        own[other] += place.astype(np.int32)
         words = "\n".join(tokens.word.take(pa.array(used)).to_pylist())
-        yield (
-            names[lang[part[0]]], int(where[part[0]] % groups), words,
-            squeeze(np.ascontiguousarray(coded.T).tobytes()), squeeze(depth[part].astype(np.int8).tobytes()), squeeze(count[part].astype(np.int64).tobytes()),
-        )
+        yield names[lang[order[lo]]], int(where[lo] % groups), words, squeeze(own.tobytes()), squeeze(depth[lo:hi].tobytes()), squeeze(count[lo:hi].tobytes())
 
 
-def subtrees(rows: pa.Table, params: Phrases) -> pa.Table:
-    """The nodes of one group met ``min_count`` times or more, and all those above its prefixes."""
-    number: dict[str, int] = {}
+def subtrees(rows: pa.Table, names: pa.Array, params: Phrases) -> pa.Table:
+    """The nodes of one group met ``min_count`` times or more, and all those above its prefixes. ``names``: the
+    words that have numbers, each after its language."""
+    others: dict[str, int] = {}
     tables, depths, counts = [], [], []
     plain = zstandard.ZstdDecompressor().decompress
     for words, suffixes, depth, count in zip(*(rows[c].to_pylist() for c in ("words", "suffixes", "depths", "counts")), strict=True):
-        of = np.array([number.setdefault(w, len(number)) for w in words.split("\n")] + [-1], np.int64)
-        tables.append(of[np.frombuffer(plain(suffixes), np.int32).reshape(params.max_words, -1).T])
+        table = np.frombuffer(plain(suffixes), np.int32).reshape(params.max_words, -1).T.copy()
+        if words:
+            of = np.array([len(names) + others.setdefault(w, len(others)) for w in words.split("\n")], np.int32)
+            high = table >= len(names)
+            table[high] = of[table[high] - len(names)]
+        tables.append(table)
         depths.append(np.frombuffer(plain(depth), np.int8))
         counts.append(np.frombuffer(plain(count), np.int64))
     table, depth, count = np.concatenate(tables), np.concatenate(depths), np.concatenate(counts)
-    word = list(number)
-    node = table[:, 0]
+    other = list(others)
+    word = lambda w: names[w].as_py().rpartition(" ")[2] if w < len(names) else other[w - len(names)]
+    wide = np.int64(len(names) + len(other) + 1)
+    node = table[:, 0].astype(np.int64)
     out: list[tuple[str, int]] = []
     for m in range(2, params.max_words + 1):
         has = table[:, m - 1] >= 0
         table, depth, count = table[has], depth[has], count[has]
-        _, first, inverse = np.unique(node[has] * np.int64(len(word) + 1) + table[:, m - 1], return_index=True, return_inverse=True)
+        _, first, inverse = np.unique(node[has] * wide + table[:, m - 1], return_index=True, return_inverse=True)
         total = np.zeros(len(first), np.int64)
         np.add.at(total, inverse, count)
         open_ = np.zeros(len(first), bool)
         open_[inverse[depth > m]] = True
         live = open_ | (total >= params.min_count)
-        out += [(" ".join(word[w] for w in table[first[k], :m]), int(total[k])) for k in np.flatnonzero(live)]
+        out += [(" ".join(map(word, table[first[k], :m].tolist())), int(total[k])) for k in np.flatnonzero(live)]
         go = live[inverse]
         table, depth, count, node = table[go], depth[go], count[go], inverse[go]
     return pa.table({"lang": pa.array([rows["lang"][0].as_py()] * len(out), pa.string()), "phrase": pa.array([p for p, _ in out], pa.string()), "n": pa.array([n for _, n in out], pa.int64())})
@@ -255,9 +263,14 @@ def count_words(texts: DataFrame, params: Phrases) -> DataFrame:
     return texts.mapInArrow(run, "lang string, phrase string, n bigint").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
+def _check() -> F.Column:
+    """What :meth:`Tokens.checks` gives."""
+    return F.crc32(F.concat_ws(" ", "lang", "phrase").cast("binary"))
+
+
 def frequent_bitmap(words: DataFrame, params: Phrases) -> np.ndarray:
     """One bit for each checksum slot that a frequent word has; 2^bits bits whatever the corpus."""
-    slot = F.crc32(F.concat_ws(" ", "lang", "phrase").cast("binary")).bitwiseAND((1 << params.bits) - 1) + 1
+    slot = _check().bitwiseAND((1 << params.bits) - 1) + 1
     parts = words.where(F.col("n") >= params.min_count).select(slot.alias("s"))
     parts = parts.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
     out = np.zeros(max(1 << (params.bits - 3), 4096), np.uint8)
@@ -272,8 +285,10 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     texts = _texts(docs, text_col, lang_col)
     words = settle(count_words(texts, params), "words")
     total = words.agg(F.sum("n")).first()[0] or 0
-    limit = max(params.budget // 8, -(-total // (8 * params.budget_share)))
+    limit = max(params.budget // 8, -(-2 * total // params.slots))
     groups = max(1, -(-2 * total // params.budget))
+    top = words.where(F.col("n") >= params.min_count).orderBy(F.desc("n"), "lang", "phrase").limit(params.named).toArrow()
+    named = spark.sparkContext.broadcast(pc.binary_join_element_wise(top["lang"], top["phrase"], " ").combine_chunks())
     bitmap = spark.sparkContext.broadcast(frequent_bitmap(words, params))
     mask = (1 << params.bits) - 1
 
@@ -284,31 +299,40 @@ def count_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
             table, count = distinct_suffixes(tokens.ids, tokens.same, _bit(bitmap.value, checks & mask), params.max_words)
             yield tokens, names, table, count, *prefix_keys(table, checks, heavy.value)
 
-    top = words.where(F.col("n") > limit).select("lang", "phrase").toLocalIterator()
-    found = [mix(np.array([zlib.crc32(f"{lang} {word}".encode())], np.uint64))[0] for lang, word in top]
-    heavy, depth_now = np.sort(np.array(found, np.uint64)), 1
-    while found and depth_now < params.max_words:
-        shared, depth_now = spark.sparkContext.broadcast(heavy), depth_now + 1
-
-        def loads(batches, shared=shared, want=depth_now):
+    slot = F.pmod(_check(), F.lit(params.slots)).alias("slot")
+    over = words.groupBy(slot).agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    heavy = np.zeros((params.max_words, params.slots), bool)
+    for depth_now in range(1, params.max_words + 1):
+        found = [r["slot"] for r in over.select("slot").collect()]
+        heavy[depth_now - 1, found] = True
+        shared = spark.sparkContext.broadcast(heavy.copy())
+        if not found or depth_now == params.max_words:
+            break
+
+        def loads(batches, shared=shared, want=depth_now + 1):
+            held = np.zeros(params.slots, np.int64)
             for _, _, table, _, key, depth in suffixes_of(batches, shared):
-                at, n = np.unique(key[(depth == want) & (table[:, want - 1] >= 0)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+                below = key[(depth == want) & (table[:, want - 1] >= 0)]
+                held += np.bincount((below % np.uint64(params.slots)).astype(np.int64), minlength=params.slots)
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(held[at])], names=["slot", "n"])
 
-        over = texts.mapInArrow(loads, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
-        found = [np.int64(r["key"]).view(np.uint64) for r in over.toLocalIterator()]
-        heavy = np.sort(np.r_[heavy, np.array(found, np.uint64)])
-    shared = spark.sparkContext.broadcast(heavy)
+        over = texts.mapInArrow(loads, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
 
     def pack(batches):
         for tokens, names, table, count, key, depth in suffixes_of(batches, shared):
-            packed = list(pack_groups(tokens, names, table, count, key, depth, groups))
+            full = pc.binary_join_element_wise(pa.array(names, pa.string()).take(pa.array(tokens.lang)), tokens.word.cast(pa.string()), " ")
+            numbers = np.asarray(pc.index_in(full, value_set=named.value).fill_null(len(named.value))).astype(np.int32)
+            packed = list(pack_groups(tokens, names, numbers, table, count, key, depth, groups, len(named.value)))
             kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
             columns = zip(*packed, strict=True) if packed else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names=["lang", "g", "words", "suffixes", "depths", "counts"])
 
+    def build(rows: pa.Table) -> pa.Table:
+        return subtrees(rows, named.value, params)
+
     blocks = texts.mapInArrow(pack, "lang string, g int, words string, suffixes binary, depths binary, counts binary")
-    nodes = blocks.groupBy("lang", "g").applyInArrow(lambda rows: subtrees(rows, params), "lang string, phrase string, n bigint")
+    nodes = blocks.groupBy("lang", "g").applyInArrow(build, "lang string, phrase string, n bigint")
     longer = nodes.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= params.min_count)
     return settle(longer, "phrases").unionByName(words)
 

@@ -45,10 +45,11 @@ def texts(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("budget,chunk", [(1 << 21, 8 << 20), (200, 300), (16, 64)])
-def test_phrases_equal_the_plain_count(spark, budget, chunk):
-    """Small budgets send heavy prefixes, up to all words, to groups of their own; small chunks cut texts."""
-    params = Phrases(min_count=3, top=40, budget=budget, budget_share=1 << 20, chunk=chunk)
+@pytest.mark.parametrize("budget,chunk,named", [(1 << 21, 8 << 20, 1 << 17), (200, 300, 3), (16, 64, 0)])
+def test_phrases_equal_the_plain_count(spark, budget, chunk, named):
+    """Small budgets send heavy prefixes, up to all words, to groups of their own; small chunks cut texts;
+    words without a number go along as text."""
+    params = Phrases(min_count=3, top=40, budget=budget, chunk=chunk, named=named)
     rows = texts(1)
     df = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "text string, lang string, phrase string, n int").repartition(3)
     assert sorted(map(tuple, collocations(df, params=params).collect())) == plain(rows, params)
@@ -56,7 +57,7 @@ def test_phrases_equal_the_plain_count(spark, budget, chunk):
 
 def test_hot_phrase_and_ties(spark):
     rows = [("hot pair " * 50 + f"w{i} hot pair", "en") for i in range(40)] + [(f"p{i % 4} q{i % 4}", "de") for i in range(40)]
-    params = Phrases(min_count=5, top=3, budget=64, budget_share=1 << 20)
+    params = Phrases(min_count=5, top=3, budget=64)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     got = sorted(map(tuple, collocations(df, params=params).collect()))
     assert got == plain(rows, params)
