@@ -54,7 +54,7 @@ class Model:
 def indicators(column: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges with (row, bucket) of each distinct bucket of a document's n-grams, in order."""
     for lo, hi, words in word_blocks(column):
-        h = words.hashes()
+        h = words.checks()
         pair, doc, _ = windows(words, h, 2)
         found = [(words.doc, h), (doc, pair), (words.doc, tails(words))]
         found += [(of, mix(np.full(len(of), n, np.uint64))) for n, of in equal_runs(words, h)]

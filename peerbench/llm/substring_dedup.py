@@ -10,7 +10,7 @@ anchor, the 8 words at such a shift, hashed at covered places only (4 of 13). Th
 
 1. each document sends its anchors' hashes; those met once are dropped (one shuffle, sorted stream);
 2. around anchors met again, the match is extended: every window that holds one is hashed whole, in
-   94 bits; of equal ones all but the earliest are repeats (one shuffle, sorted stream);
+   64 bits and in 30 of another kind of hash; of equal ones all but the earliest are repeats (one shuffle, sorted stream);
 3. repeats go back to their documents.
 
 No step gathers the rows of a hash: the sorted streams look at neighbouring rows only, and repeats
@@ -130,7 +130,7 @@ def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero((np.cumsum(change)[:-1] > 0) & fits)
             hashes = words.hashes()
             h = window_hashes(hashes, at, WINDOW)
-            g = (window_hashes(hashes, at, WINDOW, _SECOND) >> np.uint64(34)).astype(np.int64)
+            g = (window_hashes(words.checks(), at, WINDOW, _SECOND) >> np.uint64(34)).astype(np.int64)
             doc_id, pos = ids[lo:hi][doc[at]], at - words.ptr[doc[at]]
             order = np.lexsort((pos, doc_id, g, h))
             h, g, doc_id, pos = h[order], g[order], doc_id[order], pos[order]

@@ -90,3 +90,21 @@ def near_classes(rows, width=5):
                 if 9 * common_subsequence(grams[x], grams[y]) >= 4 * n:
                     link(x, y)
     return {d: root(d) for d in words}
+
+
+def chunk_verdict(raw, bands, pack):
+    """Full chunks, those outside their band, and whether few enough bytes are in such chunks or in a rest after
+    them that is outside the band of its length; a short rest is judged with the bytes before it."""
+    ratio = lambda part: len(part) / len(pack.compress(part))
+    full = len(raw) // bands.chunk
+    bad = sum(not bands.chunks[0] <= ratio(raw[i * bands.chunk : (i + 1) * bands.chunk]) <= bands.chunks[1] for i in range(full))
+    rest = raw[full * bands.chunk :]
+    outside = bad * bands.chunk
+    if full and rest:
+        if len(rest) > bands.whole[0][0]:
+            low, high = next((lo, hi) for most, lo, hi in bands.whole if len(rest) <= most)
+            fits = low <= ratio(rest) <= high
+        else:
+            fits = bands.chunks[0] <= ratio(raw[-bands.chunk :]) <= bands.chunks[1]
+        outside += 0 if fits else len(rest)
+    return full, bad, outside <= bands.bad_share * len(raw)

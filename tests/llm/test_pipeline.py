@@ -25,9 +25,7 @@ def plain_stages(rows):
         if brute.base_counts(text)[-1]:
             return False
         low, high = next((lo, hi) for most, lo, hi in bands.whole if len(raw) <= most)
-        chunks = [raw[i : i + bands.chunk] for i in range(0, len(raw) - bands.chunk + 1, bands.chunk)]
-        bad = sum(not bands.chunks[0] <= len(c) / len(pack.compress(c)) <= bands.chunks[1] for c in chunks)
-        return low <= len(raw) / len(pack.compress(raw)) <= high and bad <= bands.bad_share * len(chunks)
+        return low <= len(raw) / len(pack.compress(raw)) <= high and brute.chunk_verdict(raw, bands, pack)[2]
 
     rows = [(d, t) for d, t in rows if keeps(t)]
     classes = brute.near_classes(rows)

@@ -35,6 +35,11 @@ def test_null_column():
 
 def test_base_counts_and_verdict(frame, documents):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(100 + d, t) for d, t in documents] + [(None, "null id"), (0, "again")]
+    # the rest after the full chunks decides
+    rng = random.Random(6)
+    prose = " ".join(t for _, t in documents if t and t.isascii())[:6000]
+    noise = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=6000))
+    rows += [(50_000 + n, prose[:4096] + noise[:n]) for n in (50, 150, 900, 2500)] + [(60_000 + n, prose[: 4096 + n]) for n in (50, 1500)]
     got = sorted(map(tuple, compression_bands(frame(rows)).collect()), key=str)
     want = []
     bands = Bands()
@@ -43,11 +48,10 @@ def test_base_counts_and_verdict(frame, documents):
         *counts, failed = brute.base_counts(t)
         raw = (t or "").encode()
         whole = len(raw) / len(pack.compress(raw)) if raw else 1.0
-        chunks = [raw[i : i + bands.chunk] for i in range(0, len(raw) - bands.chunk + 1, bands.chunk)]
-        bad = sum(not bands.chunks[0] <= len(c) / len(pack.compress(c)) <= bands.chunks[1] for c in chunks)
+        chunks, bad, fits = brute.chunk_verdict(raw, bands, pack)
         low, high = next((lo, hi) for most, lo, hi in bands.whole if len(raw) <= most)
-        kept = not failed and low <= whole <= high and bad <= bands.bad_share * len(chunks)
-        want.append((d, *counts, failed, kept, whole, len(chunks), bad))
+        kept = not failed and low <= whole <= high and fits
+        want.append((d, *counts, failed, kept, whole, chunks, bad))
     assert got == sorted(want, key=str)
 
 
