@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerbench.llm.arrays import Words, mix, occurrence, window_hashes, windows, word_blocks
+from peerbench.operators.joins import SHARE, left_join
 from peerbench.llm.tables import components, joined_components, one_row_per_id, settle
 
 SHINGLE = 5
@@ -81,17 +82,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, ptr = shingles(words)
             keys = [sketch(h[a:b]) for a, b in zip(ptr[:-1], ptr[1:], strict=True)]
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
-            whole = [_content(hashes[a:b]) for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
+            checks = words.checks()
+            whole = [_content(hashes[a:b], checks[a:b]) for a, b in zip(words.ptr[:-1], words.ptr[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x[0] for x in whole], pa.int64()), pa.array([x[1] for x in whole], pa.int64()), lists], names=["doc_id", "c1", "c2", "keys"])
 
 
-def _content(h: np.ndarray) -> tuple[int | None, int | None]:
-    """128 bits of a word sequence; null without words."""
+def _content(h: np.ndarray, g: np.ndarray) -> tuple[int | None, int | None]:
+    """128 bits of a word sequence, each half from another kind of hash of its words; null without words."""
     if not len(h):
         return None, None
     at = np.arange(len(h), dtype=np.uint64)
-    return tuple(int((mix(h ^ mix(at + np.uint64(s))).sum(dtype=np.uint64) + np.uint64(len(h))).view(np.int64)) for s in (0, 1 << 40))
+    return tuple(int((mix(x ^ mix(at + np.uint64(s))).sum(dtype=np.uint64) + np.uint64(len(x))).view(np.int64)) for x, s in ((h, 0), (g, 1 << 40)))
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -203,8 +205,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = settle(docs.mapInArrow(_sketches, "doc_id bigint, c1 bigint, c2 bigint, keys array<bigint>"), "sketches")
     # texts without words have no content and stay their own
     same = sketched.where("c1 is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
-    same = same.where("n > 1").drop("n")
-    copies = settle(sketched.select("doc_id", "c1", "c2").join(same, ["c1", "c2"]).select("doc_id", "copy_of"), "copies")
+    same = settle(same.where("n > 1"), "same")
+    often = F.col("n") > sketched.count() * SHARE
+    copies = left_join(sketched.select("doc_id", "c1", "c2"), same.drop("n"), ["c1", "c2"], frequent=same.where(often).select("c1", "c2"))
+    copies = settle(copies.where("copy_of is not null").select("doc_id", "copy_of"), "copies")
     nodes = sketched.select("doc_id", "keys").join(copies.where("doc_id <> copy_of"), "doc_id", "left_anti")
 
     rows = nodes.select("doc_id", F.explode(F.array_distinct("keys")).alias("key"))
