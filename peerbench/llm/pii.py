@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,8 +34,10 @@ from peerbench.llm.tables import carried, uncarried
 
 KINDS = ("email", "ip", "card", "phone")
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3,}")
+PART = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -74,7 +77,12 @@ WORD_COUNTRIES = frozenset("am as at be by do in is it me my no so to us".split(
 PROSE = frozenset(
     "a all also am and apply are arrive arrived available back based be been began but buy check checked click down download end ended even everyone find found go had has have he her here him his hosted i is it "
     "join joined just laugh live lives located look looked looking looks me meet met more not now one online only or out page people photo point posted published read register registered saw see seen she shop shouted "
-    "sign site sold someone start started stay stayed stop stopped that them then there they this up us visit was we website went were work worked working works you".split()
+    "sign site sold someone start started stay stayed stop stopped that them then there they this up us visit was we website went were work worked working works you "
+    "ask bug bugs book booked browse code details developer docs engineer everything free games help helpdesk hosting info information issue issues job jobs learn life list login movies music news order page play post posts pricing "
+    "project released search something stories stuff support talk talked things tickets us videos watch watched write "
+    "alles arbeite arbeiten arbeitet bestellt bin bist da dabei das der die dort du er es gefunden gekauft gibt habe haben hier ich ihn ihr ist jetzt kaufen kauft lesen man mehr nur sie sind steht treffen uns war waren wir wohnt wurde zu "
+    "achat achète acheter aller avec avons chercher dans elle elles est et était ici il ils je lire mais nous on ou plus pour sommes sont sur travaille travaillons trouve trouver tu voir vous "
+    "aquí compra comprar con ellos ella era eres es está están estamos estoy hay lee leer más nos nosotros para pero se ser son soy trabaja trabajo una ver y yo".split()
 )
 NAMING = frozenset("a an any each every her his its my no our some that the their these this those your".split())
 COMPATIBLE = ("<wide>", "<narrow>", "<font>", "<circle>", "<small>")
@@ -84,7 +92,10 @@ _AT_BRACKETED = "|".join((*AT_WORDS, *AT_NAMES, *AT_IN_BRACKETS))
 _OPEN, _CLOSE = r"[ \t]?[\[({<][ \t]?", r"[ \t]?[\])}>][ \t]?"
 _DOT = rf"(?:{_OPEN}(?:{_DOT_WORD}|\.){_CLOSE}|[ \t]+(?:{_DOT_WORD})[ \t]+|\.)"
 _AT = rf"(?P<at>{_OPEN}(?:{_AT_BRACKETED}|@){_CLOSE}|[ \t]+(?:{_AT_WORD})[ \t]+|[ \t]?@[ \t]?)"
-_ADDRESS = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]+(?:{_DOT}[A-Za-z0-9_%+-]+)*?{_AT}(?P<host>[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)", re.IGNORECASE)
+_AT_FIRST = re.compile(_AT.replace("|[ \\t]+(", "|(?<![ \\t])[ \\t]+("), re.IGNORECASE)
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+_LABEL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"
+_DOT_LAST = re.compile(rf"(?:{_DOT})\Z", re.IGNORECASE)
 _ADDRESS_SIGN = re.compile(rf"[\[({{<][ \t]?(?:{_AT_BRACKETED}|{_DOT_WORD}|@|\.)[ \t]?[\])}}>]|[ \t](?:{_DOT_WORD}|{_AT_NAME})[ \t]|[ \t]@|@[ \t]|[ \t](?:{'|'.join(AT_WORDS)})[ \t]+[A-Za-z0-9.-]+\.[A-Za-z]{{2}}", re.IGNORECASE)
 _BEFORE_ADDRESS = re.compile(
     r"\b(?:e-?mails?|mailto|mail|contact|write|reach|kontakt|schreib\w*|erreichbar|courriel|mél|contacte[rz]?|écri\w*|correo|contacto|contacta\w*|escrib\w*)\b"
@@ -122,17 +133,47 @@ def _is_card(text: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits)
 
 
-DETECTORS: dict[str, tuple[re.Pattern, str, Callable[[str], bool]]] = {
-    "email": (EMAIL, "@", lambda m: True),
-    "ip": (IP, ".", lambda m: all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.split("."))),
-    "card": (CARD, "", _is_card),
-    "phone": (PHONE, "+", lambda m: 8 <= len(_digits(m)) <= 15),
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``: from each sign back over its local part
+    and on over its host, so that no run is looked at from each of its characters."""
+    last, at = 0, text.find("@")
+    while at >= 0:
+        begin = last + len(text[last:at].rstrip(LOCAL))
+        host = HOST.match(text, at + 1) if begin < at else None
+        last = host.end() if host else at + 1
+        if host:
+            yield begin, last
+        at = text.find("@", last)
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of four numbers with dots between, each run of such numbers cut into fours from its start."""
+    for run in DOTTED.finditer(text):
+        parts = list(PART.finditer(text, *run.span()))
+        for i in range(0, len(parts) - 3, 4):
+            yield parts[i].start(), parts[i + 3].end()
+
+
+def _is_ip(text: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+
+
+def _found_by(pattern: re.Pattern) -> Callable[[str], Iterator[tuple[int, int]]]:
+    return lambda text: (m.span() for m in pattern.finditer(text))
+
+
+#: How a kind's matches are found, a character that they need, and whether a match holds.
+DETECTORS: dict[str, tuple[Callable[[str], Iterator[tuple[int, int]]], str, Callable[[str], bool]]] = {
+    "email": (emails, "@", lambda m: True),
+    "ip": (addresses, ".", _is_ip),
+    "card": (_found_by(CARD), "", _is_card),
+    "phone": (_found_by(PHONE), "+", lambda m: 8 <= len(_digits(m)) <= 15),
 }
 
 
 def detect(text: str) -> list[Span]:
     """Plain matches, by kind, then start."""
-    return [(kind, m.start(), m.end()) for kind in KINDS for pattern, needs, holds in [DETECTORS[kind]] if needs in text for m in pattern.finditer(text) if holds(m[0])]
+    return [(kind, lo, hi) for kind in KINDS for find, needs, holds in [DETECTORS[kind]] if needs in text for lo, hi in find(text) if holds(text[lo:hi])]
 
 
 @lru_cache(maxsize=20_000)
@@ -173,36 +214,73 @@ def char_edits(text: str) -> list[tuple[int, int, str]]:
     return [(i, i + 1, odd[c]) for i, c in enumerate(text) if c in odd] if odd else []
 
 
-def _is_address(text: str, m: re.Match) -> bool:
+@dataclass(frozen=True)
+class Disguised:
+    """Places in an address: local part, sign, host and end."""
+
+    start: int
+    at: int
+    host: int
+    end: int
+
+
+def disguised_addresses(text: str) -> Iterator[Disguised]:
+    """From each sign, also a written-out one, back over labels and dots to the start of the local part, and on
+    over the host; matches do not overlap."""
+    last, at = 0, 0
+    while sign := _AT_FIRST.search(text, at):
+        at, begin, before = sign.end(), sign.start(), sign.start()
+        while True:
+            label = text[max(last, before - 64) : before].rstrip(_LABEL)
+            start = max(last, before - 64) + len(label)
+            if start == before:
+                break
+            while not label and start > last:  # a label of more than 64 characters
+                label = text[max(last, start - 4096) : start].rstrip(_LABEL)
+                start = max(last, start - 4096) + len(label)
+            begin = start
+            dot = _DOT_LAST.search(text, max(last, start - 40), start)
+            if not dot:
+                break
+            before = dot.start()
+        host = _HOST.match(text, sign.end()) if begin < sign.start() else None
+        if host:
+            yield Disguised(begin, sign.start(), sign.end(), host.end())
+            last = at = host.end()
+        elif at == sign.start():
+            at += 1
+
+
+def _is_address(text: str, m: Disguised) -> bool:
     """Whether a match with a plain word "at" and plain dots is an address, by its ending, local part and context."""
-    ending = re.split(r"[^A-Za-z0-9-]+", m["host"])[-1]
+    whole = text[m.start : m.end]
+    ending = re.split(r"[^A-Za-z0-9-]+", text[m.host : m.end])[-1]
     code = ending.lower()
-    if code in DOMAINS:
-        return True
-    if not (code.isalpha() and len(code) > 1 and (ending.islower() or not any(c.islower() for c in m[0]))):
+    if not (code.isalpha() and len(code) > 1 and (code in DOMAINS or ending.islower() or not any(c.islower() for c in whole))):
         return False
-    local = text[m.start() : m.start("at")].lower()
-    if local in PROSE:
+    local = text[m.start : m.at].lower()
+    introduced = _BEFORE_ADDRESS.search(text, max(0, m.start - 60), m.start)
+    if local in PROSE and not introduced:
         return False
-    if not local.isalpha() and any(c.isalpha() for c in local) or _BEFORE_ADDRESS.search(text, max(0, m.start() - 60), m.start()):
+    if not local.isalpha() and any(c.isalpha() for c in local) or introduced:
         return True
-    before = _LAST_WORD.search(text, max(0, m.start() - 20), m.start())
-    return code in COUNTRIES and code not in WORD_COUNTRIES and not (before and before[1].lower() in NAMING)
+    before = _LAST_WORD.search(text, max(0, m.start - 20), m.start)
+    return (code in DOMAINS or code in COUNTRIES and code not in WORD_COUNTRIES) and not (before and before[1].lower() in NAMING)
 
 
 def address_edits(text: str) -> list[tuple[int, int, str]]:
     if not _ADDRESS_SIGN.search(text):
         return []
     edits = []
-    for m in _ADDRESS.finditer(text):
-        at = m["at"]
-        dots = [d for part in (m.span(), ) for d in _DOT_TOKEN.finditer(text, *part)]
-        host_dots = [d[0] for d in dots if d.start() >= m.start("host")]
+    for m in disguised_addresses(text):
+        at = text[m.at : m.host]
+        dots = list(_DOT_TOKEN.finditer(text, m.start, m.end))
+        host_dots = [d[0] for d in dots if d.start() >= m.host]
         plain_at = at.strip().lower() in AT_WORDS
         if plain_at and all(d == "." for d in host_dots) and not _is_address(text, m):
             continue
-        tokens = [(d.start(), d.end(), ".") for d in dots if d[0] != "." and (d.end() <= m.start("at") or d.start() >= m.end("at"))]
-        tokens += [(m.start("at"), m.end("at"), "@")] if at != "@" else []
+        tokens = [(d.start(), d.end(), ".") for d in dots if d[0] != "." and (d.end() <= m.at or d.start() >= m.host)]
+        tokens += [(m.at, m.host, "@")] if at != "@" else []
         edits += sorted(tokens)
     return edits
 
