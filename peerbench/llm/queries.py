@@ -23,6 +23,7 @@ from peerbench.llm.tokens import count_tokens
 from peerbench.llm.toxicity import toxicity_scores
 from peerbench.llm.warc import page_records, read_warc, write_warc
 from peerbench.llm.whitening import whiten
+from peerbench.operators.joins import SHARE, left_join
 from peerbench.staging import shared_folder
 
 
@@ -71,24 +72,30 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after all documents came in, copies (equal texts but that with the least id) were
-    deleted and texts with repeated lines were counted anew without them. The delete is sent twice."""
+    """Totals after all documents came in, copies (equal texts but one, that with the least id) were
+    deleted and texts with repeated lines were counted anew without them. The delete is sent twice. Both counts
+    of a text come from one look at its row."""
     version = "word_bpe_49k"
+    keys = ["doc_id", "source", "lang", "version"]
     docs = read_table(spark, sf_dir, "documents").withColumn("version", F.lit(version))
     lines = F.split("text", "\n", -1)
-    counted = count_tokens(docs, tokenizer_path(f"{version}.json"), keep=["source", "lang", "version", "digest", "repeats"], derive={"digest": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), "repeats": F.coalesce(F.size(F.array_distinct(lines)) < F.size(lines), F.lit(False))})
-    counted = settle(counted, "counted")
-    firsts = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    counted = settle(counted.join(firsts, "digest"), "counted_first")
-    again = docs.where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
-    again = count_tokens(again, tokenizer_path(f"{version}.json")).select("doc_id", F.col("n_tokens").alias("new_tokens"))
-    once = counted.where("doc_id = first and repeats").join(again, "doc_id")
+    kept = F.array_distinct(lines)
+    revision = F.when(F.size(kept) < F.size(lines), F.array_join(kept, "\n"))
+    counted = count_tokens(docs, tokenizer_path(f"{version}.json"), keep=[*keys[1:], "digest"], derive={"digest": F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)}, revised=revision)
+    # rows that are equal in all that counts are one row with their number
+    counted = settle(counted.groupBy(*keys, "digest", "n_tokens", "new_tokens").agg(F.count("*").alias("times")), "counted")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), *keys))
+    same = settle(counted.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1"), "same_text")
+    often = same.where(F.col("n") > counted.count() * SHARE).select("digest")
+    counted = left_join(counted, same.drop("n"), ["digest"], frequent=often)
+    own = F.col("first").isNull() | F.struct(F.col("doc_id").isNull().alias("last"), *keys).eqNullSafe(F.col("first"))
+    counted = settle(counted.withColumn("stays", own.cast("int")).drop("first"), "counted_first")
 
     rollups = TokenRollups(spark, f"{shared_folder(spark)}/rollups-{uuid.uuid4().hex}")
     rollups.commit("load", inserted(counted))
-    copies = deleted(counted.where("doc_id <> first"))
+    copies = deleted(counted.withColumn("times", F.col("times") - F.col("stays")))
     rollups.commit("copies", copies)
-    rollups.commit("recount", revised(once))
+    rollups.commit("recount", revised(counted.where("stays = 1 and new_tokens is not null").withColumn("times", F.lit(1))))
     rollups.commit("copies", copies)
     return rollups.totals()
 

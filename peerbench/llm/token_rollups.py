@@ -47,7 +47,7 @@ class TokenRollups:
         return sorted(n for n in names if self._complete(f"{self.path}/batches/{n}"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply ``changes`` (source, lang, version, before, after) under the id ``batch``; False if a
+        """Apply ``changes`` (source, lang, version, before, after and, if rows stand for several, times) under the id ``batch``; False if a
         batch with this id has been applied. What a failed write has left behind is overwritten."""
         folder = self._folder(batch)
         if self._complete(folder):
@@ -56,7 +56,8 @@ class TokenRollups:
             *[F.col(k).cast("string").alias(k) for k in KEYS],
             (F.col("after").isNotNull().cast("int") - F.col("before").isNotNull().cast("int")).alias("docs"),
             (F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).cast("long").alias("tokens"),
-        )
+            (F.col("times") if "times" in changes.columns else F.lit(1)).cast("long").alias("times"),
+        ).select(*KEYS, (F.col("docs") * F.col("times")).alias("docs"), (F.col("tokens") * F.col("times")).alias("tokens"))
         delta = signed.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         delta.write.mode("overwrite").parquet(folder)
         return True
@@ -71,15 +72,19 @@ class TokenRollups:
         return rows.where("n_docs <> 0 or n_tokens <> 0")
 
 
+def _kept(counts: DataFrame) -> list[str]:
+    return [*KEYS, *(["times"] if "times" in counts.columns else [])]
+
+
 def inserted(counts: DataFrame) -> DataFrame:
-    """Changes for documents that are new: ``counts`` has source, lang, version and n_tokens."""
-    return counts.select(*KEYS, F.lit(None).cast("long").alias("before"), F.col("n_tokens").alias("after"))
+    """Changes for documents that are new: ``counts`` has source, lang, version and n_tokens, and may have times."""
+    return counts.select(*_kept(counts), F.lit(None).cast("long").alias("before"), F.col("n_tokens").alias("after"))
 
 
 def deleted(counts: DataFrame) -> DataFrame:
-    return counts.select(*KEYS, F.col("n_tokens").alias("before"), F.lit(None).cast("long").alias("after"))
+    return counts.select(*_kept(counts), F.col("n_tokens").alias("before"), F.lit(None).cast("long").alias("after"))
 
 
 def revised(counts: DataFrame) -> DataFrame:
     """Changes for documents counted anew: ``n_tokens`` before, ``new_tokens`` now."""
-    return counts.select(*KEYS, F.col("n_tokens").alias("before"), F.col("new_tokens").alias("after"))
+    return counts.select(*_kept(counts), F.col("n_tokens").alias("before"), F.col("new_tokens").alias("after"))

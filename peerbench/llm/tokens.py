@@ -94,16 +94,24 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, derive: dict[str, Column] | None = None) -> DataFrame:
-    """``doc_id``, the columns ``keep`` (of ``docs`` or ``derive``) and ``n_tokens`` of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[(derive or {}).get(c, F.col(c)).alias(c) for c in keep or ()], F.col(text_col).alias("text_"))
-    fields = rows.drop("text_").dtypes
-    names = [*(n for n, _ in fields), "n_tokens"]
+def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, derive: dict[str, Column] | None = None, revised: Column | None = None) -> DataFrame:
+    """``doc_id``, the columns ``keep`` (of ``docs`` or ``derive``) and ``n_tokens`` of every row, and, if ``revised``
+    gives another version of its text, the ``new_tokens`` of that (null where it is null)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[(derive or {}).get(c, F.col(c)).alias(c) for c in keep or ()], *([] if revised is None else [revised.alias("revised_")]), F.col(text_col).alias("text_"))
+    fields = rows.drop("text_", "revised_").dtypes
+    twice, kept = revised is not None, len(fields)
+    names = [*(n for n, _ in fields), "n_tokens", *["new_tokens"] * twice]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(tokenizer)
         for batch in batches:
             n = [len(x) // 4 for x in tokens.ids(batch.column("text_").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64())], names=names)
-
-    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in fields) + ", n_tokens bigint")
+            out = [*batch.columns[:kept], pa.array(n, pa.int64())]
+            if twice:
+                texts = batch.column("revised_").to_pylist()
+                again = iter(tokens.ids([t for t in texts if t is not None]))
+                out.append(pa.array([None if t is None else len(next(again)) // 4 for t in texts], pa.int64()))
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in fields) + ", n_tokens bigint" + ", new_tokens bigint" * twice
+    return rows.mapInArrow(run, schema)

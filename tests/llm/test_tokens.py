@@ -54,10 +54,35 @@ def as_unigram(data):
     return out
 
 
+def made_model(pieces):
+    """A model file of (piece, score, kind)."""
+    out = b""
+    for piece, score, kind in pieces:
+        body = b"\x0a" + bytes([len(piece.encode())]) + piece.encode() + b"\x15" + struct.pack("<f", score) + b"\x18" + bytes([kind])
+        out += b"\x0a" + bytes([len(body)]) + body
+    return out
+
+
+def test_unused_pieces_are_in_no_path_and_user_defined_ones_in_all(tmp_path):
+    singles = [(c, -8.0, 1) for c in MARKER + "abcxyz"]
+    data = made_model([("<unk>", 0.0, 2), *singles, ("abc", -1.0, 5), ("ab", -3.0, 1), ("xyz", -30.0, 4), (MARKER + "ab", -4.0, 1)])
+    path = tmp_path / "made.model"
+    path.write_bytes(data)
+    made = load_coder(str(path))
+    names = lambda text: [made.model.pieces[i] for i in np.frombuffer(next(made.encode([text])), "<u4")]
+    assert names("abc") == [MARKER + "ab", "c"] and names("xyzab") == [MARKER, "xyz", "ab"] and names("axyzq") == [MARKER, "a", "xyz", "<unk>"]
+    rng = random.Random(4)
+    for _ in range(200):
+        word = "".join(rng.choices("abcxyz ", k=rng.randint(1, 12))).strip() or "a"
+        ids = np.frombuffer(next(made.encode([word])), "<u4")
+        assert sum(made.model.scores[i] for i in ids) == pytest.approx(plain_viterbi(made, word))
+        assert "abc" not in names(word) and names(word).count("xyz") == word.count("xyz")
+
+
 def plain_viterbi(coder, text):
     """Best sum of scores over all cuts, by trying all pieces at all places."""
     m = coder.model
-    score = {p: s for p, s, k in zip(m.pieces, m.scores, m.kinds, strict=True) if k in (1, 4, 5)}
+    score = {p: s for p, s, k in zip(m.pieces, m.scores, m.kinds, strict=True) if k in (1, 4)}
     text = MARKER + text.replace(" ", MARKER)
     best = [0.0] + [-float("inf")] * len(text)
     for i in range(len(text)):
@@ -100,7 +125,7 @@ def test_trie_holds_exactly_the_pieces(coder):
 
 
 def test_paths_are_best_and_decode_back(coder, documents):
-    texts = [t for t in ODD if t] + [t[:300] for _, t in documents[:40]]
+    texts = [t for t in ODD if t] + [t for _, t in documents[:40]]
     for text, data in zip(texts, coder.encode(texts), strict=True):
         ids = np.frombuffer(data, "<u4").tolist()
         assert coder.decode(data) == text.replace(MARKER, " ")
@@ -182,3 +207,16 @@ def test_batches_count_once_and_whole(spark, tmp_path):
     assert rollups.commit("torn", inserted(rows.limit(0))) and rollups.totals().count() == 2
     with pytest.raises(ValueError):
         rollups.commit("../x", inserted(rows))
+
+
+def test_query_of_repeated_rows(spark, tmp_path):
+    """Equal rows are documents of their own; of equal texts one stays, also of one id; null ids come last."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a b\na b\nc", "en", "s")] * 2 + [(2, "d e", "en", "s"), (2, "d e", "de", "s"), (None, "d e", "en", "t"), (3, None, "en", "s"), (4, "", None, "s")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in queries.op9_token_rollups(spark, str(tmp_path)).collect()}
+    assert got == {("s", "en"): (2, 3), ("s", "de"): (1, 2)}
+    shared = spark.createDataFrame([(i, "hot text", "en", f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, lang string, source string")
+    shared.write.parquet(f"{tmp_path}/hot/documents.parquet")
+    assert [tuple(r)[3:] for r in queries.op9_token_rollups(spark, f"{tmp_path}/hot").where(F.col("n_docs") > 0).collect()] == [(1, 2)]
