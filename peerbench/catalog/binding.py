@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from peerbench.config import Settings
 from peerbench.sources import spread
 
-SETTINGS = Settings(as_of_year=2005, role_pattern="ring|gear", job="small ring", experience=5, sample_size=5_000)
+SETTINGS = Settings(as_of_year=2005, role_pattern="ring|gear", job="small ring", experience=5, sample_size=5_000, scatter_cap=50_000)
 
 
 def people_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,8 +154,8 @@ def _histogram(values: str, bins: str) -> str:
        GROUP BY bin, "left", "right" """
 
 
-def _density(log: bool) -> str:
-    value = "log10(CAST(ctc AS DOUBLE))" if log else f"CAST({EXP} AS DOUBLE)"
+def _density(log: bool, col: str = EXP) -> str:
+    value = "log10(CAST(ctc AS DOUBLE))" if log else f"CAST({col} AS DOUBLE)"
     where = "WHERE ctc > 0" if log else ""
     return f""", vals AS (SELECT {value} AS v FROM prepared {where}),
         counted AS (SELECT v, count(*) AS c FROM vals GROUP BY v),
@@ -415,6 +415,17 @@ ORACLES: dict[str, str] = {
     "histogram_events": "WITH vals AS (SELECT value AS v FROM events WHERE value IS NOT NULL)" + _histogram("", "w"),
     "density_experience": _sql("prepared", _density(False)),
     "density_pay_log": _sql("prepared", _density(True)),
+    "density_updated_year": _sql("prepared", _density(False, "ctc_updated_year")),
+    "histogram_updated_year": _sql("prepared", ", vals AS (SELECT ctc_updated_year AS v FROM prepared)" + _histogram("", "w")),
+    "scatter_points_all": _sql("prepared", f"SELECT row_id, {EXP}, CAST(ctc AS DOUBLE) AS ctc FROM prepared WHERE ctc > 0"),
+    "scatter_cells": _sql(
+        "prepared",
+        f"""SELECT CAST(least(floor(CAST(x - x0 AS DOUBLE) * 50 / (x1 - x0)), 49) AS INTEGER) AS cell_x, CAST(least(floor((h - h0) * 50 / (h1 - h0)), 49) AS INTEGER) AS cell_y,
+                   count(*) AS n, {_rounded('CAST(sum(x) AS DOUBLE) / count(*)', 4)} AS mean_x, {_rounded('CAST(sum(y) AS DOUBLE) / count(*)', 4)} AS mean_y
+            FROM (SELECT *, min(x) OVER () AS x0, max(x) OVER () AS x1, min(h) OVER () AS h0, max(h) OVER () AS h1
+                  FROM (SELECT CAST({EXP} AS BIGINT) AS x, ctc AS y, log10(CAST(ctc AS DOUBLE)) AS h FROM prepared WHERE ctc > 0))
+            GROUP BY cell_x, cell_y""",
+    ),
     "bar_counts": _sql("prepared", f"SELECT * FROM ({_bars(CO)}) UNION ALL SELECT * FROM ({_bars(JOB)})"),
     "top_category_rows": _sql(
         "prepared",

@@ -396,6 +396,26 @@ def scatter_points(spark, sf_dir):
     return _as_doubles(points)
 
 
+@query
+def scatter_points_all(spark, sf_dir):
+    return _as_doubles(distribution.scatter_points(prepared(spark, sf_dir), EXPERIENCE, "ctc", None, SETTINGS.seed, "row_id"))
+
+
+@query
+def scatter_cells(spark, sf_dir):
+    return round_floats(distribution.scatter_cells(prepared(spark, sf_dir), EXPERIENCE, "ctc"), 4)
+
+
+@query
+def density_updated_year(spark, sf_dir):
+    return round_floats(distribution.density(prepared(spark, sf_dir), "ctc_updated_year"), 8)
+
+
+@query
+def histogram_updated_year(spark, sf_dir):
+    return round_floats(distribution.histogram(prepared(spark, sf_dir), "ctc_updated_year"), 6)
+
+
 # Features and segments
 
 

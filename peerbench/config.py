@@ -35,7 +35,7 @@ class Settings:
     neighbours: int = 5
     min_group: int = 10
     sample_size: int | None = None  # rows of the cost sweep; None: all
-    scatter_cap: int = 50_000
+    scatter_cap: int | None = None  # rows of the scatter; None: all
     top_categories: int = 20
     segments: int = 5
     sweep: tuple[int, ...] = tuple(range(2, 11))

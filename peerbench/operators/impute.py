@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peerbench.functions import round_int
-from peerbench.operators.quantiles import cut_points, exact_quantiles, with_bucket
+from peerbench.operators.joins import left_join
+from peerbench.operators.quantiles import exact_quantiles
+from peerbench.staging import stage as stage_table
 
-# Distinct values per ordered stretch of the nearest search.
+# Distinct values per ordered stretch of the nearest search, and stretches that exchange donors at once.
 STRETCH = 250_000
-MAX_STRETCHES = 10_000
+BRANCHES = 64
 
 
 def impute_median(df: DataFrame, col: str) -> DataFrame:
@@ -28,7 +30,7 @@ def impute_median(df: DataFrame, col: str) -> DataFrame:
 
 def nearest_means(
     df: DataFrame, target: str, by: str, k: int, key: str, *, stretch: int = STRETCH,
-    stage: Callable[[DataFrame, str], DataFrame] | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] = stage_table, branches: int = BRANCHES,
 ) -> DataFrame:
     """For every value of ``by`` on a row lacking ``target``: the mean ``target`` of the k nearest rows.
 
@@ -36,8 +38,8 @@ def nearest_means(
     ordered walk, not a join of pairs:
 
     1. per distinct value keep its first k donors, and list the values that need an answer;
-    2. cut all these values into stretches of about equal length, and lend each stretch the k donor
-       values next below and above it, wherever they are, so that no answer lies outside it;
+    2. deal all these values out by ranges into stretches of about equal length, and lend each stretch the k
+       donor values next below and above it, wherever they are, so that no answer lies outside it;
     3. in value order within a stretch, a needed value looks back and ahead over k donor values;
     4. the k nearest of the donors found there are averaged.
     """
@@ -52,17 +54,13 @@ def nearest_means(
         .agg(F.array_sort(F.collect_list(F.struct("_place", F.col(target).alias("t")))).alias("_own"))
     )
     needed = df.where(need & F.col(by).isNotNull()).select(by).distinct()
-    if stage is not None:
-        donors, needed = stage(donors, "donors"), stage(needed, "needed")
-
-    exact = F.col(by).cast("double")
-    donors, needed = donors.withColumn("_x", exact), needed.withColumn("_x", exact)
-    both = donors.select("_x").union(needed.select("_x"))
-    wanted = _stretches(both.count(), stretch, df.sparkSession.sparkContext.defaultParallelism)
-    cuts = cut_points(both, "_x", wanted)
-    donors, needed = with_bucket(donors, "_x", cuts, "_s"), with_bucket(needed, "_x", cuts, "_s")
-    if cuts:
-        donors = donors.select("_s", by, "_own").unionByName(_lent(donors, by, k, len(cuts) + 1))
+    donors, needed = stage(donors, "donors"), stage(needed, "needed")
+    wanted = _stretches(donors.count() + needed.count(), stretch, df.sparkSession.sparkContext.defaultParallelism)
+    both = donors.select(by, "_own").unionByName(needed.select(by), allowMissingColumns=True)
+    both = stage(both.repartitionByRange(wanted, by).withColumn("_s", F.spark_partition_id()), "stretches")
+    donors, needed = both.where(F.col("_own").isNotNull()).select("_s", by, "_own"), both.where(F.col("_own").isNull()).select("_s", by)
+    if wanted > 1:
+        donors = donors.unionByName(_lent(donors, by, k, wanted, stage, branches))
 
     # A donor value comes before an equal needed one. Needed values hold no entry and are stepped over.
     entry = F.struct(F.col(by).alias("v"), F.col("_own").alias("own"))
@@ -89,48 +87,74 @@ def nearest_means(
 
 def _stretches(values: int, most: int, cores: int) -> int:
     """Enough stretches to keep each below ``most`` values, and the cores busy on smaller inputs."""
-    return max(1, min(MAX_STRETCHES, max(-(-values // most), min(cores, values // 10_000))))
+    return max(1, -(-values // most), min(cores, values // 10_000))
 
 
-def _lent(donors: DataFrame, by: str, k: int, stretches: int) -> DataFrame:
-    """For each stretch the k donors next below and the k next above it, as further rows of it.
+def _ends(donors: Column, k: int) -> tuple[Column, Column]:
+    """The first and the last k of an ordered array."""
+    return F.slice(donors, 1, k), F.slice(donors, F.greatest(F.size(donors) - k + 1, F.lit(1)), k)
 
-    Only the outermost k donors of a stretch can be among them. So the one window that spans all
-    stretches sees at most 2 k rows of each, and two markers: before its donors and after them.
+
+def _lent(donors: DataFrame, by: str, k: int, stretches: int, stage: Callable[[DataFrame, str], DataFrame], branches: int) -> DataFrame:
+    """For each stretch the k donors next below it and the k next above it, as further rows of it.
+
+    Only the outermost k donors of a stretch can be among them. Stretches pass these on along a tree: up, each
+    group of ``branches`` neighbours adds up to its own outermost donors; down, each gets those next to its
+    group, and hands every member these with its siblings' on either side. A group is 2 k donors of each of its
+    members, whatever the number of stretches.
     """
     inside = Window.partitionBy("_s")
+    edge = F.struct(F.col(by).alias("v"), F.col("_own").alias("own"))
     edges = (
         donors.withColumn("_r", F.row_number().over(inside.orderBy(by)))
         .withColumn("_m", F.count("*").over(inside))
         .where((F.col("_r") <= k) | (F.col("_r") > F.col("_m") - k))
-        .select("_s", F.lit(1).alias("_side"), by, F.struct(by, "_own").alias("_donor"))
-    )
-    marks = donors.sparkSession.range(stretches).select(
-        F.col("id").cast("int").alias("_s"), F.explode(F.array(F.lit(0), F.lit(2))).alias("_side")
-    )
-    window = f"OVER (ORDER BY _s, _side, `{by}`)"
-    look = lambda way: F.array(*[F.expr(f"{way}(_donor, {i}) IGNORE NULLS {window}") for i in range(1, k + 1)])
-    seen = edges.unionByName(marks, allowMissingColumns=True).select("_s", "_side", look("lag").alias("_below"), look("lead").alias("_above"))
-    near = F.when(F.col("_side") == 0, F.col("_below")).otherwise(F.col("_above"))
-    return (
-        seen.where(F.col("_side") != 1).select("_s", F.explode(F.array_compact(near)).alias("_donor")).select("_s", f"_donor.{by}", "_donor._own")
+        .groupBy("_s").agg(F.array_sort(F.collect_list(edge)).alias("_d"))
     )
+    low, high = _ends(F.col("_d"), k)
+    level = donors.sparkSession.range(stretches).select(F.col("id").alias("_g")).join(edges.withColumnRenamed("_s", "_g"), "_g", "left")
+    level = level.withColumn("_d", F.coalesce("_d", _empty(edges, "_d")))
+    levels, groups = [stage(level.select("_g", low.alias("low"), high.alias("high")), "edges")], stretches
+    members = F.array_sort(F.collect_list(F.struct("_g", "low", "high"))).alias("members")
+    of_group = lambda table: table.groupBy(F.expr(f"_g div {branches}").alias("_up")).agg(members)
+    flat = lambda rows, side: F.flatten(F.transform(rows, lambda m: m[side]))
+    while groups > branches:
+        up = of_group(levels[-1]).select(F.col("_up").alias("_g"), _ends(flat(F.col("members"), "low"), k)[0].alias("low"), _ends(flat(F.col("members"), "high"), k)[1].alias("high"))
+        levels.append(stage(up, "edges"))
+        groups = -(-groups // branches)
+    lent = of_group(levels[-1]).select("_up", "members", _empty(levels[-1], "low").alias("below"), _empty(levels[-1], "low").alias("above"))
+    for depth in reversed(range(len(levels))):
+        if depth < len(levels) - 1:
+            lent = of_group(levels[depth]).join(lent.withColumnRenamed("_g", "_up"), "_up")
+        before = lambda i: F.concat(F.col("below"), flat(F.slice("members", 1, i), "high"))
+        after = lambda i: F.concat(flat(F.slice("members", i + 2, F.size("members")), "low"), F.col("above"))
+        handed = F.transform(
+            F.col("members"),
+            lambda m, i: F.struct(m["_g"].alias("_g"), _ends(before(i), k)[1].alias("below"), _ends(after(i), k)[0].alias("above")),
+        )
+        lent = stage(lent.select(F.explode(handed).alias("h")).select("h.*"), "lent")
+    return lent.select(F.col("_g").cast("int").alias("_s"), F.explode(F.concat("below", "above")).alias("_d")).select("_s", F.col("_d.v").alias(by), F.col("_d.own").alias("_own"))
+
+
+def _empty(table: DataFrame, col: str) -> Column:
+    """An empty array of the kind of ``col``."""
+    return F.array().cast(table.schema[col].dataType)
 
 
 def impute_nearest(
     df: DataFrame, target: str, by: str, k: int, key: str, *, stretch: int = STRETCH,
-    stage: Callable[[DataFrame, str], DataFrame] | None = None,
+    stage: Callable[[DataFrame, str], DataFrame] = stage_table,
 ) -> DataFrame:
     """Fill a missing whole number with the half-even rounded mean of the k rows nearest by ``by``.
 
-    Complete rows pass through without a shuffle; only the rows to fill join the table of means.
+    Complete rows pass through without a shuffle; only the rows to fill join the table of means, those of a
+    frequent value by broadcast.
     """
     if df.where(F.col(target).isNull()).isEmpty():
         return df
     means = nearest_means(df, target, by, k, key, stretch=stretch, stage=stage)
     filled = (
-        df.where(F.col(target).isNull())
-        .join(means, by, "left")
+        left_join(df.where(F.col(target).isNull()), means, [by])
         .withColumn(target, round_int(F.col("_mean")).cast(df.schema[target].dataType))
         .select(*df.columns)
     )

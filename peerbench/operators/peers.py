@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from peerbench.config import PEER_FLAGS
 from peerbench.functions import peer_flag
+from peerbench.operators.joins import left_join
 from peerbench.operators.profile import value_counts
 from peerbench.operators.quantiles import BUCKETS, cut_points, exact_quantiles
 
@@ -88,8 +89,9 @@ def peer_summaries(df: DataFrame, levels: Levels, value: str) -> DataFrame:
 
 
 def attach_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of a summary onto rows; rows of no group keep NULLs."""
-    return df.join(summary, list(keys), "left")
+    """Left join of a summary onto rows; rows of no group keep NULLs. Rows of a frequent group, such as those
+    without a company, meet its summary by broadcast and are not gathered."""
+    return left_join(df, summary, keys)
 
 
 def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -128,6 +128,7 @@ def distributions(prepared: DataFrame, settings: Settings) -> dict[str, DataFram
         tables[f"histogram_{col}"] = distribution.histogram(prepared, col, log=log)
         tables[f"density_{col}"] = distribution.density(prepared, col, log=log)
     tables["top_categories"] = distribution.bar_counts(prepared, CATEGORICAL_FEATURES, settings.top_categories)
+    tables["scatter_cells"] = distribution.scatter_cells(prepared, EXPERIENCE, "ctc")
     tables["scatter"] = distribution.scatter_points(prepared, EXPERIENCE, "ctc", settings.scatter_cap, settings.seed, "row_id")
     return tables
 

@@ -70,3 +70,34 @@ def test_top_categories(spark):
 def test_scatter_points(spark):
     df = spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("x"), (F.col("id") - 50).alias("y"))
     assert distribution.scatter_points(df, "x", "y", 1000, 1, "k").count() == 49
+
+
+def test_hermite_polynomials():
+    from numpy.polynomial.hermite import herm2poly
+
+    for k, row in enumerate(distribution.hermite_table(12)):
+        assert row == pytest.approx(herm2poly([0] * k + [1]).tolist())
+
+
+@pytest.mark.parametrize("shape", ["normal", "two far points", "equal steps"])
+def test_density_equals_the_sum_of_kernels(spark, shape):
+    rng = np.random.default_rng(1)
+    v = {"normal": rng.normal(size=700), "two far points": np.r_[rng.normal(size=400), 5e3], "equal steps": np.repeat(np.arange(9.0), 50)}[shape]
+    df = spark.createDataFrame([(float(x),) for x in v], "v double").repartition(3)
+    got = sorted(tuple(r) for r in distribution.density(df, "v").collect())
+    h = v.std(ddof=1) * len(v) ** -0.2
+    x = np.linspace(v.min(), v.max(), 200)
+    want = np.exp(-0.5 * ((x[:, None] - v[None]) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+    assert [p for p, *_ in got] == list(range(200)) and np.allclose([r[1] for r in got], x)
+    assert np.abs(np.array([r[2] for r in got]) - want).max() < 1e-13 / h
+
+
+def test_scatter_cells_hold_every_point(spark):
+    df = spark.createDataFrame([(i, i % 7, float(i % 100)) for i in range(1000)] + [(5000, None, 3.0)], "k int, x int, y double")
+    cells = distribution.scatter_cells(df, "x", "y", 10).collect()
+    assert sum(r["n"] for r in cells) == 990 and {r["cell_x"] for r in cells} == {0, 1, 3, 5, 6, 8, 9} and max(r["cell_y"] for r in cells) == 9
+    assert sum(r["n"] * r["mean_y"] for r in cells) == pytest.approx(sum(i % 100 for i in range(1000)))
+    flat = distribution.scatter_cells(df.where("y = 3"), "x", "y").collect()
+    assert {r["cell_y"] for r in flat} == {0}
+    assert distribution.scatter_cells(df.where("y < 0"), "x", "y").count() == 0
+    assert distribution.scatter_points(df, "x", "y", None, 1, "k").count() == 991

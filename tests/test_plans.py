@@ -53,7 +53,7 @@ def test_summaries_do_not_loop_over_pairs(prepared):
 
 def test_nearest_search_has_no_join_of_pairs(spark):
     cleaned = queries.cleaned(spark, SMALL)
-    text = plan(impute_nearest(cleaned, "orgyear", "ctc", 5, "row_id", stretch=500))
+    text = plan(impute_nearest(cleaned, "orgyear", "ctc", 5, "row_id", stretch=500, stage=lambda df, name: df))
     assert_scalable(text)
     # Donors of one value are cut to k before they are shuffled.
     assert "WindowGroupLimit" in text

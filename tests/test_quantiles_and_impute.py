@@ -99,6 +99,14 @@ def test_nearest_agrees_with_brute_force(spark, k, most):
         assert got[c] == pytest.approx(want[c], rel=1e-12), c
 
 
+def test_many_stretches_pass_donors_on_along_a_tree(spark):
+    """More than a hundred stretches, most without donors, in groups of five: three levels."""
+    rng = random.Random(8)
+    rows = [(f"{i:04d}", float(rng.randint(0, 2000)), float(rng.randint(1960, 2005)) if i % 23 == 0 else None) for i in range(300)]
+    means = nearest_means(people(spark, rows), "orgyear", "ctc", 3, "row_id", stretch=2, branches=5)
+    assert {r["ctc"]: r["_mean"] for r in means.collect()} == pytest.approx(brute_force(rows, 3), rel=1e-12)
+
+
 @pytest.mark.parametrize("most", [2, 10])
 def test_long_runs_without_donors(spark, most):
     rows = [(f"d{i}", float(c), 1970.0 + i) for i, c in enumerate([1, 2, 3, 500, 501, 9000])]
