@@ -145,8 +145,8 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id
 
     placed = settle(entries.select("entry", "v").mapInArrow(place, "entry bigint, i int, j int, v array<double>"), "index")
     sizes = np.zeros((cells, cells), np.int64)
-    for r in placed.groupBy("i", "j").count().collect():  # cells ** 2 rows at most
-        sizes[r.i, r.j] = r["count"]
+    counted = placed.groupBy("i", "j").count().toArrow()  # cells ** 2 rows at most
+    sizes[counted["i"].to_numpy(), counted["j"].to_numpy()] = counted["count"].to_numpy()
 
     ask = placed.join(asked, "entry", "left_semi")
     enough = _calibrate(placed, ask, books, sizes, k)
@@ -173,7 +173,9 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id
     for r in visits.groupBy("i").count().collect():  # cells rows at most
         asked_of[r.i] = r["count"]
     blocks = lambda n: F.array(*[F.lit(int(-(-x // BLOCK) or 1)) for x in n])[F.col("i")]
-    left = placed.withColumn("vb", F.pmod(F.xxhash64("entry"), blocks(full))).withColumn("qb", F.explode(F.sequence(F.lit(0), blocks(asked_of) - 1)))
+    # only cells that some query goes to are sent
+    wanted = visits.select("i", F.explode("js").alias("j")).distinct()
+    left = placed.join(wanted, ["i", "j"], "left_semi").withColumn("vb", F.pmod(F.xxhash64("entry"), blocks(full))).withColumn("qb", F.explode(F.sequence(F.lit(0), blocks(asked_of) - 1)))
     right = visits.withColumn("qb", F.pmod(F.xxhash64("entry"), blocks(asked_of))).withColumn("vb", F.explode(F.sequence(F.lit(0), blocks(full) - 1)))
     keys = [F.col("i"), F.col("vb").cast("long").alias("vb"), F.col("qb").cast("long").alias("qb")]
     left, right = left.select("entry", "j", "v", *keys), right.select("entry", "js", "v", *keys)
@@ -181,13 +183,20 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id
     def rank(own: pa.Table, asking: pa.Table) -> pa.Table:
         got = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
         if own.num_rows and asking.num_rows:
-            score = cosines(_matrix(asking["v"]), _matrix(own["v"]))
-            j = own["j"].to_numpy()
-            entry, query = own["entry"].to_numpy(), asking["entry"].to_numpy()
+            own = own.sort_by([("j", "ascending"), ("entry", "ascending")])
+            j, entry, query = own["j"].to_numpy(), own["entry"].to_numpy(), asking["entry"].to_numpy()
+            (x, far_x), (y, far_y) = scaled(_matrix(asking["v"])), scaled(_matrix(own["v"]))
+            cells = np.unique(j)
+            begin, end = np.searchsorted(j, cells), np.searchsorted(j, cells, "right")
             for q, js in enumerate(asking["js"].combine_chunks()):
-                seen = np.flatnonzero(np.isin(j, np.asarray(js.values)))
-                best = seen[np.lexsort((entry[seen], -score[q, seen]))[: k + 1]]
-                got.append((np.full(len(best), query[q]), entry[best], score[q, best]))
+                met = np.flatnonzero(np.isin(cells, np.asarray(js.values)))
+                if not len(met):
+                    continue
+                # the stretches of the list that hold the visited cells, and no other vector
+                seen = np.concatenate([np.arange(begin[c], end[c]) for c in met])
+                score = (y[seen] @ x[q]) / (far_x[q] * far_y[seen])
+                best = np.lexsort((entry[seen], -score))[: k + 1]
+                got.append((np.full(len(best), query[q]), entry[seen[best]], score[best]))
         a, b, c = (np.concatenate(x) for x in zip(*got, strict=True))
         return pa.table({"query": pa.array(a, pa.int64()), "entry": pa.array(b, pa.int64()), "score": pa.array(c)})
 
@@ -202,11 +211,16 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id
     return each.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), F.col("x.id").alias("vec_id"), (-F.col("x.far")).alias("score"))
 
 
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows divided by their largest component, so that squares neither overflow nor vanish, and their lengths."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x, np.linalg.norm(x, axis=1)
+
+
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines of all rows of ``a`` with all of ``b``, from the vectors as they are."""
-    sa, sb = np.abs(a).max(axis=1, keepdims=True), np.abs(b).max(axis=1, keepdims=True)
-    a, b = a / sa, b / sb
-    return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+    (a, far_a), (b, far_b) = scaled(a), scaled(b)
+    return (a @ b.T) / (far_a[:, None] * far_b[None, :])
 
 
 def _calibrate(placed: DataFrame, ask: DataFrame, books: Codebooks, sizes: np.ndarray, k: int) -> int:
