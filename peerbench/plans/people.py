@@ -165,7 +165,7 @@ def segment(enriched: DataFrame, settings: Settings, stage: Stage = stage_table)
 
 def run(spark: SparkSession, source: str, target: str, settings: Settings, *, format: str = "csv") -> dict[str, DataFrame]:
     """Read raw people, write the enriched table, and return all report tables by name."""
-    raw = read_people(spark, source, format=format)
+    raw = stage_table(drop_index(read_people(spark, source, format=format)), "raw")
     cleaned = stage_table(clean(raw, settings), "cleaned")
     imputed = stage_table(impute(cleaned, settings), "imputed")
     prepared = stage_table(derive(imputed, settings), "prepared")
