@@ -11,7 +11,7 @@ is shuffled; their buckets go to the driver. Scores are a map over all documents
 
 Defined results: null and empty texts have no n-gram and get the score of the intercept alone; label
 rows with a null id or label are left out; an id with several labels counts once, as 1 if the mean is
-at least 0.5; without rows of both classes every score is the share of label 1 (0.5 without rows).
+at least 0.5; of rows that repeat a labelled id the one with the least text is learnt from; without rows of both classes every score is the share of label 1 (0.5 without rows).
 Every row of the input, repeated ones too, gives one row. Other columns are not read.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peerbench.llm.arrays import Words, mix, windows, word_blocks
+from peerbench.llm.tables import one_row_per_id
 
 
 @dataclass(frozen=True)
@@ -159,6 +160,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, params: NbSvm = NbSvm())
     """``doc_id, held_out, score, predicted`` per document, learnt from labels that are not held out."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_train)
-    train = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(known.select("doc_id")), "doc_id")
+    train = one_row_per_id(texts, "doc_id", "text").join(F.broadcast(known), "doc_id")
     out = score(docs, fit(train, params))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

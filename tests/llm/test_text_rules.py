@@ -132,3 +132,48 @@ def test_quality_of_odd_rows(frame, spark):
     one_class = quality_scores(docs, labels.where("quality = 1")).select("score").distinct().collect()
     assert len(one_class) == 1 and one_class[0].score > 0.99
     assert {r.score for r in quality_scores(docs, labels.where("doc_id > 99")).collect()} == {0.5}
+
+
+def plain_scores(rows, labels, params):
+    """The classifier with n-grams as they are, none hashed; rows: (doc_id, text)."""
+
+    def grams(text):
+        words = [w.encode() for w in brute.words_of(text)]
+        found = {("word", w) for w in words} | {("tail", w[-3:]) for w in words} | {("pair", *x) for x in zip(words, words[1:])}
+        return found | {("equal", n) for n in (2, 3, 4) for i in range(len(words) - n + 1) if len(set(words[i : i + n])) == 1}
+
+    texts: dict = {}
+    for d, t in rows:
+        if d in labels and zlib.crc32(str(d).encode()) % 3 != 1:
+            texts[d] = min(texts.get(d, t or ""), t or "")
+    train = sorted(texts)
+    number = {g: i for i, g in enumerate(sorted({g for d, t in rows for g in grams(t)}, key=repr))}
+    lists = [np.array(sorted(number[g] for g in grams(texts[d])), int) for d in train]
+    one = np.array([labels[d] == 1 for d in train])
+    n = np.full((2, len(number)), params.alpha)
+    for x, y in zip(lists, one):
+        n[int(y), x] += 1
+    # buckets that no n-gram falls into are smoothed too
+    empty = params.alpha * (params.buckets - len(number))
+    ratio = np.log(n[1] / (n[1].sum() + empty)) - np.log(n[0] / (n[0].sum() + empty))
+    w, b = dual_descent(lists, np.where(one, 1.0, -1.0), ratio, params)
+    out = []
+    for d, t in rows:
+        x = np.array(sorted(number[g] for g in grams(t)), int)
+        norm = np.sqrt((ratio[x] ** 2).sum())
+        margin = (w[x] * ratio[x]).sum() / (norm or 1.0) + b
+        out.append((d, 1 / (1 + np.exp(-params.slope * margin))))
+    return out
+
+
+def test_scores_equal_the_plain_ones(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choices(["ok", "fine", "nice", "bad", "Bad", "spam", "é", "漢字"][: 5 if i % 2 else 8], k=rng.randint(0, 25)))) for i in range(50)]
+    rows += [(3, "ok again"), (4, None)]
+    labels = {i: i % 2 for i in range(0, 50) if i % 7}
+    params = NbSvm(bits=22)
+    got = quality_scores(
+        spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), spark.createDataFrame(list(labels.items()), "doc_id bigint, quality int"), params
+    ).collect()
+    want = plain_scores(rows, labels, params)
+    assert sorted((r.doc_id, round(r.score, 9)) for r in got) == sorted((d, round(float(s), 9)) for d, s in want)
