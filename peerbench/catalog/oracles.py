@@ -170,7 +170,7 @@ def _density(log: bool, col: str = EXP) -> str:
 def _kmeans(k: int, rounds: int) -> str:
     """CTEs of rounds of K-Means over pay, experience, company and job from the labels experience % k."""
     parts = [
-        f"""pts AS (SELECT row_id, {EXP} % {k} AS label, CAST(ctc AS DOUBLE) / (SELECT stddev_pop(CAST(ctc AS DOUBLE)) FROM prepared) AS x0,
+        f"""pts AS MATERIALIZED (SELECT row_id, row_number() OVER () AS rid, {EXP} % {k} AS label, CAST(ctc AS DOUBLE) / (SELECT stddev_pop(CAST(ctc AS DOUBLE)) FROM prepared) AS x0,
                        CAST({EXP} AS DOUBLE) / (SELECT stddev_pop(CAST({EXP} AS DOUBLE)) FROM prepared) AS x1, {CO} AS co, {JOB} AS job FROM prepared)""",
         *(
             f"""w{c} AS (SELECT {c}, CASE WHEN p < 1 THEN 1 / (p * (1 - p)) ELSE 1 END AS w2
@@ -189,11 +189,11 @@ def _kmeans(k: int, rounds: int) -> str:
             ),
             f"""n{r} AS (SELECT label, m0, m1, m0 * m0 + m1 * m1 + (SELECT sum(s) FROM co{r} a WHERE a.label = c{r}.label)
                                 + (SELECT sum(s) FROM job{r} b WHERE b.label = c{r}.label) AS norm FROM c{r})""",
-            f"""l{r + 1} AS (SELECT row_id, n{r}.label, x0, x1, pts.co, pts.job,
+            f"""l{r + 1} AS (SELECT row_id, rid, n{r}.label, x0, x1, pts.co, pts.job,
                                 x0 * x0 + x1 * x1 + wco.w2 + wjob.w2 + norm - 2 * (x0 * m0 + x1 * m1 + coalesce(co{r}.g, 0) + coalesce(job{r}.g, 0)) AS d
                          FROM pts CROSS JOIN n{r} JOIN wco USING (co) JOIN wjob USING (job)
                               LEFT JOIN co{r} ON co{r}.label = n{r}.label AND co{r}.co = pts.co LEFT JOIN job{r} ON job{r}.label = n{r}.label AND job{r}.job = pts.job
-                         QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d, n{r}.label) = 1)""",
+                         QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, n{r}.label) = 1)""",
         ]
     return ", ".join(parts)
 
