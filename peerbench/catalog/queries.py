@@ -92,7 +92,7 @@ def clean_documents(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     """The enriched table written as CSV and read again."""
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    write_people(round_floats(enriched(spark, sf_dir), SETTINGS.decimals), path)
+    write_people(round_floats(enriched(spark, sf_dir), SETTINGS.decimals), path, compression="gzip")
     back = read_people(spark, path)
     numbers = ["ctc", "Avg_ctc_Co", "Median_ctc_Co_Job"]
     return back.select(

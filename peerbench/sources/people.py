@@ -94,9 +94,11 @@ def round_floats(df: DataFrame, places: int = 4) -> DataFrame:
     return df.withColumns({c: round_places(F.col(f"`{c}`").cast("double"), places) for c in fractional})
 
 
-def write_people(df: DataFrame, path: str, *, format: str = "csv", mode: str = "errorifexists") -> None:
-    """Write the table, as a directory of part files: headered CSV or parquet."""
+def write_people(df: DataFrame, path: str, *, format: str = "csv", mode: str = "errorifexists", compression: str | None = None) -> None:
+    """Write the table, as a directory of part files: headered CSV or parquet, ``compression`` such as gzip."""
     writer = df.write.mode(mode)
+    if compression:
+        writer = writer.option("compression", compression)
     if format == "parquet":
         writer.parquet(path)
     else:

@@ -38,7 +38,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

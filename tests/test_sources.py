@@ -101,3 +101,15 @@ def test_spread_only_where_splits_are_few(spark, tmp_path):
         assert many.rdd.getNumPartitions() >= cores and spread(many) is many
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_compressed_csv_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", 'say "x", y'), (" c ", None)], "t string, u string")
+    write_people(df, str(tmp_path / "out"), compression="gzip")
+    parts = [p.name for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    assert parts and all(p.endswith(".csv.gz") for p in parts)
+    assert sorted(map(tuple, read_people(spark, str(tmp_path / "out")).collect())) == [(" c ", None), ("a\nb", 'say "x", y')]
+
+
+def test_stage_packs_its_tables_well(spark):
+    assert all(".zstd." in path for path in stage(spark.range(10), "t").inputFiles())
