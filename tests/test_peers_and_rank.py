@@ -137,3 +137,12 @@ def test_labels_by_key(spark):
     df = spark.createDataFrame([("a",), ("b",)], "row_id string")
     labels = spark.createDataFrame([("a", 3)], "row_id string, label bigint")
     assert {tuple(r) for r in tables.attach_labels(df, labels, "row_id", "label").collect()} == {("a", 3), ("b", -1)}
+
+
+def test_duplicates_of_all_kinds(spark):
+    rows = [(i, f"t{i % 50}", None if i % 7 else float(i)) for i in range(3000)]
+    rows += rows[:500] + [(None, None, None)] * 40 + [(-1, "z", float("nan"))] * 3 + [(-2, "z", 0.0), (-2, "z", -0.0)]
+    df = spark.createDataFrame(rows, "a long, `b.c` string, d double").repartition(6)
+    got = [tuple(r) for r in tables.drop_duplicate_rows(df).collect()]
+    assert len(got) == 3000 + 1 + 1 + 1
+    assert {r for r in got if r[0] is not None and r[0] >= 0} == set(rows[:3000])

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from peerbench.catalog import queries
 from peerbench.catalog.binding import SETTINGS, people_view
 from peerbench.config import PEER_LEVELS, Settings
-from peerbench.operators import peers, rank
+from peerbench.operators import peers, rank, tables
 from peerbench.operators.impute import impute_nearest
+from peerbench.operators.quantiles import exact_quantiles
 from peerbench.plans import people
 from peerbench.sources import read_people
 from peerbench.staging import stage
@@ -132,3 +133,28 @@ def test_whole_plan_from_csv(spark, tmp_path):
         sizes = {r[label]: r["size"] for r in reports[f"segment_labels_{label}"].collect()}
         assert sizes == {int(r[label]): r["count"] for r in out.groupBy(label).count().collect()}
     assert [r["k"] for r in reports["elbow"].collect()] == [2, 3] and reports["merge_tree"].count() == 11
+
+
+def test_levels_start_from_counted_values_that_are_written_once(prepared):
+    for found in (peers.peer_summaries(prepared, PEER_LEVELS, "ctc"), peers.peer_table(prepared, PEER_LEVELS, "ctc")):
+        files = {path.rsplit("/", 2)[1].split("-")[0] for path in found.inputFiles()}
+        assert files == {"counted"}
+
+
+def test_one_answer_does_not_begin_the_summaries_of_others(spark, prepared, monkeypatch):
+    monkeypatch.setattr(people, "peer_summary", lambda *args: pytest.fail("not asked for"))
+    assert list(people.answers(people.enrich(prepared, medians=False), SETTINGS, ["top_tier"])) == ["top_tier"]
+
+
+def test_rows_without_copies_are_not_shuffled(spark, prepared):
+    rows = tables.drop_duplicate_rows(prepared)
+    assert rows.count() == prepared.count()
+    text = plan(rows)
+    # the hashes, their bitmap, and the rows that share a bit
+    assert "Union" in text and "BroadcastHashJoin" in text and text.count("Exchange hashpartitioning") <= 4
+
+
+def test_values_are_counted_once_for_their_ranks(spark, prepared):
+    found = exact_quantiles(prepared, [], "ctc", [0.5])
+    found.collect()
+    assert "ReusedExchange" in plan(found)

@@ -120,3 +120,19 @@ def test_imputed_years_stay_inside_the_donors(spark):
     filled = impute_nearest(people(spark, rows), "orgyear", "ctc", 5, "row_id")
     low, high, missing, n = filled.agg(F.min("orgyear"), F.max("orgyear"), F.count_if(F.col("orgyear").isNull()), F.count("*")).first()
     assert 1970 <= low and high <= 1999 and missing == 0 and n == 500
+
+
+@pytest.mark.parametrize("large", [0, 30, 1_000_000])
+def test_quantiles_of_small_and_large_groups(skewed, large):
+    df, rows = skewed
+    got = {r["g"]: r["quantiles"] for r in exact_quantiles(df, ["g"], "v", PROBS, buckets=20, large=large).collect()}
+    assert set(got) == {g for g, v in rows if g is not None and v is not None}
+    for g in got:
+        assert got[g] == pytest.approx(np.quantile([v for h, v in rows if h == g and v is not None], PROBS).tolist(), rel=1e-12)
+
+
+def test_weighted_values_of_one_group(spark):
+    df = spark.createDataFrame([("a", 1.0, 3), ("a", 9.0, 2), ("a", 9.0, 4), ("b", 2.0, 1)], "g string, v double, n long")
+    for large in (0, 100):
+        found = exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 1.0], weight="n", large=large)
+        assert {r["g"]: r["quantiles"] for r in found.collect()} == {"a": [1.0, 1.0, 9.0, 9.0], "b": [2.0] * 4}
