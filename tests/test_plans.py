@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from peerbench.catalog import queries
 from peerbench.catalog.binding import SETTINGS, people_view
 from peerbench.config import PEER_LEVELS, Settings
+from peerbench.functions import clean_text
 from peerbench.operators import peers, rank, tables
 from peerbench.operators.impute import impute_nearest
 from peerbench.operators.quantiles import exact_quantiles
@@ -158,3 +159,15 @@ def test_values_are_counted_once_for_their_ranks(spark, prepared):
     found = exact_quantiles(prepared, [], "ctc", [0.5])
     found.collect()
     assert "ReusedExchange" in plan(found)
+
+
+def test_donors_are_sorted_without_a_comparator_in_lambda_form(spark):
+    text = plan(impute_nearest(queries.cleaned(spark, SMALL), "orgyear", "ctc", 5, "row_id", stage=lambda df, name: df))
+    assert "sort_array(" in text and "array_sort(" not in text
+
+
+def test_plain_text_needs_no_table_of_spaces(spark):
+    rows = spark.createDataFrame([(" Ab#  c-d ",), ("a\u00a0\u2003b\tc",), (None,)], "v string")
+    found = rows.select(clean_text(F.col("v")).alias("c"))
+    assert [r["c"] for r in found.collect()] == ["ab cd", "a b c", None]
+    assert "RLIKE(v" in plan(found)
