@@ -149,6 +149,51 @@ def test_drawn_rows_are_different_and_spread(mixed):
     assert [b.h.tolist() for b in again] == [b.h.tolist() for b in drawn]
 
 
+def _cell_rows(spark, n=6000):
+    """Few levels, many rows of each."""
+    number = F.col("id")
+    return spark.range(n, numPartitions=4).select(
+        number.cast("string").alias("row_id"), (F.pmod(F.hash("id"), F.lit(1000)) / 10).alias("pay"), (number % 9).alias("years"),
+        F.concat(F.lit("c"), number % 5).alias("co"), F.concat(F.lit("j"), F.pmod(F.hash(number + 7), F.lit(3))).alias("job"),
+    )
+
+
+def test_sums_by_cells_are_those_by_rows(spark):
+    rows = _cell_rows(spark)
+    points = kmeans.lay_out(fit_features(rows, *FEATURES), rows, "row_id")
+    scratch = Scratch(spark, "test")
+    start, _ = kmeans.spread_starts(points, [2, 7, 12], 3, 1, scratch)
+    by_rows, by_cells = kmeans.summed(points, start, scratch), kmeans.summed(points, start, scratch, rows=points.ordered())
+    assert by_cells.sizes.tolist() == by_rows.sizes.tolist() and (by_cells.counts == by_rows.counts).all()
+    assert np.allclose(by_cells.means, by_rows.means) and np.allclose(by_cells.cost, by_rows.cost) and np.allclose(by_cells.squares, by_rows.squares)
+
+
+def test_cells_settle_what_one_centre_is_nearest_to(spark):
+    """Settled cells hold only rows of the named centre, and most cells are settled."""
+    rows = _cell_rows(spark)
+    points = kmeans.lay_out(fit_features(rows, *FEATURES), rows, "row_id")
+    start, _ = kmeans.spread_starts(points, [2, 7, 12], 3, 1, Scratch(spark, "test"))
+    ordered = points.table.select(*points.columns[1:]).orderBy("_i0", "_i1", "_x0", "_x1").toArrow().combine_chunks().to_batches()[0]
+    b, scorer = kmeans.Block.of(ordered, 2, 2, -1), kmeans.Scorer(start, points.weights)
+    first = b.cells()
+    n = np.diff(np.r_[first, len(b.x)])
+    assert n.max() <= kmeans.CELL and len(first) < 6000 / 50
+    best, _, sure = scorer.settled(b, first)
+    label, _ = scorer.nearest(b, [])
+    cell = np.repeat(np.arange(len(n)), n)
+    assert (label == best[cell])[sure[cell]].all() and sure.mean() > 0.5
+
+
+def test_drawn_rows_have_no_distance_to_themselves(mixed):
+    space = fit_features(mixed, *FEATURES)
+    points = kmeans.lay_out(space, mixed, "row_id")
+    every = points.table.select(*points.columns).toArrow().combine_chunks().to_batches()[0]
+    b = kmeans.Block.of(every, 2, 2)
+    few = b.take(np.arange(0, 1500, 50))
+    got = kmeans.Drawn(few).squared(b)
+    assert np.allclose(got, b.distances(few).min(axis=1)) and (got[::50] == 0).all()
+
+
 def test_tables_that_nothing_reads_go(mixed, tmp_path):
     scratch = Scratch(mixed.sparkSession, "test")
     kept = [scratch.stage(mixed, f"t{i}") for i in range(4)]
