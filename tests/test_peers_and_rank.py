@@ -146,3 +146,21 @@ def test_duplicates_of_all_kinds(spark):
     got = [tuple(r) for r in tables.drop_duplicate_rows(df).collect()]
     assert len(got) == 3000 + 1 + 1 + 1
     assert {r for r in got if r[0] is not None and r[0] >= 0} == set(rows[:3000])
+
+
+@pytest.mark.parametrize("size, parts", [(1000, 3), (10_000, 1)])
+def test_rows_joined_part_by_part(spark, size, parts):
+    """Missing keys and pay too; every part has its own folder, and no group is in two of them."""
+    rows = [(i, None if int(i) % 11 == 0 else a, None if int(i) % 7 == 0 else b, p) for i, a, b, p in random_rows()]
+    df = table(spark, rows)
+    found = peers.staged_peers(df, LEVELS, "pay", "staged", flags=FLAGS, rows=size)
+    want = peers.attach_peers(df, LEVELS, "pay", flags=FLAGS)
+    assert found.dtypes == want.dtypes
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    assert found.select(folder).distinct().count() == parts
+    assert found.groupBy("a", "b").agg(F.count_distinct(folder).alias("n")).where("n > 1").isEmpty()
+
+
+def test_rows_joined_part_by_part_of_no_rows(spark):
+    assert peers.staged_peers(table(spark, []), LEVELS, "pay", "staged", flags=FLAGS).count() == 0

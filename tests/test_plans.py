@@ -1,5 +1,6 @@
 import contextlib
 import io
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -171,3 +172,13 @@ def test_plain_text_needs_no_table_of_spaces(spark):
     found = rows.select(clean_text(F.col("v")).alias("c"))
     assert [r["c"] for r in found.collect()] == ["ab cd", "a b c", None]
     assert "RLIKE(v" in plan(found)
+
+
+def test_written_steps_leave_no_shuffle_files(spark, prepared):
+    kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    listed = lambda: {n for n in kept.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before = listed()
+    stage(prepared.repartition(3).groupBy("company_hash").count(), "counts")
+    queries.people.staged_enrich(prepared)
+    # the files of single collected figures stay
+    assert sum(os.path.getsize(n) for n in listed() - before) < 10_000
