@@ -81,3 +81,14 @@ def test_flag_with_missing_sides(spark):
 
 def test_default_label(spark):
     assert applied(column(spark, [3, None], "bigint"), default_label(F.col("v"))) == [3, -1]
+
+
+def test_clean_text_of_every_printable_character(spark):
+    """The pattern of plain text drops what the one of all scripts drops."""
+    from peerbench.functions.text import JUNK
+
+    texts = [f"A{chr(c)} {chr(c)}b" for c in range(0x20, 0x7F)]
+    got = applied(column(spark, texts), clean_text(F.col("v")))
+    assert got == [re.sub("  +", " ", re.sub(r"[^a-zA-Z0-9_ ]+", "", t).lower()).strip() for t in texts]
+    assert applied(column(spark, [t + "é" for t in texts]), clean_text(F.col("v"))) == [g + "é" for g in got]
+    assert len(re.sub(JUNK, "", "".join(map(chr, range(0x20, 0x7F))))) == 64

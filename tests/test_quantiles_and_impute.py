@@ -136,3 +136,14 @@ def test_weighted_values_of_one_group(spark):
     for large in (0, 100):
         found = exact_quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 1.0], weight="n", large=large)
         assert {r["g"]: r["quantiles"] for r in found.collect()} == {"a": [1.0, 1.0, 9.0, 9.0], "b": [2.0] * 4}
+
+
+def test_nearest_looks_no_further_than_enough_donors(spark):
+    """Values behind others that have k donors between them on one side are not ranked."""
+    from peerbench.operators.impute import _enough
+
+    entries = ["struct(5 as v, array(1, 2) as own) as a", "struct(7 as v, array(3) as own) as b", "struct(8 as v, array(4) as own) as c"]
+    df = spark.range(1).selectExpr(*entries, "cast(null as struct<v:int,own:array<int>>) as d")
+    kept = lambda names, k: [x and x["v"] for x in df.select(*[e.alias(f"e{i}") for i, e in enumerate(_enough(names, k))]).first()]
+    assert kept(["a", "b", "c"], 2) == [5, None, None] and kept(["a", "b", "c"], 3) == [5, 7, None]
+    assert kept(["a", "b", "c"], 4) == [5, 7, 8] and kept(["c", "d", "d"], 3) == [8, None, None]

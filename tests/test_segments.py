@@ -296,3 +296,27 @@ def test_profile_of_segments(spark):
     assert {tuple(r) for r in profile["sizes"].collect()} == {(0, 3), (1, 1)}
     assert {(r["s"], r["c"], r["n"]) for r in profile["top_c"].collect()} == {(0, "a", 2), (1, "c", 1)}
     assert segments.cluster_means(df.where("s = 0"), "s", ["v"]).count() == 0
+
+
+def test_a_single_fit_of_few_centres_runs_no_python(spark, mixed, monkeypatch):
+    """Sums and labels by column expressions equal those by blocks; labels read no other column of the rows."""
+    wide = mixed.withColumn("note", F.concat("row_id", F.lit("-note")))
+    space = fit_features(mixed, *FEATURES)
+    scratch = Scratch(spark, "t")
+    points = kmeans.lay_out(space, mixed, "row_id", labels=[F.col("years") % 5])
+    start = kmeans.from_labels(points, [5])
+    start.sizes[3], start.norms[3] = 0, np.inf
+    unseen = wide.withColumn("co", F.when(F.col("years") == 3, "never met").otherwise(F.col("co")))
+    found = []
+    for few in (kmeans.FEW, 0):
+        monkeypatch.setattr(kmeans, "FEW", few)
+        sums = kmeans.summed(points, start, scratch)
+        labels = kmeans.labelled(points, unseen, start, [4, 3, 2, 1, 0], "s").select("row_id", "s")
+        plan = labels._jdf.queryExecution().executedPlan().toString()
+        found.append((sums, sorted(map(tuple, labels.collect())), "Python" in plan or "MapInArrow" in plan, "note" in plan))
+    (a, own, python, read), (b, other, *_) = found
+    assert not python and not read
+    assert own == other and len({s for _, s in own}) == 4
+    assert (a.counts == b.counts).all() and (a.sizes == b.sizes).all() and a.sizes[3] == 0
+    for x, y in ((a.means, b.means), (a.cost, b.cost), (a.squares, b.squares), (a.norms, b.norms)):
+        assert np.allclose(x, y, rtol=1e-12)
