@@ -164,3 +164,14 @@ def test_rows_joined_part_by_part(spark, size, parts):
 
 def test_rows_joined_part_by_part_of_no_rows(spark):
     assert peers.staged_peers(table(spark, []), LEVELS, "pay", "staged", flags=FLAGS).count() == 0
+
+
+def test_several_keys_meet_by_their_hash(spark):
+    """Nulls are equal, and groups whose hashes are equal are told apart: of nulls a hash knows the number only."""
+    df = table(spark, [("1", None, "x", 10), ("2", "x", None, 20), ("3", None, "x", 30), ("4", None, None, 5), ("5", "x", "x", 7), ("6", "x", None, 40)])
+    found = peers.attach_peers(df, LEVELS, "pay", flags=FLAGS)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in text
+    rows = peers._null_safe_left(df.select("a", "b"), df.groupBy("a", "b").count(), ["a", "b"]).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, df.join(df.groupBy("a", "b").count().withColumnsRenamed({"a": "c", "b": "d"}), F.expr("a <=> c and b <=> d"), "left").select("a", "b", "count").collect()))
+    assert len(rows) == 6 and found.count() == 6

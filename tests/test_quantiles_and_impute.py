@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peerbench.operators import impute
 from peerbench.operators.impute import impute_median, impute_nearest, nearest_means
 from peerbench.operators.quantiles import exact_quantiles
 from peerbench.staging import stage
@@ -115,6 +116,27 @@ def test_long_runs_without_donors(spark, most):
     assert {r["ctc"]: r["_mean"] for r in means.collect()} == pytest.approx(brute_force(rows, 4), rel=1e-12)
 
 
+@pytest.mark.parametrize("high, whole", [("99999.5", True), ("9999999999999999.0001", False)])
+def test_decimals_are_searched_as_whole_numbers_where_these_hold_them(spark, monkeypatch, high, whole):
+    seen, search = [], impute.nearest_to_values
+    monkeypatch.setattr(impute, "nearest_to_values", lambda df, *args, **options: seen.append(df.schema["ctc"].dataType.typeName()) or search(df, *args, **options))
+    rows = [("a", "0.0001", 1990.0), ("b", "-3.5", 1970.0), ("c", high, 2001.0), ("x", "-1.75", None), ("y", "0", None), ("z", high, None), ("n", None, None)]
+    df = spark.createDataFrame(rows, "row_id string, ctc string, orgyear double").withColumn("ctc", F.col("ctc").cast("decimal(20,4)"))
+    means = nearest_means(df, "orgyear", "ctc", 1, "row_id")
+    assert seen == ["long" if whole else "decimal"] and means.schema["ctc"] == df.schema["ctc"]
+    assert {r["ctc"]: r["_mean"] for r in means.collect()} == {Decimal("-1.75"): 1970.0, Decimal(0): 1990.0, Decimal(high): 2001.0}
+
+
+def test_the_median_ranks_counted_values(spark):
+    """Rows are counted once and not looked at again; what is written has one row a value."""
+    df = spark.range(6000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 13).cast("decimal(20,4)").alias("v"))
+    written = {}
+    filled = impute_median(df, "v", stage=lambda table, name: written.setdefault(name, stage(table, name)))
+    assert {name: table.count() for name, table in written.items()} == {"values": 14}
+    want = float(np.median([i % 13 for i in range(6000) if i % 7]))
+    assert filled.where("v is null").isEmpty() and filled.where(F.col("v") == want).count() == sum(i % 7 == 0 or i % 13 == want for i in range(6000))
+
+
 def test_imputed_years_stay_inside_the_donors(spark):
     rows = [(f"{i}", float(i % 37), None if i % 4 == 0 else 1970.0 + i % 30) for i in range(500)]
     filled = impute_nearest(people(spark, rows), "orgyear", "ctc", 5, "row_id")
