@@ -6,7 +6,7 @@ from peerbench.operators import kmeans, segments
 from peerbench.operators.features import feature_stats, fit_features
 from peerbench.operators.kmeans import MAX_CELLS
 from peerbench.operators.merge_tree import cut_tree, ward_merges
-from peerbench.staging import Scratch
+from peerbench.staging import Scratch, stage
 
 
 @pytest.fixture(scope="module")
@@ -204,6 +204,18 @@ def test_cells_hold_every_row_once_in_small_boxes(spark):
     assert key(every) == key(plain)
 
 
+def test_what_reads_cells_writes_no_table_of_rows_beside_them(spark):
+    rows, written = _cell_rows(spark), []
+
+    def write(df, name):
+        written.append(name)
+        return stage(df, name)
+
+    segments.elbow(rows, *FEATURES, [2, 5], key="row_id", restarts=2, stage=write)
+    segments.micro_clusters(rows, *FEATURES, key="row_id", n=10, stage=write)
+    assert written.count("ordered") == 2 and "points" not in written
+
+
 def test_draws_by_bounds_are_the_least_of_all_rows(spark):
     rows = _cell_rows(spark)
     points = kmeans.lay_out(fit_features(rows, *FEATURES), rows, "row_id")
